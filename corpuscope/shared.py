@@ -14,16 +14,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder, set to a temporary one if the session names none."""
-    uri = spark.conf.get(CHECKPOINT_DIR, None)
+    """URI of the shared folder; a temporary one if the session names none."""
+    uri = spark.conf.get(CHECKPOINT_DIR, None) or _own.get(spark.sparkContext.applicationId)
     if not uri:
         local = tempfile.mkdtemp(prefix="corpuscope-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
-        uri = f"file://{local}"
-        spark.conf.set(CHECKPOINT_DIR, uri)
+        uri = _own[spark.sparkContext.applicationId] = f"file://{local}"
     return uri.rstrip("/")
 
 
