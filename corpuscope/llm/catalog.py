@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscope.llm import language, media, packing, sharding
+from corpuscope.llm import language, media, packing, sharding, toxicity
 
-MODULES = (language, sharding, packing, media)
+MODULES = (language, toxicity, sharding, packing, media)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
