@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscope.llm import fingerprints, language, media, mixing, packing, sharding, toxicity
+from corpuscope.llm import fingerprints, language, media, mixing, packing, sharding, toxicity, webarchive
 
-MODULES = (language, toxicity, sharding, packing, fingerprints, mixing, media)
+MODULES = (language, webarchive, toxicity, sharding, packing, fingerprints, mixing, media)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for m in MODULES for k, q in m.ORACLE_SQL.items()}
