@@ -185,7 +185,8 @@ def _with_score(rows: DataFrame) -> DataFrame:
 def trained(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """Both models as a written table: all documents are background, those with an id in ``target_ids`` target as well."""
     marks = target_ids.select(F.col("doc_id")).where(F.col("doc_id").isNotNull()).distinct().withColumn("mark", F.lit(True))
-    sides = docs.select("doc_id", "text").join(marks, "doc_id", "left").select("text", F.lit(True).alias("in_background"), F.coalesce("mark", F.lit(False)).alias("in_target"))
+    # target ids grow with the documents: they are never broadcast, so the plan is the same at every size
+    sides = docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id", "left").select("text", F.lit(True).alias("in_background"), F.coalesce("mark", F.lit(False)).alias("in_target"))
     return written(losses(written(counted(sides), "gram-counts")), "gram-losses")
 
 
