@@ -1,8 +1,74 @@
-"""The corpus pipeline; its stages follow."""
+"""A training corpus from raw documents: five stages, each of them one operator of ``corpuscope.llm``.
 
-STAGES = []
+Every stage takes the rows that its predecessor kept and gives its result as a frame; ``run`` writes
+each result to the shared folder and reads it again, so a lost executor costs one stage's tasks at most.
+
+Stages treat nulls, empty texts, repeated rows and empty tables as their operators say.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuscope.llm import language, mixing, neardup, packing, toxicity
+from corpuscope.shared import written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MIX_SHARDS = 64
+
+
+def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages of the corpus.
+
+    Texts without a letter go, and texts with many letters that resemble no language's profile.
+    """
+    rows = language.predict(docs, language.learn(docs), keep=COLUMNS)
+    return rows.where(~language.rejected()).select(*COLUMNS)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on the labelled ones among them, scores below the threshold."""
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, keep=COLUMNS).where(toxicity.predicted() == 0).select(*COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates (five-word shingles, similarity 0.8 or more) the one with the smallest id.
+
+    Of rows that repeat with id and text one stays; rows without an id all stay.
+    """
+    kept = neardup.near_duplicates(docs.select("doc_id", "text"), width=5, share=(80, 100)).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    stay = docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+
+
+def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources in the proportions of the mix, shuffled within its shards; a row for each copy."""
+    mix = mixing.mixed(docs.select(*COLUMNS), mixing.plan(docs, shards=MIX_SHARDS), shards=MIX_SHARDS)
+    return mix.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as token windows: a row for each piece of a document."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language", in_known_language),
+    ("toxicity", not_toxic),
+    ("near_duplicates", one_of_each_group),
+    ("mixing", mixed_to_weights),
+    ("packing", packed),
+]
+
+#: Models, minwise trees and tokenizers have no SQL; the tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of a folder of tables."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

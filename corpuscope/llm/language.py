@@ -152,6 +152,7 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
 def predict(docs: DataFrame, learned: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep) of every row with ``lang_pred``, ``score`` and the number of ``letters`` that they rest on."""
     spark = docs.sparkSession
+    out = list(dict.fromkeys((id_col, *keep)))
     names = list(learned)
     shared = spark.sparkContext.broadcast(np.stack(list(learned.values())) if names else np.zeros((0, DIMENSIONS)))  # MAX_LANGUAGES rows at most
 
@@ -166,11 +167,11 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], id_col: str = "doc_
             best = cosine.argmax(axis=1) if len(texts) else np.zeros(0, int)
             score = np.where(seen, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0.0)
             lang = [names[k] if ok else UNDETERMINED for k, ok in zip(best.tolist(), seen.tolist(), strict=True)]
-            kept = [b.column(c) for c in (id_col, *keep)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(letters)], [id_col, *keep, "lang_pred", "score", "letters"])
+            kept = [b.column(c) for c in out]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(letters)], [*out, "lang_pred", "score", "letters"])
 
-    narrow = docs.select(id_col, *keep, text_col)
-    schema = narrow.select(id_col, *keep).schema.add("lang_pred", "string").add("score", "double").add("letters", "long")
+    narrow = docs.select(*dict.fromkeys((*out, text_col)))
+    schema = narrow.select(*out).schema.add("lang_pred", "string").add("score", "double").add("letters", "long")
     return narrow.mapInArrow(run, schema)
 
 

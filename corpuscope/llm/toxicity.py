@@ -232,8 +232,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fitted(own, bucket, y, ratio)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row: the probability of label 1."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep) of every row with ``score``, the probability of label 1."""
+    out = list(dict.fromkeys((id_col, *keep)))
     shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.intercept))  # BUCKETS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,10 +243,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         known = WordFeatures(here.weight != 0)
         for b in batches:
             got = here.scores([x or "" for x in b.column(text_col).to_pylist()], known)
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(got, pa.float64())], [id_col, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out), pa.array(got, pa.float64())], [*out, "score"])
 
-    narrow = docs.select(id_col, text_col)
-    return narrow.mapInArrow(run, narrow.select(id_col).schema.add("score", "double"))
+    narrow = docs.select(*dict.fromkeys((*out, text_col)))
+    return narrow.mapInArrow(run, narrow.select(*out).schema.add("score", "double"))
 
 
 def predicted(score_col: str | Column = "score", threshold: float = THRESHOLD) -> Column:
