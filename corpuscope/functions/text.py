@@ -51,44 +51,56 @@ def starts_any(c: Column, prefixes: tuple[str, ...]) -> Column:
     return out
 
 
-def _parts(raw: Column) -> tuple[Column, Column]:
-    """Header and body lines: the first blank line parts them; without one all lines are header."""
-    lines = F.split(raw, "\n", -1)
-    blank = F.array_position(F.transform(lines, lambda x: strip(x) == ""), F.lit(True)).cast("int")
-    header = F.when(blank == 0, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(blank - 1, F.lit(0))))
-    body = F.when(blank == 0, F.array().cast("array<string>")).otherwise(F.slice(lines, blank + 1, F.size(lines)))
-    return header, body
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use a value several times but compute it once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def subject(raw: Column) -> Column:
-    """The last subject line without reply marks; empty if it is, null if there is none."""
-    header, _ = _parts(raw)
+def _first(lines: Column, test: Callable[[Column], Column]) -> Column:
+    """The place of the first line that passes, 0 if none does."""
+    return F.array_position(F.transform(lines, test), F.lit(True)).cast("int")
+
+
+def _upto(lines: Column, at: Column) -> Column:
+    """The lines before a place; all of them if it is 0."""
+    return F.when(at == 0, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0))))
+
+
+def _subject_of(header: Column) -> Column:
     last = F.try_element_at(F.filter(F.transform(header, strip), lambda x: F.lower(x).startswith("subject:")), F.lit(-1))
     return strip(F.regexp_replace(strip(F.substring(last, 9, 1 << 30)), REPLY_MARK, ""))
 
 
+def _split_article(raw: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """Apply a function to lines and the place of the first blank one, which parts header and body."""
+    parts = _let(F.split(raw, "\n", -1), lambda x: F.struct(x.alias("lines"), _first(x, lambda s: strip(s) == "").alias("blank")))
+    return _let(parts, lambda p: body(p["lines"], p["blank"]))
+
+
+def subject(raw: Column) -> Column:
+    """The last subject line without reply marks; empty if it is, null if there is none."""
+    return _split_article(raw, lambda lines, blank: _subject_of(_upto(lines, blank)))
+
+
 def clean_article(raw: Column) -> Column:
     """An article without headers, quotes, signature, separators and attribution, its subject in front.
 
-    Null stays null.
+    Without a blank line all lines are header.  Null stays null.
     """
-    _, body = _parts(raw)
-    signed = F.array_position(F.transform(body, lambda x: strip(x).isin(*SIGNATURES)), F.lit(True)).cast("int")
-    body = F.when(signed == 0, body).otherwise(F.slice(body, F.lit(1), F.greatest(signed - 1, F.lit(0))))
 
     def keep(x: Column) -> Column:
-        s = strip(x)
-        return ~s.startswith(">") & ~s.rlike(SEPARATOR) & ~s.rlike(ATTRIBUTION)
+        return _let(strip(x), lambda s: ~s.startswith(">") & ~s.rlike(SEPARATOR) & ~s.rlike(ATTRIBUTION))
 
-    text = strip(F.array_join(F.filter(body, keep), "\n"))
-    title = F.coalesce(subject(raw), F.lit(""))
-    text = F.when(title != "", F.concat(title, F.lit(". "), text)).otherwise(text)
-    return strip(F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), r"[ \t]+", " "))
+    def text_of(body: Column) -> Column:
+        unsigned = _let(body, lambda b: _let(_first(b, lambda s: strip(s).isin(*SIGNATURES)), lambda at: _upto(b, at)))
+        return strip(F.array_join(F.filter(unsigned, keep), "\n"))
 
+    def joined(lines: Column, blank: Column) -> Column:
+        body = F.when(blank == 0, F.array().cast("array<string>")).otherwise(F.slice(lines, blank + 1, F.size(lines)))
+        title = F.coalesce(_subject_of(_upto(lines, blank)), F.lit(""))
+        return _let(title, lambda t: F.concat(F.when(t != "", F.concat(t, F.lit(". "))).otherwise(""), text_of(body)))
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Use a value several times but compute it once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return strip(F.regexp_replace(F.regexp_replace(_split_article(raw, joined), "\n{3,}", "\n\n"), r"[ \t]+", " "))
 
 
 def snippet(text: Column, max_chars: int = MAX_SNIPPET) -> Column:
