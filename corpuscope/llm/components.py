@@ -25,7 +25,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     moved = joined.where("v <> m" if small else "v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     own = least.where("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b")) if small else None
     out = moved.unionByName(own) if small else moved
-    return out.where("a <> b").distinct()
+    out = out.where("a <> b")
+    return out.distinct() if small else out
 
 
 def connected(edges: DataFrame) -> DataFrame:

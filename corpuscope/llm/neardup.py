@@ -37,7 +37,7 @@ from corpuscope.shared import written
 COORDINATES = 64
 LEAF = 192
 LEADERS = 8
-DEPTH = 4
+DEPTH = 3
 MISS = 1e-3
 PIECE = 1 << 19
 MULTIPLIER = 0x9FB21C651E98DF25
@@ -136,7 +136,10 @@ def features(docs: DataFrame, width: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(class, tokens, sketch) of the wanted (doc_id, class) pairs, from the whole texts."""
+    """(class, tokens, sketch) of the wanted (doc_id, class) pairs, from the whole texts.
+
+    What is wanted grows with the documents: it is never broadcast, so the plan is the same at every size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -144,7 +147,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             got = [(c, s) for c, s in zip(b.column("class").to_pylist(), shingler.sets(b.column("text").to_pylist()), strict=True) if class_of(s) == c]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([s.tobytes() for _, s in got], pa.binary()), pa.array([signature(s).astype(np.uint8).tobytes() for _, s in got], pa.binary())], ["class", "tokens", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("class", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.hint("merge"), "doc_id").select("class", "text")
     return rows.mapInArrow(run, "class long, tokens binary, sketch binary").dropDuplicates(["class"])
 
 
@@ -337,9 +340,14 @@ def confirmed(groups: DataFrame, sets: DataFrame, floor_: int, share: tuple[int,
                 continue
             both = len(np.intersect1d(a, b, assume_unique=True))
             if den * both >= num * (len(a) + len(b) - both):
-                uf.link(x, y)
-                out.append((g["class"][x], g["class"][y]))
-        return out
+                out.append(uf.link(x, y))
+        if not out:
+            return []
+        # as stars around the smallest class of each part, which components settle in few rounds
+        part: dict[int, list[int]] = {}
+        for k in range(n):
+            part.setdefault(uf.root(k), []).append(k)
+        return [(g["class"][k], least) for ks in part.values() if len({g["comp"][k] for k in ks}) > 1 for least in [min(g["class"][k] for k in ks)] for k in ks if g["class"][k] != least]
 
     rows = groups.select("node", "class", "comp").join(sets, "class").select("node", "class", "comp", "tokens", "sketch")
     return by_node(rows, work, "a long, b long", ["a", "b"])
@@ -353,19 +361,21 @@ def _unfinished(groups: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _rest_of(big: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, class) cells in which all classes of an oversized node meet those outside its largest component.
+    """(node, class) cells in which all classes of oversized nodes meet those outside their nodes' largest components.
 
-    Both sides are dealt into blocks; a cell holds one block of either side.
+    Nodes of all trees with the same largest component are taken together, so that a pair meets once.  Both sides are
+    dealt into blocks; a cell holds one block of either side.
     """
     now = _unfinished(big.select("node", "class"), roots)
-    most = now.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("n"), F.max("k").alias("k"))
+    most = now.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    members = written(now.join(most, "node").select("main", "class", (F.col("comp") != F.col("main")).alias("outside")).distinct(), "rest")
     half = LEAF // 2
-    now = now.join(most, "node").withColumn("rows", F.ceil(F.col("n") / half)).withColumn("cols", F.ceil((F.col("n") - F.col("k")) / half))
-    row, col = F.pmod(F.xxhash64("class", "node"), "rows"), F.pmod(F.xxhash64("class", "node", F.lit(1)), "cols")
-    outside = F.col("comp") != F.col("main")
-    cells_in = now.select("node", "class", row.alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).alias("col"))
-    cells_out = now.where(outside).select("node", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"), col.alias("col"))
-    return cells_in.unionByName(cells_out).select(F.xxhash64("node", "row", "col").alias("node"), "class").distinct()
+    sizes = members.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / half).alias("rows"), F.ceil(F.sum(F.col("outside").cast("long")) / half).alias("cols"))
+    dealt = members.join(sizes, "main").select("main", "class", "outside", "rows", "cols", F.pmod(F.xxhash64("class", "main"), "rows").alias("row"), F.pmod(F.xxhash64("class", "main", F.lit(1)), "cols").alias("col"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cells_in = dealt.select("main", "class", "row", upto("cols").alias("col"))
+    cells_out = dealt.where("outside").select("main", "class", upto("rows").alias("row"), "col")
+    return cells_in.unionByName(cells_out).select(F.xxhash64("main", "row", "col").alias("node"), "class").distinct()
 
 
 # --- the operator --------------------------------------------------------------------------------
