@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuscope.functions.vector import let
+
 WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_WS = WS.replace("[", "[^", 1)
 STRIP = rf"\A{WS}+|{WS}+\z"
@@ -51,11 +53,6 @@ def starts_any(c: Column, prefixes: tuple[str, ...]) -> Column:
     return out
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Use a value several times but compute it once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _first(lines: Column, test: Callable[[Column], Column]) -> Column:
     """The place of the first line that passes, 0 if none does."""
     return F.array_position(F.transform(lines, test), F.lit(True)).cast("int")
@@ -73,8 +70,8 @@ def _subject_of(header: Column) -> Column:
 
 def _split_article(raw: Column, body: Callable[[Column, Column], Column]) -> Column:
     """Apply a function to lines and the place of the first blank one, which parts header and body."""
-    parts = _let(F.split(raw, "\n", -1), lambda x: F.struct(x.alias("lines"), _first(x, lambda s: strip(s) == "").alias("blank")))
-    return _let(parts, lambda p: body(p["lines"], p["blank"]))
+    parts = let(F.split(raw, "\n", -1), lambda x: F.struct(x.alias("lines"), _first(x, lambda s: strip(s) == "").alias("blank")))
+    return let(parts, lambda p: body(p["lines"], p["blank"]))
 
 
 def subject(raw: Column) -> Column:
@@ -89,16 +86,16 @@ def clean_article(raw: Column) -> Column:
     """
 
     def keep(x: Column) -> Column:
-        return _let(strip(x), lambda s: ~s.startswith(">") & ~s.rlike(SEPARATOR) & ~s.rlike(ATTRIBUTION))
+        return let(strip(x), lambda s: ~s.startswith(">") & ~s.rlike(SEPARATOR) & ~s.rlike(ATTRIBUTION))
 
     def text_of(body: Column) -> Column:
-        unsigned = _let(body, lambda b: _let(_first(b, lambda s: strip(s).isin(*SIGNATURES)), lambda at: _upto(b, at)))
+        unsigned = let(body, lambda b: let(_first(b, lambda s: strip(s).isin(*SIGNATURES)), lambda at: _upto(b, at)))
         return strip(F.array_join(F.filter(unsigned, keep), "\n"))
 
     def joined(lines: Column, blank: Column) -> Column:
         body = F.when(blank == 0, F.array().cast("array<string>")).otherwise(F.slice(lines, blank + 1, F.size(lines)))
         title = F.coalesce(_subject_of(_upto(lines, blank)), F.lit(""))
-        return _let(title, lambda t: F.concat(F.when(t != "", F.concat(t, F.lit(". "))).otherwise(""), text_of(body)))
+        return let(title, lambda t: F.concat(F.when(t != "", F.concat(t, F.lit(". "))).otherwise(""), text_of(body)))
 
     return strip(F.regexp_replace(F.regexp_replace(_split_article(raw, joined), "\n{3,}", "\n\n"), r"[ \t]+", " "))
 
@@ -128,10 +125,10 @@ def snippet(text: Column, max_chars: int = MAX_SNIPPET) -> Column:
             both = F.when((title != "") & (F.length(b) > BODY_FOR_TITLE), F.concat(title, F.lit(" — "), b))
             return both.when(b != "", b).otherwise(title)
 
-        return _let(_let(body, chosen), lambda r: F.when(token_count(r) < LEAST_TOKENS, spaced(lines)).otherwise(r))
+        return let(let(body, chosen), lambda r: F.when(token_count(r) < LEAST_TOKENS, spaced(lines)).otherwise(r))
 
     def cut(r: Column) -> Column:
         return F.when(F.length(r) > max_chars, F.concat(F.regexp_replace(F.substring(r, 1, max_chars), r" [^ ]*\z", ""), F.lit("..."))).otherwise(r)
 
     lines = F.filter(F.transform(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\\n"), F.lit("\n")), "\n", -1), strip), keep)
-    return _let(_let(lines, assemble), cut)
+    return let(let(lines, assemble), cut)

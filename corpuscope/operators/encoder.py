@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.text import tokens
-from corpuscope.functions.vector import l2_normalize
+from corpuscope.functions.vector import l2_normalize, let
 
 DIMENSIONS = 384
 BATCH = 64
@@ -29,13 +29,14 @@ class HashingEncoder:
         self.dimensions = dimensions
 
     def __call__(self, text: Column) -> Column:
-        hashed = F.transform(tokens(F.lower(text)), lambda t: F.xxhash64(t))
-        at = F.transform(hashed, lambda h: F.struct(F.pmod(h, F.lit(self.dimensions)).alias("i"), F.when(F.shiftrightunsigned(h, 63) == 1, -1.0).otherwise(1.0).alias("s")))
+        def signed(t: Column) -> Column:
+            return let(F.xxhash64(t), lambda h: F.struct(F.pmod(h, F.lit(self.dimensions)).alias("i"), F.when(h < 0, -1.0).otherwise(1.0).alias("s")))
 
-        def value(i: Column) -> Column:
-            return F.aggregate(F.filter(at, lambda x: x.i == i), F.lit(0.0), lambda a, x: a + x.s)
+        def summed(at: Column) -> Column:
+            every = F.sequence(F.lit(0).cast("long"), F.lit(self.dimensions - 1).cast("long"))
+            return F.transform(every, lambda i: F.aggregate(F.filter(at, lambda x: x.i == i), F.lit(0.0), lambda a, x: a + x.s))
 
-        return l2_normalize(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(self.dimensions - 1).cast("long")), value))
+        return l2_normalize(let(F.transform(tokens(F.lower(text)), signed), summed))
 
 
 class ModelEncoder:

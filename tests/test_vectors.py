@@ -134,12 +134,11 @@ def test_terms(spark):
     assert {(r.cluster, r.term) for r in top} == {(0, "alpha"), (1, "alpha")}
 
 
-class Model:
-    def encode(self, texts):
-        return [[float(len(t)), 1.0] for t in texts]
-
-
 def test_encoders(spark):
+    class Model:  # here, so that it travels to the workers with the function
+        def encode(self, texts):
+            return [[float(len(t)), 1.0] for t in texts]
+
     docs = spark.createDataFrame([("a b a",), ("A b a",), ("",), (None,)], "text string")
     got = [r.embedding for r in embed(docs, HashingEncoder(16)).collect()]
     assert got[0] == got[1] and abs(np.linalg.norm(got[0]) - 1) < 1e-9 and not any(got[2]) and not any(got[3])
