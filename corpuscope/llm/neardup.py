@@ -8,8 +8,8 @@ Nodes of at most ``LEAF`` classes are compared exhaustively.  Independent trees
 at the threshold is missed with less than ``MISS`` probability.
 
 Only components are wanted, so a node's pairs are never listed: its task compares sketches, keeps
-the groups that may be linked, and later confirms links on the full sets with a union-find that skips
-pairs which are connected already.  A group whose members are all in one component is finished.
+the groups that may be linked, and later compares the full sets of each group, skipping
+rows that are connected already.  A group whose members are all in one component is finished.
 
 Nodes that are still larger at the last depth are dealt into chunks that share ``LEADERS`` classes; where they hold more than one
 component afterwards, all classes outside the largest one are compared with all others, block by block, so nothing is left out.
@@ -35,7 +35,9 @@ from corpuscope.llm.components import connected
 from corpuscope.shared import written
 
 COORDINATES = 64
-LEAF = 192
+#: Classes of a node that one task compares with one another: some megabytes of sets, a fraction of a second of sketches.
+LEAF = 2048
+ROWS_AT_ONCE = 128
 LEADERS = 8
 DEPTH = 3
 MISS = 1e-3
@@ -136,7 +138,7 @@ def features(docs: DataFrame, width: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(class, tokens, sketch) of the wanted (doc_id, class) pairs, from the whole texts.
+    """(class, tokens) of the wanted (doc_id, class) pairs, from the whole texts.
 
     What is wanted grows with the documents: it is never broadcast, so the plan is the same at every size.
     """
@@ -145,10 +147,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         shingler = Shingler(width)
         for b in batches:
             got = [(c, s) for c, s in zip(b.column("class").to_pylist(), shingler.sets(b.column("text").to_pylist()), strict=True) if class_of(s) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([s.tobytes() for _, s in got], pa.binary()), pa.array([signature(s).astype(np.uint8).tobytes() for _, s in got], pa.binary())], ["class", "tokens", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([s.tobytes() for _, s in got], pa.binary())], ["class", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.hint("merge"), "doc_id").select("class", "text")
-    return rows.mapInArrow(run, "class long, tokens binary, sketch binary").dropDuplicates(["class"])
+    return rows.mapInArrow(run, "class long, tokens binary").dropDuplicates(["class"])
 
 
 # --- trees ---------------------------------------------------------------------------------------
@@ -232,24 +234,50 @@ def leaves(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame |
 # --- comparisons inside a node -------------------------------------------------------------------
 
 
-class UnionFind:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
+def merge(label: np.ndarray, i: int, others: np.ndarray) -> bool:
+    """Give row i and the others, and all rows of their labels, one label; whether that changed anything."""
+    found = np.unique(label[others])
+    found = found[found != label[i]]
+    if not len(found):
+        return False
+    every = np.append(found, label[i])
+    label[np.isin(label, every)] = every.min()
+    return True
 
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
 
-    def link(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
+def sketch_labels(sketch: np.ndarray, floor_: int) -> np.ndarray | None:
+    """A label for each row; rows whose sketches agree in ``floor_`` coordinates are connected.  None if no two do."""
+    label, linked = np.arange(len(sketch)), False
+    for at in range(0, len(sketch), ROWS_AT_ONCE):
+        near = (sketch[at : at + ROWS_AT_ONCE, None, :] == sketch[None, at:, :]).sum(axis=2, dtype=np.uint8) >= floor_
+        for k in range(len(near)):
+            others = np.flatnonzero(near[k, k + 1 :])
+            if len(others):
+                linked |= merge(label, at + k, at + k + 1 + others)
+    return label if linked else None
+
 
+def set_labels(tokens: list[np.ndarray], label: np.ndarray, num: int, den: int) -> bool:
+    """Connect rows whose sets are alike enough, all pairs compared on their full sets; whether any labels met.
 
-def matches(sketch: np.ndarray) -> np.ndarray:
-    """How many coordinates of each two rows agree."""
-    return (sketch[:, None, :] == sketch[None, :, :]).sum(axis=2)
+    A row's tokens are marked in the group's vocabulary, and every later row counts its marked ones at once.
+    """
+    size = np.array([len(t) for t in tokens])
+    code = np.unique(np.concatenate(tokens), return_inverse=True)[1]
+    begin = np.concatenate([[0], np.cumsum(size)])
+    mark, changed = np.zeros(int(code.max()) + 1, np.int32), False
+    for i in range(len(size) - 1):
+        rest = label[i + 1 :] != label[i]
+        if not rest.any():
+            continue
+        own = code[begin[i] : begin[i + 1]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[code[begin[i + 1] :]], begin[i + 1 : -1] - begin[i + 1])
+        mark[own] = 0
+        others = np.flatnonzero((den * both >= num * (size[i] + size[i + 1 :] - both)) & rest)
+        if len(others):
+            changed |= merge(label, i, i + 1 + others)
+    return changed
 
 
 def by_node(rows: DataFrame, work: Callable[[dict[str, list]], list[tuple]], schema: str, names: list[str]) -> DataFrame:
@@ -294,16 +322,13 @@ def likely_groups(nodes: DataFrame, sketches: DataFrame, floor_: int) -> DataFra
         if len(set(g["class"])) < len(g["class"]):
             first = {c: k for k, c in reversed(list(enumerate(g["class"])))}
             g = {name: [v[k] for k in first.values()] for name, v in g.items()}
-        near = matches(np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, COORDINATES)) >= floor_
-        i, j = np.nonzero(np.triu(near, 1))
-        if not len(i):
+        label = sketch_labels(np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, COORDINATES), floor_)
+        if label is None:
             return []
-        uf, out = UnionFind(len(near)), []
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            uf.link(x, y)
+        out: list[tuple] = []
         groups: dict[int, list[int]] = {}
-        for k in range(len(near)):
-            groups.setdefault(uf.root(k), []).append(g["class"][k])
+        for at, c in zip(label.tolist(), g["class"], strict=True):
+            groups.setdefault(at, []).append(c)
         for members in groups.values():
             if len(members) > 1:
                 name = int.from_bytes(blake2b(np.array(sorted(members), np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -315,7 +340,7 @@ def likely_groups(nodes: DataFrame, sketches: DataFrame, floor_: int) -> DataFra
     return found.groupBy("node", "class").agg(F.first("size").alias("size"))
 
 
-def confirmed(groups: DataFrame, sets: DataFrame, floor_: int, share: tuple[int, int]) -> DataFrame:
+def confirmed(groups: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links (a, b) that connect the classes of each group (node, class, comp) as far as their full sets do.
 
     Classes of one component count as connected.
@@ -323,33 +348,17 @@ def confirmed(groups: DataFrame, sets: DataFrame, floor_: int, share: tuple[int,
     num, den = share
 
     def work(g: dict[str, list]) -> list[tuple]:
-        tokens = [np.frombuffer(x, U64) for x in g["tokens"]]
-        n = len(tokens)
-        uf, seen = UnionFind(n), {}
-        for k, comp in enumerate(g["comp"]):
-            uf.link(k, seen.setdefault(comp, k))
-        same = matches(np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, COORDINATES))
-        i, j = np.nonzero(np.triu(same >= floor_, 1))
-        order = np.argsort(-same[i, j], kind="stable")
-        out = []
-        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-            if uf.root(x) == uf.root(y):
-                continue
-            a, b = tokens[x], tokens[y]
-            if den * min(len(a), len(b)) < num * max(len(a), len(b)):
-                continue
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if den * both >= num * (len(a) + len(b) - both):
-                out.append(uf.link(x, y))
-        if not out:
+        label = np.unique(np.array(g["comp"], np.int64), return_inverse=True)[1]
+        if not set_labels([np.frombuffer(x, U64) for x in g["tokens"]], label, num, den):
             return []
         # as stars around the smallest class of each part, which components settle in few rounds
         part: dict[int, list[int]] = {}
-        for k in range(n):
-            part.setdefault(uf.root(k), []).append(k)
-        return [(g["class"][k], least) for ks in part.values() if len({g["comp"][k] for k in ks}) > 1 for least in [min(g["class"][k] for k in ks)] for k in ks if g["class"][k] != least]
+        for k, at in enumerate(label.tolist()):
+            part.setdefault(at, []).append(k)
+        several = [ks for ks in part.values() if len({g["comp"][k] for k in ks}) > 1]
+        return [(g["class"][k], least) for ks in several for least in [min(g["class"][k] for k in ks)] for k in ks if g["class"][k] != least]
 
-    rows = groups.select("node", "class", "comp").join(sets, "class").select("node", "class", "comp", "tokens", "sketch")
+    rows = groups.select("node", "class", "comp").join(sets, "class").select("node", "class", "comp", "tokens")
     return by_node(rows, work, "a long, b long", ["a", "b"])
 
 
@@ -400,9 +409,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     wanted = groups.select("class").distinct().join(classes.select("class", F.col("first").alias("doc_id")), "class")
     sets = written(full_sets(docs, wanted, width), "sets")
     first = groups.join(largest, "node").select("node", "class", F.col("class").alias("comp"))
-    links = written(confirmed(first, sets, floor_, share), "links")
+    links = written(confirmed(first, sets, share), "links")
     roots = written(connected(links), "roots")
-    more = written(confirmed(_unfinished(groups.select("node", "class"), roots), sets, floor_, share), "links")
+    more = written(confirmed(_unfinished(groups.select("node", "class"), roots), sets, share), "links")
     links = links.unionByName(more)
     if not more.isEmpty():
         roots = written(connected(links), "roots")
@@ -411,7 +420,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
         known = sets.select("class")
         late = cells.select("class").distinct().join(known, "class", "left_anti").join(classes.select("class", F.col("first").alias("doc_id")), "class")
         all_sets = sets.unionByName(written(full_sets(docs, late, width), "sets")) if not late.isEmpty() else sets
-        rest = written(confirmed(_unfinished(cells.select("node", "class"), roots), all_sets, floor_, share), "links")
+        rest = written(confirmed(_unfinished(cells.select("node", "class"), roots), all_sets, share), "links")
         if not rest.isEmpty():
             roots = written(connected(links.unionByName(rest)), "roots")
     least = classes.select("class", "first").join(roots.withColumnRenamed("node", "class"), "class").groupBy("root").agg(F.min("first").alias("least"))
