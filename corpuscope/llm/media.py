@@ -189,7 +189,7 @@ def demux_bytes(media: bytes) -> dict:
     ends = np.cumsum(size)
     begins = (ends - size)[opens].tolist()
     units, good = [], bool(begins) and begins[0] == 0
-    for b, e in zip(begins, [*begins[1:], len(body)], strict=True):
+    for b, e in zip(begins, [*begins[1:], len(body)][: len(begins)], strict=True):
         unit = body[b:e]
         if len(unit) < 9 or unit[:3] != b"\x00\x00\x01":
             good = False
