@@ -159,40 +159,47 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return spark.createDataFrame(made, PLAN_SCHEMA)
 
 
-def drawn(docs: DataFrame, the_plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows with ``size``, ``source_size``, ``target`` and ``draws``: pass, words, shard and local order of each copy."""
+def drawn(docs: DataFrame, the_plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", prefix: str = "") -> DataFrame:
+    """The rows with ``size``, ``source_size``, ``target`` and ``draws``: pass, words, shard and local order of each copy.
+
+    With a prefix the new columns have it before their names; without, they replace columns of the same names.
+    """
     h, own = _key(id_col, text_col)
-    p = the_plan.select(*[F.col(c).alias(c if c in ("source_size", "target") else f"plan_{c}") for c in the_plan.columns])
+    n_size, n_source, n_target, n_draws = (f"{prefix}{c}" for c in ("size", "source_size", "target", "draws"))
+    p = the_plan.select(*[F.col(c).alias(f"{prefix}{c}" if c in ("source_size", "target") else f"plan_{c}") for c in the_plan.columns])
+    docs = docs.select(*[c for c in docs.columns if c not in (n_size, n_source, n_target, n_draws)])
     at = F.struct(h.alias("h"), own.alias("own"))
-    joined = docs.withColumn("size", word_count(F.col(text_col))).withColumn("draw_at", at).join(F.broadcast(p), F.col(source_col).eqNullSafe(F.col("plan_source")))  # a row for each source
+    joined = docs.withColumn(n_size, word_count(F.col(text_col))).withColumn("draw_at", at).join(F.broadcast(p), F.col(source_col).eqNullSafe(F.col("plan_source")))  # a row for each source
     blocks = F.col("plan_blocks")
     rank = F.pmod(F.pmod(F.col("draw_at.h"), blocks) * F.col("plan_factor") + F.col("plan_shift"), blocks)
     here, there = F.col("draw_at"), F.struct(F.col("plan_cut_hash").alias("h"), F.col("plan_cut_key").alias("own"))
-    size = F.col("size")
+    size = F.col(n_size)
     part = F.when(rank < F.col("plan_last_rank"), size).when((rank > F.col("plan_last_rank")) | F.col("plan_cut_hash").isNull(), 0).when(here < there, size).when(here == there, F.least(size, F.col("plan_cut_words"))).otherwise(0)
     joined = joined.withColumn("draw_rank", rank).withColumn("draw_part", part)
 
     def draw(n: Column) -> Column:
         index = n * F.col("plan_blocks") + F.col("draw_rank")
         shard = F.size(F.filter("plan_quota", lambda c: c <= index))
-        words = F.when(n < F.col("plan_passes"), F.col("size")).otherwise(F.col("draw_part"))
+        words = F.when(n < F.col("plan_passes"), size).otherwise(F.col("draw_part"))
         return F.struct(n.cast("int").alias("pass"), words.cast("long").alias("words"), shard.cast("int").alias("shard"), F.xxhash64(F.lit(SEED + 1), "draw_at", n).alias("key"))
 
     draws = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("plan_passes")), draw), lambda d: d.words > 0)
-    kept = [F.col(c) for c in docs.columns if c not in ("size", "source_size", "target", "draws")]
-    return joined.withColumn("draws", draws.cast(DRAW)).select(*kept, "size", "source_size", "target", "draws")
+    return joined.withColumn(n_draws, draws.cast(DRAW)).select(*docs.columns, n_size, n_source, n_target, n_draws)
 
 
 def mixed(docs: DataFrame, the_plan: DataFrame, shards: int = SHARDS, text_col: str = "text") -> DataFrame:
     """The mix itself: a row for each copy, shard by shard, each in its local random order.
 
-    The row at which a source's target is met is cut to the words that are still wanted.
+    The row at which a source's target is met is cut to the words that are still wanted.  Other columns go
+    along as they are; a column ``shard`` is replaced.
     """
-    cols = docs.columns
-    rows = drawn(docs, the_plan).withColumn("draw", F.explode("draws"))
-    first = F.array_join(F.slice(F.filter(F.split(text_col, WORD_GAP), lambda w: w != ""), F.lit(1), F.col("draw.words").cast("int")), " ")
-    rows = rows.withColumn(text_col, F.when(F.col("draw.words") < F.col("size"), first).otherwise(F.col(text_col)))
-    return rows.repartition(shards, "draw.shard").sortWithinPartitions("draw.shard", "draw.key").select(*cols, F.col("draw.shard").alias("shard"))
+    cols = [c for c in docs.columns if c != "shard"]
+    rows = drawn(docs.select(*cols), the_plan, prefix="mix_").withColumn("mix_draw", F.explode("mix_draws"))
+    words = F.col("mix_draw.words")
+    first = F.array_join(F.slice(F.filter(F.split(text_col, WORD_GAP), lambda w: w != ""), F.lit(1), words.cast("int")), " ")
+    rows = rows.withColumn(text_col, F.when(words < F.col("mix_size"), first).otherwise(F.col(text_col)))
+    placed = rows.repartition(shards, "mix_draw.shard").sortWithinPartitions("mix_draw.shard", "mix_draw.key")
+    return placed.select(*cols, F.col("mix_draw.shard").alias("shard"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,8 @@ def test_mixing(spark, docs):
     assert {(r.doc_id, str(r.draws)) for r in again.collect()} == {(r.doc_id, str(r.draws)) for r in got}
     odd = mixing.drawn(docs.select("doc_id", "text", "source"), mixing.plan(docs.select("doc_id", "text", "source"))).collect()
     assert len(odd) == len(TEXTS) and {r["size"] for r in odd} == {len(WORD.findall(t or "")) for _, t, *_ in TEXTS}
+    clash = mixing.mixed(docs, mixing.plan(docs))  # has columns named size and score
+    assert clash.columns == [*docs.columns, "shard"] and {(r["size"], r.score) for r in clash.collect()} == {(1, "x")}
     empty = docs.select("doc_id", "text", "source").limit(0)
     assert mixing.drawn(empty, mixing.plan(empty)).count() == 0
 
