@@ -140,12 +140,13 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
 
     learn = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
     sums = learn.mapInArrow(run, "lang string, dim int, value double").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
-    rows = sums.limit(MAX_LANGUAGES * DIMENSIONS + 1).collect()
-    if len(rows) > MAX_LANGUAGES * DIMENSIONS:
+    got = sums.limit(MAX_LANGUAGES * DIMENSIONS + 1).toArrow()
+    if got.num_rows > MAX_LANGUAGES * DIMENSIONS:
         raise ValueError(f"more than {MAX_LANGUAGES} language codes")
-    out: dict[str, np.ndarray] = {}
-    for r in rows:
-        out.setdefault(r.lang, np.zeros(DIMENSIONS))[r.dim] = r.value
+    names, which = np.unique(np.array(got.column("lang").to_pylist(), object), return_inverse=True)
+    sums_of = np.zeros((len(names), DIMENSIONS))
+    sums_of[which, got.column("dim").to_numpy()] = got.column("value").to_numpy()
+    out = dict(zip(names.tolist(), sums_of, strict=True))
     return {x: v / n for x, v in sorted(out.items()) if (n := float(np.sqrt(v @ v)))}
 
 
