@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from corpuscope.shared import drop_all, new_path, shared_dir, written
 from corpuscope.sources import corpus
 from corpuscope.sources.store import VectorStore, rendered_metadata
 
@@ -64,3 +65,12 @@ def test_store(spark, tmp_path):
 def test_rendered_metadata(spark):
     row = rendered_metadata(spark.range(1).select(F.lit(1).alias("a"), F.array(F.lit(1), F.lit(2)).alias("b"))).first()
     assert (row.a, row.b) == (1, "[1,2]")
+
+
+def test_shared_tables(spark):
+    drop_all(spark)
+    path = new_path(spark, "numbers")
+    assert path.startswith(shared_dir(spark)) and written(spark.range(5), "numbers", path).count() == 5
+    assert drop_all(spark) == 1 and drop_all(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
