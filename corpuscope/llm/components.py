@@ -2,7 +2,12 @@
 
 Alternating large-star and small-star steps, each one aggregation and one join.  Edges are rewritten
 towards the smallest neighbour until every node hangs on its component's smallest node.  Each round is written to the shared
-folder, so that lost executors cost one round at most and lineage does not grow.
+folder, so that lost executors cost one round at most and lineage does not grow; the round before is deleted then.
+
+The hub of a large component is one key with as many rows as the component has nodes.  Smallest neighbours are found by
+aggregations, which combine in each task; for the join, hubs with more than one in ``MAX_HUBS`` of all rows have
+their rows salted.  There are ``MAX_HUBS`` of them at most, so their list is broadcast.  Rounds end when nothing changes;
+their number grows with the logarithm of the longest path, and none is skipped.
 """
 
 from __future__ import annotations
@@ -10,18 +15,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.shared import written
+from corpuscope.shared import drop_path, new_path, written
 
-MAX_ROUNDS = 64
+MAX_HUBS, SALTS = 1000, 64
+#: Rows of a hub that one task takes in any case.
+HUB_ROWS = 100_000
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+def _star(edges: DataFrame, small: bool, n_edges: int) -> DataFrame:
     """One step: the neighbours of each node (its smaller ones if ``small``, else its larger ones) go to the smallest."""
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     if not small:
         both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+    if 2 * n_edges > HUB_ROWS:
+        hub = F.col("n") > max(HUB_ROWS, 2 * n_edges // MAX_HUBS)
+        hubs = least.where(hub).select(F.col("u").alias("hub"))
+        salted = both.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left")  # MAX_HUBS rows at most
+        salted = salted.withColumn("salt", F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0)).drop("hub")
+        spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(hub, SALTS - 1).otherwise(0).cast("long"))))
+        joined = salted.join(spread.hint("merge"), ["u", "salt"])
+    else:
+        joined = both.join(least, "u")
     moved = joined.where("v <> m" if small else "v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     own = least.where("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b")) if small else None
     out = moved.unionByName(own) if small else moved
@@ -34,15 +49,14 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Nulls and loops link nothing; repeated edges count once; no edges give no rows.
     """
-    now = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "edges")
-    before = None
-    for _ in range(MAX_ROUNDS):
-        now = written(_star(_star(now, small=False), small=True), "edges")
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
-    else:
-        raise RuntimeError("components did not settle")
+    spark = edges.sparkSession
+    path = new_path(spark, "edges")
+    now = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "edges", path)
+    before, state = None, (now.count(), None)
+    while state != before:
+        before, old, path = state, path, new_path(spark, "edges")
+        now = written(_star(_star(now, False, state[0]), True, state[0]), "edges", path)
+        drop_path(spark, old)
+        state = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
     roots = now.groupBy("a").agg(F.min("b").alias("b"))
     return roots.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -1,53 +1,73 @@
 """Near duplicates by a chosen-path set similarity join (operator 4).
 
 Documents are sets of word shingles.  Documents with equal sets form a class, and classes are what is
-joined.  A class has a signature of ``COORDINATES`` minwise tokens.  In a chosen-path tree each node draws a few of
-these coordinates, each with probability 1 / (threshold * COORDINATES), and its classes branch to one child for each drawn
-coordinate and token; so similar classes stay together with a constant chance at every depth, others part.
-Nodes of at most ``LEAF`` classes are compared exhaustively.  Independent trees are repeated until a pair
-at the threshold is missed with less than ``MISS`` probability.
+joined.  A class has a signature of ``COORDINATES`` minwise tokens.  In a chosen-path tree each node draws a few
+coordinates of its tree's pool, one in expectation that a pair at the threshold agrees in, and its classes branch to one
+child for each drawn coordinate and token; so similar classes stay together with a constant chance at every depth,
+others part.  Nodes of at most ``LEAF`` classes are compared exhaustively.  The trees of the first forest have disjoint
+pools, so they are independent, and there are as many as miss a pair at the threshold with less than ``MISS`` probability
+(``missed`` computes it).
 
 Only components are wanted, so a node's pairs are never listed: its task compares sketches, keeps
-the groups that may be linked, and later compares the full sets of each group, skipping
-rows that are connected already.  A group whose members are all in one component is finished.
+the groups that may be linked, and later compares the full sets of each group by one matrix product over the shared
+tokens.  Groups are cut into cells of at most ``SET_TOKENS`` tokens, all pairs of blocks, so long texts do not add up in
+a task.  A group whose members are all in one component is finished.
 
-Nodes that are still larger at the last depth are dealt into chunks that share ``LEADERS`` classes; where they hold more than one
-component afterwards, all classes outside the largest one are compared with all others, block by block, so nothing is left out.
+Oversized nodes are first dealt into chunks that share ``LEADERS`` classes.  Where that leaves several components, they
+branch on.  What is still open at the last depth is, up to ``CLUSTER`` classes around one component, compared block by
+block, those outside the largest component with all; larger clusters go through a forest of twice the depth, whose number
+of trees follows from ``missed`` again, and so on to ``DEEPEST``.  So a class meets a bounded number of others in a
+node, whatever the size of its group, and the work grows with the rows.  Nothing is left out: what even the
+deepest forest leaves open is compared block by block.
 
 Defined results: a text without words has no shingles and is linked with nothing; a text of fewer words than a shingle is one
-shingle; rows with a null id are linked with nothing and kept; repeated rows are equal
-and share a component; an empty table gives an empty result; extra columns are not kept.
+shingle; texts of any length are read to their end, in pieces; rows with a null id are linked with nothing and
+kept; repeated rows are equal and share a component, of which the smallest id is kept; an empty table gives an empty result; extra
+columns are not kept, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 from hashlib import blake2b
-from math import ceil, exp, log
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpuscope.llm.common import U64, chunks, mix64, powers, table
 from corpuscope.llm.components import connected
 from corpuscope.shared import written
 
-COORDINATES = 64
-#: Classes of a node that one task compares with one another: some megabytes of sets, a fraction of a second of sketches.
-LEAF = 2048
+#: Minwise tokens of a class, 16 bits of each; the first forest's trees have ``POOL`` of their own.
+COORDINATES, POOL = 128, 8
+#: Coordinates whose low bytes are the sketch.
+SKETCH = 64
+#: Classes of a node that one task compares with one another, and of either side of a cell of a larger cluster.
+LEAF, TILE = 512, 1024
+#: Classes around one component that are compared block by block; more branch deeper.
+CLUSTER = 16_384
+#: Tokens of the full sets in a cell, beside one set of any size for each of its two blocks.
+SET_TOKENS = 1 << 21
 ROWS_AT_ONCE = 128
 LEADERS = 8
-DEPTH = 3
+DEPTH, DEEPEST = 3, 24
 MISS = 1e-3
 PIECE = 1 << 19
 MULTIPLIER = 0x9FB21C651E98DF25
 #: Deviations below the threshold at which a sketch rules a pair out.
 SLACK = 3.5
+#: A node's name keeps its tree in the low bits.
+TREE_BITS = 8
 
 _A = mix64(np.arange(1, COORDINATES + 1, dtype=U64)) | U64(1)
 _B = mix64(np.arange(1001, COORDINATES + 1001, dtype=U64))
+_A32, _B32 = _A.astype(np.uint32) | np.uint32(1), (_B >> U64(32)).astype(np.uint32)
 
 
 # --- sets and signatures -------------------------------------------------------------------------
@@ -111,12 +131,12 @@ class Shingler:
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """The minwise token of each coordinate, 32 bits each."""
-    out = np.full(COORDINATES, 0xFFFFFFFF, U64)
-    for at in range(0, len(tokens), 2048):
-        h = ((tokens[at : at + 2048, None] ^ _B) * _A) >> U64(32)
-        out = np.minimum(out, h.min(axis=0))
-    return out.astype(np.uint32)
+    """16 bits of the minwise token of each coordinate."""
+    out = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
+    short = (tokens ^ (tokens >> U64(32))).astype(np.uint32)
+    for at in range(0, len(short), 1024):
+        out = np.minimum(out, ((short[at : at + 1024, None] ^ _B32) * _A32).min(axis=0))
+    return out.astype(np.uint16)
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -124,21 +144,27 @@ def class_of(tokens: np.ndarray) -> int:
     return int.from_bytes(blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _with_key(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): the key tells texts of one id apart."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
+
+
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, class, sig) of each row."""
+    """(doc_id, key, n_shingles, class, sig) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for b in batches:
             made = [(len(s), class_of(s), signature(s).tobytes()) for s in shingler.sets(b.column("text").to_pylist())]
             n, c, sig = zip(*made, strict=True) if made else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "class", "sig"])
+            made = [b.column("doc_id"), b.column("key"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "key", "n_shingles", "class", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long, sig binary")
+    return _with_key(docs).mapInArrow(run, "doc_id long, key long, n_shingles long, class long, sig binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(class, tokens) of the wanted (doc_id, class) pairs, from the whole texts.
+    """(class, size, tokens) of the wanted (doc_id, key, class), from the whole texts.
 
     What is wanted grows with the documents: it is never broadcast, so the plan is the same at every size.
     """
@@ -146,89 +172,111 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for b in batches:
-            got = [(c, s) for c, s in zip(b.column("class").to_pylist(), shingler.sets(b.column("text").to_pylist()), strict=True) if class_of(s) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in got], pa.int64()), pa.array([s.tobytes() for _, s in got], pa.binary())], ["class", "tokens"])
+            got = [(c, len(s), s.tobytes()) for c, s in zip(b.column("class").to_pylist(), shingler.sets(b.column("text").to_pylist()), strict=True) if class_of(s) == c]
+            made = [pa.array([x[k] for x in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(made, ["class", "size", "tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.hint("merge"), "doc_id").select("class", "text")
-    return rows.mapInArrow(run, "class long, tokens binary").dropDuplicates(["class"])
+    rows = _with_key(docs).join(wanted.hint("merge"), ["doc_id", "key"]).select("class", "text")
+    return rows.mapInArrow(run, "class long, size long, tokens binary").dropDuplicates(["class"])
 
 
 # --- trees ---------------------------------------------------------------------------------------
 
 
-def trees_for(threshold: float, depth: int = DEPTH, miss: float = MISS) -> int:
-    """Trees after which a pair at the threshold has been together in no leaf with probability ``miss`` at most.
+@dataclass(frozen=True)
+class Forest:
+    """Trees of one depth; each draws from a pool of its own, or all from every coordinate where pools have that size."""
+
+    seed: int
+    trees: int
+    pool: int
+    depth: int
+
+    def limit(self, threshold: float) -> np.uint64:
+        """Hashes below it draw a coordinate, so that a node draws 1 / threshold of them in expectation."""
+        return U64(int((1 << 64) * min(0.999, 1 / (threshold * self.pool))))
+
+    def coordinates(self, tree: np.ndarray) -> np.ndarray:
+        """The pool of each tree, a row each."""
+        first = (tree * self.pool) % COORDINATES if self.pool < COORDINATES else tree * 0
+        return first[:, None] + np.arange(self.pool)
+
 
-    A pair survives a depth with a branching process: each node draws Poisson(1 / threshold) coordinates, and
-    the pair shares the token of each with the probability of its similarity.
+def _together(agree: int, share: float, depth: int) -> float:
+    """Probability that a pair that agrees in so many coordinates of a pool is together in a node of a depth.
+
+    Each node draws each coordinate with probability ``share``, and the pair goes on to the children of those it agrees in.
     """
     meet = 1.0
     for _ in range(depth):
-        meet = 1 - exp(-meet)
-    return ceil(log(miss) / log(1 - meet))
+        meet = 1 - (1 - share * meet) ** agree
+    return meet
+
 
+def missed(threshold: float, forest: Forest) -> float:
+    """Probability that a pair at the threshold is in no node of the forest's last depth together."""
+    share = min(0.999, 1 / (threshold * forest.pool))
+    agree = [comb(forest.pool, k) * threshold**k * (1 - threshold) ** (forest.pool - k) for k in range(forest.pool + 1)]
+    apart = [1 - _together(k, share, forest.depth) for k in range(forest.pool + 1)]
+    if forest.pool < COORDINATES:
+        return sum(p * x for p, x in zip(agree, apart, strict=True)) ** forest.trees
+    return sum(p * x**forest.trees for p, x in zip(agree, apart, strict=True))
 
-def _frame(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(columns)
 
+def forest_for(threshold: float, depth: int, miss: float = MISS) -> Forest:
+    """The first forest, or a deeper one, with as many trees as miss a pair at the threshold with that probability at most.
 
-def _drawn(node: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, coordinate) pairs that the rows' nodes draw."""
-    limit = U64(int((1 << 64) / (threshold * COORDINATES)))
-    return np.nonzero(mix64(node[:, None] + _B) < limit)
+    Pools limit the first one to ``COORDINATES // POOL`` trees, which thresholds of 0.8 or more do not need.
+    """
+    pool, most = (POOL, COORDINATES // POOL) if depth <= DEPTH else (COORDINATES, (1 << TREE_BITS) - 1)
+    for trees in range(1, most):
+        if missed(threshold, f := Forest(depth, trees, pool, depth)) <= miss:
+            return f
+    return Forest(depth, most, pool, depth)
 
 
-def branched(rows: DataFrame, threshold: float, trees: int = 0) -> DataFrame:
-    """(node, class) of the children: of the roots of so many trees, or of the rows' own nodes."""
+def branched(rows: DataFrame, threshold: float, forest: Forest, roots: bool = False) -> DataFrame:
+    """(node, class) of the children of the rows' (node, class, sig) nodes, or of the roots of the forest's trees."""
+    low = U64((1 << TREE_BITS) - 1)
+
+    def drawn(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pool = forest.coordinates((node & low).astype(np.int64))
+        row, at = np.nonzero(mix64(node[:, None] + _B[pool]) < forest.limit(threshold))
+        return row, pool[row, at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = np.arange(forest.trees, dtype=U64)
+        root = mix64(tree + U64(forest.seed << 20)) & ~low | tree
         for b in batches:
-            c = b.column("class").to_numpy()
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            if trees:
-                root = mix64(np.arange(trees, dtype=U64) + U64(0xC0FFEE))
-                tree, at = _drawn(root, threshold)
-                row, node, at = np.repeat(np.arange(len(c)), len(at)), np.tile(root[tree], len(c)), np.tile(at, len(c))
-            else:
-                own = b.column("node").to_numpy().astype(U64)
-                row, at = _drawn(own, threshold)
-                node = own[row]
-            child = mix64(mix64(node + _A[at]) ^ sig[row, at])
-            for x in range(0, len(child), 200_000):
-                yield _frame({"node": child[x : x + 200_000].astype(np.int64), "class": c[row[x : x + 200_000]]})
+            for x in range(0, b.num_rows, 2048):
+                part = b.slice(x, 2048)
+                c = part.column("class").to_numpy()
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, COORDINATES)
+                if roots:
+                    of, at = drawn(root)
+                    row, node, at = np.repeat(np.arange(len(c)), len(at)), np.tile(root[of], len(c)), np.tile(at, len(c))
+                else:
+                    own = part.column("node").to_numpy().astype(U64)
+                    row, at = drawn(own)
+                    node = own[row]
+                child = mix64(mix64(node + _A[at]) ^ sig[row, at]) & ~low | node & low
+                yield pa.RecordBatch.from_pydict({"node": child.astype(np.int64), "class": c[row]})
 
     return rows.mapInArrow(run, "node long, class long")
 
 
 def chunked(big: DataFrame) -> DataFrame:
-    """(node, class) of chunks of oversized nodes (node, class, n), the leaders of a node in each of its chunks."""
-    n_chunks = F.ceil(F.col("n") / F.lit(LEAF - LEADERS)).cast("long")
-    chunk = F.pmod(F.xxhash64("class", "node"), n_chunks)
-    own = big.select(F.xxhash64("node", chunk).alias("node"), "class")
-    leaders = big.groupBy("node", "n").agg(*[F.min(F.struct(F.xxhash64("class", "node", F.lit(k)).alias("h"), F.col("class").alias("c"))).alias(f"l{k}") for k in range(LEADERS)])
-    each = leaders.select("node", "n", F.explode(F.array(*[F.col(f"l{k}.c") for k in range(LEADERS)])).alias("class"))
-    spread = each.select("node", "class", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks - 1)).alias("chunk"))
-    return own.unionByName(spread.select(F.xxhash64("node", F.col("chunk")).alias("node"), "class")).distinct()
-
-
-def leaves(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
-    """(node, class) of all leaves of all trees, and (node, class, n) of nodes that stayed too large."""
-    found, big = None, None
-    frontier = branched(classes, threshold, trees=trees_for(threshold))
-    for depth in range(1, DEPTH + 1):
-        frontier = written(frontier, "frontier")
-        count = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = written(frontier.join(count, "node"), "nodes")
-        small = sized.where(F.col("n") <= LEAF).select("node", "class")
-        found = small if found is None else found.unionByName(small)
-        large = sized.where(F.col("n") > LEAF)
-        if large.isEmpty():
-            break
-        if depth == DEPTH:
-            big = large
-        else:
-            frontier = branched(large.select("node", "class").join(classes, "class"), threshold)
-    return found, big
+    """(node, class) of chunks of oversized nodes (node, class, n), the leaders of a node in each of its chunks.
+
+    Each class goes with the largest of its nodes.
+    """
+    own = big.groupBy("class").agg(F.max_by("node", F.struct("n", "node")).alias("node"))
+    hashes = [F.min(F.struct(F.xxhash64("class", "node", F.lit(k)).alias("h"), F.col("class").alias("c"))).alias(f"l{k}") for k in range(LEADERS)]
+    nodes = own.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / F.lit(LEAF - LEADERS)).cast("long").alias("n_chunks"), *hashes)
+    dealt = own.join(nodes.select("node", "n_chunks"), "node").select(F.xxhash64("node", F.pmod(F.xxhash64("class", "node"), "n_chunks")).alias("node"), "class")
+    each = nodes.select("node", "n_chunks", F.explode(F.array(*[F.col(f"l{k}.c") for k in range(LEADERS)])).alias("class"))
+    spread = each.select("node", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)).alias("chunk"))
+    return dealt.unionByName(spread.select(F.xxhash64("node", F.col("chunk")).alias("node"), "class")).distinct()
 
 
 # --- comparisons inside a node -------------------------------------------------------------------
@@ -257,27 +305,41 @@ def sketch_labels(sketch: np.ndarray, floor_: int) -> np.ndarray | None:
     return label if linked else None
 
 
-def set_labels(tokens: list[np.ndarray], label: np.ndarray, num: int, den: int) -> bool:
-    """Connect rows whose sets are alike enough, all pairs compared on their full sets; whether any labels met.
-
-    A row's tokens are marked in the group's vocabulary, and every later row counts its marked ones at once.
-    """
+def shared_counts(tokens: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two of some sets share, by products of 0/1 matrices over the tokens that occur twice."""
+    n = len(tokens)
+    code, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)[1:]
+    own, several = np.repeat(np.arange(n), [len(t) for t in tokens]), times > 1
+    keep = several[code]
+    code, own = (np.cumsum(several) - 1)[code[keep]], own[keep]
+    order = np.argsort(code, kind="stable")
+    code, own, vocabulary = code[order], own[order], int(several.sum())
+    both, width = np.zeros((n, n)), max(64, (1 << 22) // n)
+    for at in range(0, vocabulary, width):
+        a, b = np.searchsorted(code, (at, at + width))
+        x = np.zeros((n, min(width, vocabulary - at)), np.float32)  # whole numbers below 2**24 are exact
+        x[own[a:b], code[a:b] - at] = 1
+        both += x @ x.T
+    return both
+
+
+def parts_of(link: np.ndarray) -> np.ndarray:
+    """A label for each row of a symmetric matrix of links, the number of its part's first row."""
+    label = np.full(len(link), -1)
+    for i in range(len(link)):
+        if label[i] < 0:
+            new = np.array([i])
+            while len(new):
+                label[new] = i
+                new = np.flatnonzero(link[new].any(axis=0) & (label < 0))
+    return label
+
+
+def set_labels(tokens: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """A label for each set; sets that are alike enough are connected, all pairs compared on their full sets."""
     size = np.array([len(t) for t in tokens])
-    code = np.unique(np.concatenate(tokens), return_inverse=True)[1]
-    begin = np.concatenate([[0], np.cumsum(size)])
-    mark, changed = np.zeros(int(code.max()) + 1, np.int32), False
-    for i in range(len(size) - 1):
-        rest = label[i + 1 :] != label[i]
-        if not rest.any():
-            continue
-        own = code[begin[i] : begin[i + 1]]
-        mark[own] = 1
-        both = np.add.reduceat(mark[code[begin[i + 1] :]], begin[i + 1 : -1] - begin[i + 1])
-        mark[own] = 0
-        others = np.flatnonzero((den * both >= num * (size[i] + size[i + 1 :] - both)) & rest)
-        if len(others):
-            changed |= merge(label, i, i + 1 + others)
-    return changed
+    both = shared_counts(tokens)
+    return parts_of(den * both >= num * (size[:, None] + size - both))
 
 
 def by_node(rows: DataFrame, work: Callable[[dict[str, list]], list[tuple]], schema: str, names: list[str]) -> DataFrame:
@@ -322,7 +384,7 @@ def likely_groups(nodes: DataFrame, sketches: DataFrame, floor_: int) -> DataFra
         if len(set(g["class"])) < len(g["class"]):
             first = {c: k for k, c in reversed(list(enumerate(g["class"])))}
             g = {name: [v[k] for k in first.values()] for name, v in g.items()}
-        label = sketch_labels(np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, COORDINATES), floor_)
+        label = sketch_labels(np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, SKETCH), floor_)
         if label is None:
             return []
         out: list[tuple] = []
@@ -340,6 +402,20 @@ def likely_groups(nodes: DataFrame, sketches: DataFrame, floor_: int) -> DataFra
     return found.groupBy("node", "class").agg(F.first("size").alias("size"))
 
 
+def in_cells(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, class, comp, tokens): the groups (node, class, comp) with their full sets, large ones cut into cells.
+
+    A group's sets are dealt by size into blocks of half of ``SET_TOKENS``; where there are several, a cell holds two.
+    """
+    sized = groups.join(sets.select("class", "size"), "class")
+    before = F.sum("size").over(Window.partitionBy("node").orderBy("size", "class")) - F.col("size")  # a node is bounded
+    dealt = sized.withColumn("block", F.floor(before / F.lit(SET_TOKENS // 2)))
+    dealt = dealt.withColumn("blocks", F.max("block").over(Window.partitionBy("node")) + 1)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("blocks = 1 OR other <> block")
+    cell = F.when(F.col("blocks") == 1, F.col("node")).otherwise(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")))
+    return dealt.select(cell.alias("node"), "class", "comp").join(sets.select("class", "tokens"), "class").select("node", "class", "comp", "tokens")
+
+
 def confirmed(groups: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links (a, b) that connect the classes of each group (node, class, comp) as far as their full sets do.
 
@@ -348,9 +424,7 @@ def confirmed(groups: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Dat
     num, den = share
 
     def work(g: dict[str, list]) -> list[tuple]:
-        label = np.unique(np.array(g["comp"], np.int64), return_inverse=True)[1]
-        if not set_labels([np.frombuffer(x, U64) for x in g["tokens"]], label, num, den):
-            return []
+        label = set_labels([np.frombuffer(x, U64) for x in g["tokens"]], num, den)
         # as stars around the smallest class of each part, which components settle in few rounds
         part: dict[int, list[int]] = {}
         for k, at in enumerate(label.tolist()):
@@ -358,85 +432,137 @@ def confirmed(groups: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Dat
         several = [ks for ks in part.values() if len({g["comp"][k] for k in ks}) > 1]
         return [(g["class"][k], least) for ks in several for least in [min(g["class"][k] for k in ks)] for k in ks if g["class"][k] != least]
 
-    rows = groups.select("node", "class", "comp").join(sets, "class").select("node", "class", "comp", "tokens")
-    return by_node(rows, work, "a long, b long", ["a", "b"])
+    return by_node(in_cells(groups, sets), work, "a long, b long", ["a", "b"])
 
 
-def _unfinished(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """Groups (node, class, comp) that still hold more than one component."""
-    now = groups.join(roots.withColumnRenamed("node", "class"), "class", "left").select("node", "class", F.coalesce("root", "class").alias("comp"))
-    several = now.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
-    return now.join(several, "node")
+def around(nodes: DataFrame) -> DataFrame:
+    """(main, class, outside, n) of open nodes (node, class, comp): nodes with the same largest component are one cluster."""
+    most = nodes.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    members = nodes.join(most, "node").groupBy("main", "class").agg(F.first(F.col("comp") != F.col("main")).alias("outside"))
+    return members.join(members.groupBy("main").agg(F.count(F.lit(1)).alias("n")), "main")
 
 
-def _rest_of(big: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, class) cells in which all classes of oversized nodes meet those outside their nodes' largest components.
+def cells(clusters: DataFrame) -> DataFrame:
+    """(node, class) cells in which all classes of clusters (main, class, outside) meet those outside the largest component.
 
-    Nodes of all trees with the same largest component are taken together, so that a pair meets once.  Both sides are
-    dealt into blocks; a cell holds one block of either side.
+    Both sides are dealt into blocks; a cell holds one block of either side.
     """
-    now = _unfinished(big.select("node", "class"), roots)
-    most = now.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    members = written(now.join(most, "node").select("main", "class", (F.col("comp") != F.col("main")).alias("outside")).distinct(), "rest")
-    half = LEAF // 2
-    sizes = members.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / half).alias("rows"), F.ceil(F.sum(F.col("outside").cast("long")) / half).alias("cols"))
-    dealt = members.join(sizes, "main").select("main", "class", "outside", "rows", "cols", F.pmod(F.xxhash64("class", "main"), "rows").alias("row"), F.pmod(F.xxhash64("class", "main", F.lit(1)), "cols").alias("col"))
+    sizes = clusters.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("rows"), F.ceil(F.sum(F.col("outside").cast("long")) / TILE).alias("cols"))
+    dealt = clusters.join(sizes, "main").select("main", "class", "outside", "rows", "cols", F.pmod(F.xxhash64("class", "main"), "rows").alias("row"), F.pmod(F.xxhash64("class", "main", F.lit(1)), "cols").alias("col"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    cells_in = dealt.select("main", "class", "row", upto("cols").alias("col"))
-    cells_out = dealt.where("outside").select("main", "class", upto("rows").alias("row"), "col")
-    return cells_in.unionByName(cells_out).select(F.xxhash64("main", "row", "col").alias("node"), "class").distinct()
+    all_ = dealt.select("main", "class", "row", upto("cols").alias("col"))
+    outside = dealt.where("outside").select("main", "class", upto("rows").alias("row"), "col")
+    return all_.unionByName(outside).select(F.xxhash64("main", "row", "col").alias("node"), "class").distinct()
+
+
+class Join:
+    """The links found so far, as (node, root) rows, and the full sets that were needed for them."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, share: tuple[int, int]) -> None:
+        self.docs, self.classes, self.width, self.share = docs, classes, width, share
+        self.threshold = share[0] / share[1]
+        self.floor = int(SKETCH * (self.threshold - SLACK * (self.threshold * (1 - self.threshold) / SKETCH) ** 0.5))
+        self.sketches = sketch_of(classes)
+        self.roots = docs.sparkSession.createDataFrame([], "node long, root long")
+        self.sets = docs.sparkSession.createDataFrame([], "class long, size long, tokens binary")
+
+    def open(self, groups: DataFrame) -> DataFrame:
+        """The groups (node, class, ...) that still hold more than one component, with ``comp``."""
+        now = groups.join(self.roots.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
+        several = now.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
+        return now.join(several, "node")
+
+    def confirm(self, groups: DataFrame) -> None:
+        links = written(confirmed(self.open(groups).select("node", "class", "comp"), self.sets, self.share), "links")
+        if not links.isEmpty():
+            known = self.roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            self.roots = written(connected(links.unionByName(known)), "roots")
+
+    def compare(self, nodes: DataFrame) -> None:
+        """Find all links inside nodes of bounded size (node, class)."""
+        groups = written(likely_groups(nodes, self.sketches, self.floor), "groups")
+        wanted = groups.select("class").distinct().join(self.sets.select("class"), "class", "left_anti")
+        new = written(full_sets(self.docs, wanted.join(self.classes.select("class", "doc_id", "key"), "class"), self.width), "sets")
+        self.sets = self.sets.unionByName(new)
+        # a group that is the largest of one of its members first; then what those leave open
+        largest = groups.groupBy("class").agg(F.max_by("node", F.struct("size", "node")).alias("node")).select("node").distinct()
+        groups = groups.select("node", "class")
+        self.confirm(groups.join(largest, "node"))
+        self.confirm(groups)
+
+    def grow(self, members: DataFrame, forest: Forest) -> DataFrame | None:
+        """Compare the nodes of a forest over classes (class, sig); the ones left open as too large (node, class, comp), if any."""
+        frontier, small, big = branched(members, self.threshold, forest, roots=True), [], None
+        for depth in range(1, forest.depth + 1):
+            frontier = written(frontier, "frontier")
+            count = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            sized = written(frontier.join(count, "node"), "nodes")
+            small.append(sized.where(F.col("n") <= LEAF).select("node", "class"))
+            big = sized.where(F.col("n") > LEAF)
+            if big.isEmpty():
+                big = None
+                break
+            if depth == 1:
+                self.compare(chunked(big))
+            big = written(self.open(big), "open")
+            if forest.depth > DEPTH:  # clusters of a deeper forest are compared as soon as they are small enough
+                near = big.where(F.col("n") <= CLUSTER).withColumnRenamed("node", "main")
+                main = F.max_by("comp", "k").over(Window.partitionBy("main"))
+                near = near.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("main", "comp"))).withColumn("outside", F.col("comp") != main)
+                small.append(cells(near.select("main", "class", "outside")))
+                big = big.where(F.col("n") > CLUSTER)
+            if big.isEmpty():
+                big = None
+                break
+            if depth < forest.depth:
+                frontier = branched(big.select("node", "class").join(self.classes, "class").select("node", "class", "sig"), self.threshold, forest)
+        self.compare(reduce(DataFrame.unionByName, small))
+        return big if big is None else written(self.open(big.drop("comp")), "open")
+
+    def run(self) -> DataFrame:
+        """(node, root) of every class that has a link."""
+        members, depth = self.classes, DEPTH
+        while True:
+            left = self.grow(members.select("class", "sig"), forest_for(self.threshold, depth))
+            if left is None or left.isEmpty():
+                return self.roots
+            clusters = written(around(left.select("node", "class", "comp")), "clusters")
+            depth *= 2
+            self.compare(cells(clusters.where(F.col("n") <= CLUSTER) if depth <= DEEPEST else clusters))
+            larger = clusters.where(F.col("n") > CLUSTER).select("class").distinct()
+            if depth > DEEPEST or larger.isEmpty():
+                return self.roots
+            members = written(self.classes.join(larger, "class"), "members")
 
 
 # --- the operator --------------------------------------------------------------------------------
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept) of every row of (doc_id, text), and its text's ``key`` and ``class``.
 
     Two documents are linked if ``share[1]`` times their common shingles are at least ``share[0]`` times all of theirs.
     """
-    threshold = share[0] / share[1]
-    floor_ = int(COORDINATES * (threshold - SLACK * (threshold * (1 - threshold) / COORDINATES) ** 0.5))
     every = written(features(docs, width), "features")
     linkable = every.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = written(linkable.groupBy("class").agg(F.min("doc_id").alias("first"), F.min_by("sig", "doc_id").alias("sig")), "classes")
-    nodes, big = leaves(classes.select("class", "sig"), threshold)
-    sketches = sketch_of(classes)
-    groups = likely_groups(nodes if big is None else nodes.unionByName(chunked(big)), sketches, floor_)
-    groups = written(groups, "groups")
-    # a group that is the largest of one of its members first; what those leave open afterwards
-    largest = groups.groupBy("class").agg(F.max_by("node", F.struct("size", "node")).alias("node")).select("node").distinct()
-    wanted = groups.select("class").distinct().join(classes.select("class", F.col("first").alias("doc_id")), "class")
-    sets = written(full_sets(docs, wanted, width), "sets")
-    first = groups.join(largest, "node").select("node", "class", F.col("class").alias("comp"))
-    links = written(confirmed(first, sets, share), "links")
-    roots = written(connected(links), "roots")
-    more = written(confirmed(_unfinished(groups.select("node", "class"), roots), sets, share), "links")
-    links = links.unionByName(more)
-    if not more.isEmpty():
-        roots = written(connected(links), "roots")
-    if big is not None:
-        cells = likely_groups(_rest_of(big, roots), sketches, floor_)
-        known = sets.select("class")
-        late = cells.select("class").distinct().join(known, "class", "left_anti").join(classes.select("class", F.col("first").alias("doc_id")), "class")
-        all_sets = sets.unionByName(written(full_sets(docs, late, width), "sets")) if not late.isEmpty() else sets
-        rest = written(confirmed(_unfinished(cells.select("node", "class"), roots), all_sets, share), "links")
-        if not rest.isEmpty():
-            roots = written(connected(links.unionByName(rest)), "roots")
-    least = classes.select("class", "first").join(roots.withColumnRenamed("node", "class"), "class").groupBy("root").agg(F.min("first").alias("least"))
-    of_class = classes.select("class", "first").join(roots.withColumnRenamed("node", "class"), "class", "left").join(least, "root", "left").select("class", F.coalesce("least", "first").alias("component"))
+    one = F.min_by(F.struct("doc_id", "key", "sig"), F.struct("doc_id", "key")).alias("one")
+    classes = written(linkable.groupBy("class").agg(one).select("class", "one.doc_id", "one.key", "one.sig"), "classes")
+    roots = Join(docs, classes, width, share).run()
+    first = classes.select("class", F.col("doc_id").alias("first"))
+    least = first.join(roots.withColumnRenamed("node", "class"), "class").groupBy("root").agg(F.min("first").alias("least"))
+    of_class = first.join(roots.withColumnRenamed("node", "class"), "class", "left").join(least, "root", "left").select("class", F.coalesce("least", "first").alias("component"))
     joined = every.drop("sig").join(of_class, "class", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component: Column = F.when(F.col("doc_id").isNotNull(), own)
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "key", "class")
 
 
 def sketch_of(classes: DataFrame) -> DataFrame:
-    """(class, sketch): the low byte of each coordinate of the signature."""
+    """(class, sketch): the low byte of each coordinate of the first half of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.uint8)
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, COORDINATES)[:, :SKETCH].astype(np.uint8)
             yield pa.RecordBatch.from_arrays([b.column("class"), pa.array([r.tobytes() for r in sig], pa.binary())], ["class", "sketch"])
 
     return classes.select("class", "sig").mapInArrow(run, "class long, sketch binary")
@@ -444,7 +570,7 @@ def sketch_of(classes: DataFrame) -> DataFrame:
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: three-word shingles, similarity of 0.85 or more."""
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, share=(85, 100))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, share=(85, 100)).drop("key", "class")
 
 
 QUERIES = {"op4_near_duplicates": op4_near_duplicates}

@@ -52,10 +52,14 @@ def near_copies(seed: int, groups: int, most: int, words: int = 60) -> list[tupl
     return out + [(100_001, None), (100_004, ""), (100_007, " \t\n"), (100_010, "One two"), (100_013, "one\ttwo"), (100_016, "one")]
 
 
-@pytest.mark.parametrize("width,num,leaf", [(3, 85, neardup.LEAF), (5, 80, 16)])
-def test_near_duplicates(spark, monkeypatch, width, num, leaf):
-    """Also with leaves so small that oversized nodes are chunked and their rest compared."""
+@pytest.mark.parametrize("width,num,leaf,cluster", [(3, 85, neardup.LEAF, neardup.CLUSTER), (5, 80, 16, neardup.CLUSTER), (5, 80, 16, 24)])
+def test_near_duplicates(spark, monkeypatch, width, num, leaf, cluster):
+    """Also with leaves so small that oversized nodes are chunked and their rest compared, in cells or a deeper forest."""
     monkeypatch.setattr(neardup, "LEAF", leaf)
+    monkeypatch.setattr(neardup, "TILE", 2 * leaf)
+    monkeypatch.setattr(neardup, "CLUSTER", cluster)
+    monkeypatch.setattr(neardup, "DEEPEST", 6)
+    monkeypatch.setattr(neardup, "SET_TOKENS", 1 << 21 if leaf > 16 else 600)
     rows = near_copies(3, 12, 40)
     frame = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n int").repartition(3)
     got = {r.doc_id: r for r in neardup.near_duplicates(frame, width, (num, 100)).collect()}
@@ -64,6 +68,54 @@ def test_near_duplicates(spark, monkeypatch, width, num, leaf):
     assert all(r.kept == (i == want[i]) and r.n_shingles == len(shingles(dict(rows)[i], width)) for i, r in got.items())
 
 
+def test_group_larger_than_a_leaf(spark):
+    """One group of near copies several times as large as a leaf; about half of it lies outside the largest component."""
+    r = random.Random(5)
+    base, rows = [f"w{r.randrange(9000)}" for _ in range(100)], []
+    for i in range(4 * neardup.LEAF):
+        new = list(base)
+        for _ in range(r.randrange(1, 5)):
+            new[r.randrange(100)] = f"X{r.randrange(10**6)}"
+        rows.append((i, " ".join(new)))
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, (85, 100)).collect()}
+    sets = [shingles(t, 3) for _, t in rows]
+    code = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    both = neardup.shared_counts([np.array(sorted(code[x] for x in s), np.uint64) for s in sets])
+    for i, j in ((0, 1), (3, 900), (17, 4 * neardup.LEAF - 1)):
+        assert both[i, j] == len(sets[i] & sets[j])
+    size = np.array([len(s) for s in sets])
+    want = neardup.parts_of(100 * both >= 85 * (size[:, None] + size - both)).tolist()
+    assert len(set(want)) > 300 and got == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("share", [85, 86, 88])
+def test_recall_of_the_trees(share):
+    """Pairs just at the threshold meet in a small node of some tree; sketches let them pass."""
+    r = np.random.default_rng(share)
+    forest, threshold = neardup.forest_for(0.85, neardup.DEPTH), 0.85
+    assert forest.trees * forest.pool <= neardup.COORDINATES and neardup.missed(0.85, forest) <= neardup.MISS
+    floor_ = int(neardup.SKETCH * (threshold - neardup.SLACK * (threshold * (1 - threshold) / neardup.SKETCH) ** 0.5))
+    low, n, missed = np.uint64((1 << neardup.TREE_BITS) - 1), 2000, 0
+    for _ in range(n):
+        size = int(r.integers(60, 400))
+        own = round(size * (1 - share / 100) / (1 + share / 100))
+        common, a, b = (r.integers(0, 1 << 63, k).astype(np.uint64) for k in (size - own, own, own))
+        x, y = (neardup.signature(np.unique(np.concatenate([common, o]))) for o in (a, b))
+        same, met = x == y, False
+        root = neardup.mix64(np.arange(forest.trees, dtype=np.uint64) + np.uint64(forest.seed << 20)) & ~low | np.arange(forest.trees, dtype=np.uint64)
+        node = root
+        for _ in range(forest.depth):
+            pool = forest.coordinates((node & low).astype(np.int64))
+            row, at = np.nonzero(neardup.mix64(node[:, None] + neardup._B[pool]) < forest.limit(threshold))
+            at = pool[row, at]
+            go = same[at]
+            node = neardup.mix64(neardup.mix64(node[row] + neardup._A[at]) ^ x[at]) & ~low | node[row] & low
+            node = node[go]
+        met = len(node) > 0 and int((x[: neardup.SKETCH].astype(np.uint8) == y[: neardup.SKETCH].astype(np.uint8)).sum()) >= floor_
+        missed += not met
+    assert missed <= 6  # 0.001 by the trees and less by the sketches, of 2000
+
+
 def test_near_duplicates_of_odd_rows(spark):
     frame = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (2, "a b c d"), (2, "a b c d"), (1, "A B c d")], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.component_id, r.kept) for r in neardup.near_duplicates(frame, 3).collect()), key=str)
