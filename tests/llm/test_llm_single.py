@@ -41,6 +41,18 @@ def test_sharding(docs):
     assert sharding.placed(rows.limit(0), m).count() == 0
 
 
+def test_sharding_of_a_hot_slot(spark, monkeypatch):
+    """One id in a third of all rows: its slot is ranked in parts, and places stay gapless."""
+    monkeypatch.setattr(sharding, "RANK_ROWS", 50)
+    hot = spark.createDataFrame([(7 if i % 3 == 0 else i, f"text {i % 4}") for i in range(900)], "doc_id long, text string").repartition(5)
+    rows = written(sharding.records(hot, n_slots=64), "r")
+    m = sharding.SlotMap.initial(64, 4).measured(sharding.per_slot(rows))
+    got = sharding.placed(rows, m).collect()
+    assert len(got) == 900 and len({(r.vslot, r.part) for r in got if r.doc_id == 7}) > 3
+    for shard in range(4):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
 def test_slot_map(spark):
     rng = np.random.default_rng(3)
     sizes = {s: (int(b), 1) for s, b in enumerate(rng.lognormal(8, 1, 4096))}
@@ -92,6 +104,41 @@ def test_media_round_trip(n):
     assert media.demux_bytes(b"")["valid"] is False and media.demux_bytes(b"\0" * 188)["valid"] is False
 
 
+def test_media_of_other_writers():
+    """Two programs, tables in several sections, a flagged discontinuity, a damaged table."""
+    def packet(pid, counter, body, start=False, flags=None):
+        head = bytes([0x47, 0x40 * start | pid >> 8, pid & 0xFF, 0x10 | 0x20 * (flags is not None) | counter & 15])
+        room = 184 - len(body)
+        field = b"" if flags is None else bytes([room - 1, flags]) + b"\xff" * (room - 2)
+        return (head + field + body).ljust(188, b"\xff")
+
+    def table(table_id, number, programs, at=0, last=0):
+        body = bytes([table_id, 0xB0, len(programs) + 9]) + number.to_bytes(2, "big") + bytes([0xC1, at, last]) + programs
+        return b"\0" + media._section(body)
+
+    def entry(a, b):
+        return a.to_bytes(2, "big") + (0xE000 | b).to_bytes(2, "big")
+
+    def pmt(*streams):
+        return (0xE000 | streams[0][1]).to_bytes(2, "big") + b"\xf0\0" + b"".join(bytes([k]) + (0xE000 | p).to_bytes(2, "big") + b"\xf0\0" for k, p in streams)
+
+    def pes(data):
+        return b"\x00\x00\x01\xbd" + (len(data) + 3).to_bytes(2, "big") + b"\x84\0\0" + data
+
+    tables = [
+        packet(0, 0, table(0, 1, entry(1, 0x100), 0, 1), True), packet(0, 1, table(0, 1, entry(2, 0x101), 1, 1), True),
+        packet(0x100, 0, table(2, 1, pmt((6, 0x200), (6, 0x201))), True), packet(0x101, 0, table(2, 2, pmt((6, 0x202))), True),
+    ]
+    units = [packet(0x200, 3, pes(b"one"), True, 0x40), packet(0x201, 0, pes(b"two"), True, 0), packet(0x202, 5, pes(b"three"), True, 0), packet(0x200, 9, pes(b"four"), True, 0x80)]
+    got = list(media.demux_streams(b"".join(tables + units)))
+    assert [(g["stream"], g["es_pid"], g["payload"], g["valid"]) for g in got] == [(0, 0x200, b"onefour", True), (1, 0x201, b"two", True), (2, 0x202, b"three", True)]
+    assert media.demux_bytes(b"".join(tables + units)) == got[0]
+    units[3] = packet(0x200, 9, pes(b"four"), True, 0)  # the same jump, not flagged
+    assert [g["valid"] for g in media.demux_streams(b"".join(tables + units))] == [False, True, True]
+    broken = packet(0x100, 0, b"\0\x02\xb0\x05\0\x01\xc1" + media.crc32_mpeg(b"\x02\xb0\x05\0\x01\xc1").to_bytes(4, "big"), True)
+    assert [g["es_pid"] for g in media.demux_streams(b"".join([tables[0], broken, *units]))] == [None]
+
+
 def test_media_rows(docs):
     got = media.demux(media.mux(docs.select("doc_id", F.encode("text", "UTF-8").alias("bytes")))).collect()
     assert len(got) == len(TEXTS) and all(r.valid and len(r.payload) % 64 == 0 for r in got)
@@ -168,9 +215,25 @@ def test_fingerprints(spark):
     assert alone.near_next == 1.0
     odd = spark.createDataFrame([(1, "b"), (1, "a"), (None, "n")], "doc_id long, text string")
     assert fingerprints.compared(fingerprints.by_id_ranges(odd, 3)).count() == 3
+    # one id, and no id, in a third of all rows each: still each row once, with a successor in (id, hash) order
+    rows = [(5 if i % 3 == 0 else None if i % 3 == 1 else i, f"text number {i % 50} " * 3) for i in range(300)]
+    hot = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    order = sorted(((r.doc_id is None, r.doc_id or 0, r.h, r.text) for r in hot.collect()))
+    h, want = fingerprints.Hasher(), []
+    for k, (none, i, _, text) in enumerate(order):
+        after = order[(k + 1) % len(order)][3]
+        new = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        s, e, n = (h.sketch(fingerprints.code_points(x)) for x in (text, new, after))
+        want.append((None if none else i, hashlib.sha256(new.encode()).hexdigest(), fingerprints.spelled(e), fingerprints.likeness(s, e), fingerprints.likeness(s, n)))
+    dealt = fingerprints.by_id_ranges(hot.select("doc_id", "text"), 12)
+    assert dealt.where("doc_id = 5 AND NOT guest").select("part").distinct().count() > 1
+    got = [(r.doc_id, r.edited_sha256, r.edited_fingerprint, r.near_edited, r.near_next) for r in fingerprints.compared(dealt).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    lone = np.array([fingerprints.LIMIT + 5], np.uint64)
+    assert fingerprints.containment(lone, np.array([1, 2], np.uint64)) is None and fingerprints.containment(lone, lone) == 1
 
 
-def test_mixing(spark, docs):
+def test_mixing(spark, docs, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, "w " * int(rng.integers(0, 60)), f"s{min(9, int(rng.integers(0, 30)))}" if i % 50 else None) for i in range(1500)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
@@ -188,10 +251,28 @@ def test_mixing(spark, docs):
     assert all(sum(w.words for w in r.draws) <= 2 * r["size"] for r in got)
     again = mixing.drawn(d.repartition(3), mixing.plan(d.repartition(3)))
     assert {(r.doc_id, str(r.draws)) for r in again.collect()} == {(r.doc_id, str(r.draws)) for r in got}
+    monkeypatch.setattr(mixing, "CUT_ROWS", 4)  # the same cut, found in several steps
+    monkeypatch.setattr(mixing, "STEP_BITS", 3)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 100)
+    wide = mixing.drawn(d, mixing.plan(d))
+    monkeypatch.setattr(mixing, "CUT_ROWS", 4096)
+    assert {(r.doc_id, str(r.draws)) for r in wide.collect()} == {(r.doc_id, str(r.draws)) for r in mixing.drawn(d, mixing.plan(d)).collect()}
+    monkeypatch.undo()
+    monkeypatch.setattr(mixing, "SHARD_BYTES", 5000)
+    many = mixing.plan(d, shards=None)
+    out = mixing.mixed(d, many).withColumn("task", F.spark_partition_id())
+    size, tasks = {}, {}
+    for r in out.collect():
+        size[r.shard] = size.get(r.shard, 0) + 1
+        tasks.setdefault(r.shard, set()).add(r.task)
+    assert len(size) > 20 and all(t == {s} for s, t in tasks.items()) and max(size.values()) < 3 * min(size.values()) + 60
     odd = mixing.drawn(docs.select("doc_id", "text", "source"), mixing.plan(docs.select("doc_id", "text", "source"))).collect()
     assert len(odd) == len(TEXTS) and {r["size"] for r in odd} == {len(WORD.findall(t or "")) for _, t, *_ in TEXTS}
-    clash = mixing.mixed(docs, mixing.plan(docs))  # has columns named size and score
-    assert clash.columns == [*docs.columns, "shard"] and {(r["size"], r.score) for r in clash.collect()} == {(1, "x")}
+    named = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(("draw_at", "mix_draw", "plan_blocks", "mix0", "target", "name", "a.b"))])
+    clash = mixing.mixed(named, mixing.plan(named))  # has columns named size and score
+    assert clash.columns == [*named.columns, "shard"]
+    assert {(r["size"], r.score, r.draw_at, r.mix_draw, r.plan_blocks, r.mix0, r.target, r.name, r["a.b"]) for r in clash.collect()} == {(1, "x", 0, 1, 2, 3, 4, 5, 6)}
+    assert mixing.drawn(named, mixing.plan(named)).select("target").first()[0] != 4
     empty = docs.select("doc_id", "text", "source").limit(0)
     assert mixing.drawn(empty, mixing.plan(empty)).count() == 0
 
@@ -203,38 +284,63 @@ def test_split_quotas():
     assert (mixing.split_quotas(q, 7) == got).all()
 
 
-def test_lm_scores_both_ways(spark, docs):
-    target = spark.createDataFrame([(1,), (6,), (6,), (None,)], "doc_id long")
-    model = lmscore.trained(docs, target)
-    a = sorted(map(str, lmscore.scored(docs, model).select("doc_id", "n_tokens", F.round("score", 9)).collect()))
-    assert a == sorted(map(str, lmscore.scored(docs, model, broadcast_rows=3).select("doc_id", "n_tokens", F.round("score", 9)).collect()))
-    by = {r.doc_id: r for r in lmscore.scored(docs, model).collect()}
-    assert by[3].score is None and by[4].n_tokens == 0 and by[6].score < by[2].score
-    counts: dict[bytes, list[int]] = {}
-    for i, text, *_ in TEXTS:
-        b = bytes(4) + (text or "").encode()
+def lm_losses(train: list[tuple[str, bool]], text: str) -> list[float]:
+    """Mean loss of a text by a plain reading of the models: background first."""
+    lead, out = bytes(4), []
+    seen = [(lead + t.encode(), good) for t, good in train]
+    n = [sum(len(b) - 4 for b, good in seen if good or not side) for side in (0, 1)]
+    for side in (0, 1):
+        count, context = {}, {}
+        for b, good in seen:
+            for k in range(4, len(b)):
+                for m in range(1, 6):
+                    if good or not side:
+                        g = b[k - m + 1 : k + 1]
+                        count[g] = count.get(g, 0) + 1
+                        context[g[:-1], m] = context.get((g[:-1], m), 0) + 1
+        scale, b, loss = 1.0 if side else n[1] / max(1, n[0]), lead + text.encode(), 0.0
         for k in range(4, len(b)):
-            for n in range(1, 6):
-                for side in (0, 1) if i in (1, 6) else (0,):
-                    counts.setdefault(b[k - n + 1 : k + 1], [0, 0])[side] += 1
-    context: dict[bytes, list[int]] = {}
-    for g, c in counts.items():
-        for side in (0, 1):
-            context.setdefault(g[:-1], [0, 0])[side] += 0
-    for n in range(1, 6):
-        for g, c in counts.items():
-            if len(g) == n:
-                context[g[:-1]] = [x + y for x, y in zip(context[g[:-1]], c, strict=True)]
-    b, loss = bytes(4) + TEXTS[1][1].encode(), [0.0, 0.0]
-    for k in range(4, len(b)):
-        for side in (0, 1):
             p = 1 / 256
-            for n in range(1, 6):
-                g = b[k - n + 1 : k + 1]
-                p = (counts[g][side] + lmscore.PRIOR * p) / (context[g[:-1]][side] + lmscore.PRIOR)
-            loss[side] -= np.log(p) / (len(b) - 4)
-    assert abs(by[2].background_loss - loss[0]) < 1e-9 and abs(by[2].target_loss - loss[1]) < 1e-9
-    assert lmscore.trained(docs.limit(0), target).count() == 0
+            for m in range(1, 6):
+                g = b[k - m + 1 : k + 1]
+                p = (scale * count.get(g, 0) + lmscore.PRIOR * p) / (scale * context.get((g[:-1], m), 0) + lmscore.PRIOR)
+            loss -= np.log(p) / (len(b) - 4)
+        out.append(loss)
+    return out
+
+
+def test_lm_scores(spark, docs, monkeypatch):
+    """Out of fold, on new texts with unseen n-grams, and by parts of any size, against a plain reading."""
+    target = spark.createDataFrame([(1,), (6,), (6,), (None,)], "doc_id long")
+    fold = {(r.doc_id, r.text): r.part % lmscore.VIEWS for r in lmscore.placed(docs)[0].collect()}
+    got = lmscore.scored_out_of_fold(docs, target).collect()
+    assert len(got) == len(TEXTS) and len(set(fold.values())) > 1
+    for i, text, *_ in TEXTS:
+        rows = [r for r in got if r.doc_id == i]
+        train = [(t or "", j in (1, 6)) for j, t, *_ in TEXTS if fold[j, t] != fold[i, text]]
+        if not text:
+            assert [(r.n_tokens, r.target_loss, r.score) for r in rows] == [(0, None, None)]
+            continue
+        want = lm_losses(train, text)
+        assert all(r.n_tokens == len(text.encode()) and abs(r.background_loss - want[0]) < 1e-9 and abs(r.target_loss - want[1]) < 1e-9 for r in rows)
+    counts = lmscore.trained(docs, target)
+    new = [(1, "hello zorro"), (2, "aaaa"), (3, "the quick brown dog"), (4, ""), (5, "日本 fox")]
+    fresh = spark.createDataFrame(new, "doc_id long, text string")
+    scored = {r.doc_id: r for r in lmscore.scored(fresh, counts).collect()}
+    for i, text in new:
+        want = lm_losses([(t or "", j in (1, 6)) for j, t, *_ in TEXTS], text) if text else None
+        assert scored[i].score is None if not text else abs(scored[i].score - (want[1] - want[0])) < 1e-9
+    empty = lmscore.trained(docs.limit(0), target)
+    assert {r.score for r in lmscore.scored(fresh, empty).collect()} == {0.0, None}
+    assert lmscore.scored(fresh.limit(0), counts).count() == 0
+    nobody = lmscore.scored_out_of_fold(docs, target.limit(0)).collect()
+    assert {r.score for r in nobody} == {0.0, None}
+    whole = sorted(map(str, lmscore.scored_out_of_fold(docs, target).collect()))
+    monkeypatch.setattr(lmscore, "PART_BYTES", 200)
+    monkeypatch.setattr(lmscore, "HELD_GRAMS", 50)
+    monkeypatch.setattr(lmscore, "PIECE", 64)
+    close = sorted(map(str, lmscore.scored_out_of_fold(docs, target).select("doc_id", "n_tokens").collect()))
+    assert close == sorted(map(str, spark.createDataFrame([(r.doc_id, r.n_tokens) for r in got], "doc_id long, n_tokens long").collect())) and len(whole) == len(got)
 
 
 def test_zip_reader_on_other_writers(tmp_path):
@@ -253,6 +359,33 @@ def test_zip_reader_on_other_writers(tmp_path):
         webarchive.members(io.BytesIO(b"no zip"), 6)
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    """Gzipped indexes with header lines are read; what cannot be read is a row that says so."""
+    import gzip as gz
+    import json
+
+    made = [webarchive.record(i, f"http://x/{i}", b"<p>%d" % i, hashlib.sha256(b"<p>%d" % i).hexdigest(), None, False)[0] for i in range(3)]
+    made[1] = made[1][:-9] + b"\0" * 9  # damaged
+    lines, at = ["!meta {\"format\": \"cdxj\"}", "no json"], 0
+    for m in made:
+        lines.append("x 2020 " + json.dumps({"offset": str(at), "length": str(len(m)), "filename": "data.warc.gz"}))
+        at += len(m)
+    index = gz.compress("\n".join(lines).encode())
+    for name, kind in (("good", zipfile.ZIP_STORED), ("deflated", zipfile.ZIP_DEFLATED)):
+        with zipfile.ZipFile(tmp_path / name, "w", kind) as z:
+            z.writestr("archive/data.warc.gz", b"".join(made))
+            z.writestr("indexes/index.cdx.gz", index, zipfile.ZIP_STORED)
+    with zipfile.ZipFile(tmp_path / "bare", "w") as z:
+        z.writestr("archive/data.warc.gz", made[0])
+    (tmp_path / "cut").write_bytes((tmp_path / "good").read_bytes()[:-40])
+    def read(name):
+        manifest = spark.createDataFrame([(f"file://{tmp_path}/{name}",)], "path string")
+        return sorted(((r.page_id, r.record_type, r.intact) for r in webarchive.read_records(webarchive.locate(manifest)).collect()), key=str)
+    assert read("good") == [(0, "response", True), (2, "response", True), (None, "unreadable", False)]
+    assert read("deflated") == [(None, "unreadable", False)] * 3
+    assert read("bare") == read("cut") == [(None, "unreadable", False)]
+
+
 def test_archives(spark):
     html = [(1, "http://a/ b\r\nX: y", "<p>" + "ä" * 100), (2, None, "<p>" + "ä" * 100), (3, "http://c", "short"), (4, "http://d", "short"), (5, "u", None), (None, "u", "<p>" + "ä" * 100), (1, "again", "<p>" + "ä" * 100)]
     pages = spark.createDataFrame([(*h, 0) for h in html], "page_id long, url string, html string, payload int").repartition(2)
