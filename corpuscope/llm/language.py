@@ -13,7 +13,7 @@ codes in the data, checked against ``MAX_LANGUAGES``.
 Defined results: texts that are null or have no letter get ``und`` and score 0, as has every text when no
 row can be learned from; ties go to the first language in code order; repeated rows are scored
 alike; a row with a null language trains nothing, one with a null id counts as not held out.
-Texts of any length are read to their end, in pieces.
+Texts of any length are read to their end, in pieces; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ UNDETERMINED = "und"
 #: Code points of text that are worked on at a time.
 PIECE = 1 << 18
 MAX_LANGUAGES = 4096
+#: Triples whose vectors are made at once, and cells of the matrix of counts for each triple of the texts, at most.
+TILE, DENSE = 4096, 16
 #: A random text's cosine scatters with a deviation of 1 / sqrt(DIMENSIONS); four of them count as evidence.
 MIN_SCORE = 4 / DIMENSIONS**0.5
 
@@ -51,8 +53,17 @@ def _letter(code: int) -> np.ndarray:
     return (bits.astype(np.int8) * 2 - 1).astype(np.int8)
 
 
+def bound(keys: np.ndarray) -> np.ndarray:
+    """The bound vectors of packed triples, a row each."""
+    codes = np.stack([keys >> 42, (keys >> 21) & 0x1FFFFF, keys & 0x1FFFFF])
+    unique, at = np.unique(codes, return_inverse=True)
+    letters = np.stack([_letter(c) for c in unique.tolist()]) if len(unique) else np.zeros((0, DIMENSIONS), np.int8)
+    first, second, third = at.reshape(codes.shape)
+    return np.roll(letters, 2, axis=1)[first] * np.roll(letters, 1, axis=1)[second] * letters[third]
+
+
 class TripleVectors:
-    """Bound vectors of the letter triples met so far; forgotten when there are too many."""
+    """Bound vectors of the letter triples met so far, ``MOST`` of them; forgotten when there are more."""
 
     MOST = 1 << 15
 
@@ -60,17 +71,19 @@ class TripleVectors:
         self.row: dict[int, int] = {}
         self.vectors = np.zeros((1024, DIMENSIONS), np.int8)
 
-    def of(self, keys: list[int]) -> np.ndarray:
-        """A row for each packed triple."""
-        if len(self.row) + len(keys) > max(self.MOST, len(keys)):
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """A row for each of at most ``MOST`` distinct packed triples."""
+        new = [k for k in keys.tolist() if k not in self.row]
+        if len(self.row) + len(new) > self.MOST:
             self.row.clear()
-        for k in keys:
-            if k not in self.row:
-                n = self.row[k] = len(self.row)
-                if n == len(self.vectors):
-                    self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-                self.vectors[n] = np.roll(_letter(k >> 42), 2) * np.roll(_letter((k >> 21) & 0x1FFFFF), 1) * _letter(k & 0x1FFFFF)
-        return self.vectors[[self.row[k] for k in keys]].astype(np.float32)
+            new = keys.tolist()
+        while len(self.row) + len(new) > len(self.vectors):
+            self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+        if new:
+            at = len(self.row)
+            self.vectors[at : at + len(new)] = bound(np.array(new, np.int64))
+            self.row.update(zip(new, range(at, at + len(new)), strict=True))
+        return self.vectors[[self.row[k] for k in keys.tolist()]]
 
 
 def triples(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -108,17 +121,31 @@ def triples(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def bundled(texts: list[str], rows: np.ndarray, n_rows: int, known: TripleVectors) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of the triples' vectors of all texts that belong to each row, and their number."""
+    """The sum of the triples' vectors of all texts that belong to each row, and their number.
+
+    Triples that repeat are counted and the counts multiplied with their vectors.  Where most occur once, as in scripts of
+    many letters, vectors are added up in the order of the rows, a tile of ``TILE`` triples at a time.  So neither counts nor vectors
+    take more than some megabytes.
+    """
     out, letters = np.zeros((n_rows, DIMENSIONS)), np.zeros(n_rows, np.int64)
     for own, keys in triples(texts):
         if not len(keys):
             continue
-        unique, at = np.unique(keys, return_inverse=True)
         row = rows[own]
-        low, n = int(row.min()), int(row.max() - row.min()) + 1
-        counts = np.bincount((row - low) * len(unique) + at, minlength=n * len(unique)).reshape(n, -1)
-        out[low : low + n] += counts.astype(np.float32) @ known.of(unique.tolist())
-        letters[low : low + n] += counts.sum(axis=1)
+        letters += np.bincount(row, minlength=n_rows)
+        order = np.argsort(row, kind="stable")
+        row, keys = row[order], keys[order]
+        here, of = np.unique(row, return_inverse=True)
+        unique, at = np.unique(keys, return_inverse=True)
+        if len(here) * len(unique) <= DENSE * len(keys):
+            counts = np.bincount(of * len(unique) + at, minlength=len(here) * len(unique)).reshape(len(here), -1).astype(np.float32)
+            for x in range(0, len(unique), TILE):
+                out[here] += counts[:, x : x + TILE] @ known.of(unique[x : x + TILE]).astype(np.float32)
+            continue
+        for x in range(0, len(keys), TILE):
+            part, where = np.unique(keys[x : x + TILE], return_inverse=True)
+            first = np.flatnonzero(np.diff(row[x : x + TILE], prepend=-1))
+            out[row[x : x + TILE][first]] += np.add.reduceat(bound(part)[where], first, axis=0, dtype=np.int32)
     return out, letters
 
 
@@ -151,9 +178,12 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
 
 
 def predict(docs: DataFrame, learned: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep) of every row with ``lang_pred``, ``score`` and the number of ``letters`` that they rest on."""
+    """(id, *keep) of every row with ``lang_pred``, ``score`` and the number of ``letters`` that they rest on.
+
+    These three replace kept columns of the same names.
+    """
     spark = docs.sparkSession
-    out = list(dict.fromkeys((id_col, *keep)))
+    out = [c for c in dict.fromkeys((id_col, *keep)) if c not in ("lang_pred", "score", "letters")]
     names = list(learned)
     shared = spark.sparkContext.broadcast(np.stack(list(learned.values())) if names else np.zeros((0, DIMENSIONS)))  # MAX_LANGUAGES rows at most
 
