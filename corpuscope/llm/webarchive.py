@@ -15,11 +15,17 @@ response, others are revisits that refer to it.
 
 Defined results: a null html is an empty payload; a null url is replaced by a URN of the page; rows that share the
 smallest id are all responses; a row without an id is a revisit where a row with one has the
-same payload, otherwise a response; an empty table gives no archives and no rows; extra columns are not kept.
+same payload, otherwise a response; payloads of any length are whole, a record being what a task holds at least; an empty table gives
+no archives and no rows; extra columns are not kept, so their names cannot clash.
+
+Archives of other writers: an index may be gzipped and begin with header lines; an archive member that is not stored, or that the
+index names but the archive lacks, cannot be range-read and gives one record of type ``unreadable`` for each of its index lines; so does a
+record that is damaged.  A file that is no whole ZIP, or has no index that can be read, gives one such record.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import re
@@ -39,6 +45,7 @@ from corpuscope.shared import new_path, written
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
 SPAN_BYTES = 2 << 20
+SALTS = 16
 DATE = "2020-01-01T00:00:00Z"
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
@@ -206,13 +213,23 @@ def parse(member: bytes) -> dict:
 
 
 def with_roles(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """Pages with payload, digest, and what they are: response, or revisit of the page in ``refers_to``."""
+    """Pages with payload, digest, and what they are: response, or revisit of the page in ``refers_to``.
+
+    Roles are decided on rows of id and digest, salted, since one digest can be that of many pages; payloads meet them by page
+    and digest.
+    """
     rows = pages.select(F.col("page_id").cast("long"), "url", utf8(F.col("html")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.length("payload"))
-    first = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    joined = rows.join(first.where("n > 1").select("digest", "first"), "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    narrow = rows.where(F.length("payload") >= min_bytes).groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("n").alias("n")).where("n > 1")
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    revisits = narrow.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS).cast("long"))).join(first.select("digest", "first", salts), ["digest", "salt"])
+    revisits = revisits.where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("role_page"), F.col("digest").alias("role_digest"), "first")
+    # rows without an id would be one key: they meet their digests' rows under the digest
+    key = lambda page, digest: F.coalesce(page.cast("string"), digest)
+    same = (key(F.col("page_id"), F.col("digest")) == key(F.col("role_page"), F.col("role_digest"))) & (F.col("digest") == F.col("role_digest"))
+    joined = rows.join(revisits.hint("merge"), same, "left")
+    return joined.select("page_id", "url", "payload", "digest", F.col("first").isNotNull().alias("revisit"), F.col("first").alias("refers_to"))
 
 
 def write_archives(rows: DataFrame, uri: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -256,31 +273,77 @@ def write_archives(rows: DataFrame, uri: str, archive_bytes: int = ARCHIVE_BYTES
     return rows.mapInArrow(run, "path string, records long, bytes long")
 
 
+def index_lines(f, found: dict[str, tuple[int, int, int]]) -> list[dict]:  # noqa: ANN001
+    """The index lines (filename, offset, length) of all indexes of an archive, gzipped or not, without header lines."""
+    out = []
+    for name in sorted(found):
+        if not name.startswith("indexes/"):
+            continue
+        body = whole_member(f, found[name])
+        if body[:2] == b"\x1f\x8b":
+            body = gzip.decompress(body)
+        for line in body.decode("utf-8", "replace").splitlines():
+            at = line.find("{")
+            try:
+                entry = json.loads(line[at:]) if at >= 0 else {}
+                out.append({"filename": entry["filename"], "offset": int(entry["offset"]), "length": int(entry["length"])})
+            except (ValueError, KeyError, TypeError):
+                continue  # a header or meta line
+    return sorted(out, key=lambda r: (r["filename"], r["offset"]))
+
+
 def locate(manifest: DataFrame, span_bytes: int = SPAN_BYTES) -> DataFrame:
-    """Spans of consecutive records of each archive, from its index: path, start, length, records' offsets in the span."""
+    """Spans of consecutive records of each archive, from its index: path, start, length, records' offsets in the span.
+
+    What cannot be located is a span without a start, with an offset for each lost record.
+    """
+    longs = pa.list_(pa.int64())
+
+    def span(path: str, start: int | None, length: int, offsets: list[int]) -> pa.RecordBatch:
+        made = [pa.array([path]), pa.array([start], pa.int64()), pa.array([length], pa.int64()), pa.array([offsets], longs)]
+        return pa.RecordBatch.from_arrays(made, ["path", "start", "length", "offsets"])
+
+    def spans(path: str) -> Iterator[pa.RecordBatch]:
+        fs, at = store(path)
+        with fs.open_input_file(at) as f:
+            found = members(f, f.size())
+            rows = index_lines(f, found)
+            base = {n: (body_at(f, e[1]), e[2]) for n, e in found.items() if e[0] == 0}
+        name = lambda r: r["filename"] if r["filename"] in found else f"archive/{r['filename']}"
+        good = [r for r in rows if name(r) in base and 0 <= r["offset"] <= r["offset"] + r["length"] <= base[name(r)][1]]
+        if len(good) < len(rows) or not rows:
+            yield span(path, None, 0, [0] * max(1, len(rows) - len(good)))
+        held: list[tuple[int, int]] = []
+        for r in [*good, None]:
+            here = (base[name(r)][0] + r["offset"], r["length"]) if r else None
+            if held and (here is None or here[0] != sum(held[-1]) or here[0] - held[0][0] >= span_bytes):
+                yield span(path, held[0][0], sum(held[-1]) - held[0][0], [o - held[0][0] for o, _ in held])
+                held = []
+            if here:
+                held.append(here)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column("path").to_pylist():
-                fs, at = store(path)
-                with fs.open_input_file(at) as f:
-                    found = members(f, f.size())
-                    rows = [json.loads(x.split(" ", 2)[2]) for name in sorted(found) if name.startswith("indexes/") for x in whole_member(f, found[name]).decode().splitlines()]
-                    rows.sort(key=lambda r: (r["filename"], int(r["offset"])))
-                    base = {n: body_at(f, e[1]) for n, e in found.items() if n.startswith("archive/") and e[0] == 0}
-                span: list[tuple[int, int]] = []
-                for r in [*rows, None]:
-                    here = (base[r["filename"]] + int(r["offset"]), int(r["length"])) if r else None
-                    if span and (here is None or here[0] != sum(span[-1]) or here[0] - span[0][0] >= span_bytes):
-                        start = span[0][0]
-                        yield pa.RecordBatch.from_pydict({"path": [path], "start": [start], "length": [sum(span[-1]) - start], "offsets": pa.array([[o - start for o, _ in span]], pa.list_(pa.int64()))})
-                        span = []
-                    if here:
-                        span.append(here)
+                try:
+                    yield from list(spans(path))
+                except (ValueError, struct.error, zlib.error, EOFError, gzip.BadGzipFile):
+                    yield span(path, None, 0, [0])
 
     return manifest.select("path").mapInArrow(run, "path string, start long, length long, offsets array<long>")
 
 
+UNREADABLE = {"page_id": None, "url": None, "payload": None, "payload_bytes": 0, "payload_digest": None, "record_type": "unreadable", "refers_to": None, "intact": False}
+
+
+def parsed(member: bytes) -> dict:
+    """A record, or what stands for one that is damaged."""
+    try:
+        return parse(member)
+    except (ValueError, KeyError, zlib.error):
+        return dict(UNREADABLE)
+
+
 def read_records(spans: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of spans, each span read by one range request."""
     text = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
@@ -291,10 +354,13 @@ def read_records(spans: DataFrame, with_payload: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, start, length, offsets in zip(*(b.column(c).to_pylist() for c in ("path", "start", "length", "offsets")), strict=True):
-                fs, at = store(path)
-                with fs.open_input_file(at) as f:
-                    data = read_at(f, start, length)
-                made = [parse(data[x:y]) for x, y in zip(offsets, [*offsets[1:], length], strict=True)]
+                if start is None:
+                    made = [dict(UNREADABLE) for _ in offsets]
+                else:
+                    fs, at = store(path)
+                    with fs.open_input_file(at) as f:
+                        data = read_at(f, start, length)
+                    made = [parsed(data[x:y]) for x, y in zip(offsets, [*offsets[1:], length], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in kinds], [k for k, _ in kinds])
 
     return spans.mapInArrow(run, text)
