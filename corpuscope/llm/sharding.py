@@ -6,9 +6,13 @@ slot, and rebalancing edits the map: it moves single slots, never rehashes recor
 many rows as there are slots, a parameter, so it may be collected, edited on the driver and
 broadcast whatever the size of the data.
 
+A record's place in its shard counts the rows before it.  Slots are ordered by tasks of their own; a slot of more than
+``RANK_ROWS`` rows, such as one that holds a repeated id, is split by a salt that is written with the records.
+
 Defined results: a null text has no bytes; rows without an id are dealt by their text; repeated
-rows share a slot; an empty table gives an empty result and an unedited map; other columns of the
-input are neither read nor kept.
+rows share a slot, so one that holds a large part of all bytes is more than a shard's share; texts of any length are
+measured whole; an empty table gives an empty result and an unedited map; other columns of the
+input are neither read nor kept, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from corpuscope.shared import new_path, written
 
 N_SLOTS = 4096
 N_SHARDS = 16
+#: Rows of a slot that one task ranks.
+RANK_ROWS = 1_000_000
 MAP_SCHEMA = "version int, vslot int, shard int, bytes long, rows long"
 
 
@@ -134,13 +140,14 @@ def virtual_slot(id_col: Column, text_col: Column, n_slots: int = N_SLOTS) -> Co
 
 
 def records(docs: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The narrow view that sharding needs: id, size, checksum and slot, without the text."""
+    """The narrow view that sharding needs: id, size, checksum, slot and a salt, without the text.  To be written before it is used twice."""
     body = utf8(F.col(text_col))
     return docs.select(
         F.col(id_col).alias("doc_id"),
         (F.length(body) + 1).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
         virtual_slot(F.col(id_col), F.col(text_col), n_slots).alias("vslot"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("salt"),
     )
 
 
@@ -153,19 +160,30 @@ def per_slot(rows: DataFrame) -> dict[int, tuple[int, int]]:
 def placed(rows: DataFrame, m: SlotMap) -> DataFrame:
     """Each record with its shard and its place in the shard, without gaps from 0.
 
-    The place is the number of rows in the shard's earlier slots plus the row's rank in its own
-    slot, so that no window spans more than one slot.
+    The place is the number of rows in the shard's earlier slots, and in the earlier parts of its own slot, plus the row's rank in its
+    part, so that no window spans more than one part of a slot.  There are as many parts as slots and one more for each
+    ``RANK_ROWS`` rows at most.
     """
+    spark = rows.sparkSession
+    parts_of = spark.createDataFrame([(s, -(-n // RANK_ROWS)) for s, n in enumerate(m.rows) if n > RANK_ROWS], "vslot int, parts int")
+    rows = rows.join(F.broadcast(parts_of), "vslot", "left").withColumn("part", F.coalesce(F.pmod("salt", "parts"), F.lit(0)).cast("int")).drop("parts", "salt")
+    sizes: dict[int, list[int]] = {s: [n] for s, n in enumerate(m.rows)}
+    if any(n > RANK_ROWS for n in m.rows):
+        for s in sizes:
+            sizes[s] = [0] * max(1, -(-m.rows[s] // RANK_ROWS))
+        for r in rows.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n")).collect():
+            sizes[r.vslot][r.part] = r.n
     before: dict[int, int] = {}
     offsets = []
-    for s, (to, n) in enumerate(zip(m.shard, m.rows, strict=True)):
-        offsets.append((s, to, before.get(to, 0), m.bytes[s]))
-        before[to] = before.get(to, 0) + n
-    of = rows.sparkSession.createDataFrame(offsets, "vslot int, shard int, first long, slot_bytes long")
-    rank = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
+    for s, to in enumerate(m.shard):
+        for part, n in enumerate(sizes[s]):
+            offsets.append((s, part, to, before.get(to, 0), m.bytes[s]))
+            before[to] = before.get(to, 0) + n
+    of = spark.createDataFrame(offsets, "vslot int, part int, shard int, first long, slot_bytes long")
+    rank = F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size"))
     return (
         rows.withColumn("in_slot", rank)
-        .join(F.broadcast(of), "vslot")  # a row for each slot
+        .join(F.broadcast(of), ["vslot", "part"])  # a row for each part of a slot
         .withColumn("slot", F.col("first") + F.col("in_slot") - 1)
     )
 
