@@ -8,13 +8,18 @@ has shingles falls below the threshold, its smallest stands for them, so short t
 
 A fingerprint is the sorted hashes in fixed-width hexadecimal, one after another.
 
-Each document is also compared with its successor in id order.  Rows are dealt by ranges of ids whose
-bounds come from quantiles; the first row of each range is sent to the range before it as well, so
-that successors meet without ordering the whole table in one task, and texts are shuffled once.
+Each document is also compared with its successor in id order.  Rows are dealt by ranges of (id, hash of the text); the
+ranges' bounds come from the same narrow rows in order, so rows of one id are split too.  The first row of each range is sent to the range
+before it as well, so that successors meet without ordering the whole table in one task, and texts are shuffled once.
+
+A text with no hash below the threshold is known by its smallest hash alone: such a sketch tells equal texts from others, but
+neither merges nor estimates (``containment`` gives None).  With n shingles a likeness of L has a standard error of about
+sqrt(SCALE * L * (1 - L) / n); the README has measured ones.
 
 Defined results: null texts are empty; an empty text has an empty fingerprint, and two empty ones are alike
-(1.0), one empty and another not are unlike (0.0); rows of one id follow one another in the order of their
-texts; rows without an id come last; a table of one row has itself for a successor; extra columns are not kept.
+(1.0), one empty and another not are unlike (0.0); rows of one id follow one another in the order of hashes of their
+texts; rows without an id come last; a table of one row has itself for a successor; texts of any length are read to their end,
+in pieces; an empty table gives an empty result; extra columns are not kept, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ LIMIT = (1 << BITS) // SCALE
 MULTIPLIER = 0x2545F4914F6CDD1D
 PIECE = 1 << 20
 OUT_ROWS = 2_000
+RANGE_BYTES = 128 << 20
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -88,8 +94,10 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return below if len(below) else out[:1]
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """The estimated part of a's shingles that b has as well."""
+def containment(a: np.ndarray, b: np.ndarray) -> float | None:
+    """The estimated part of a's shingles that b has as well; None if a's sketch is a lone hash above the threshold."""
+    if len(a) == 1 and a[0] >= LIMIT and not np.array_equal(a, b):
+        return None
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else float(not len(b))
 
 
@@ -107,29 +115,43 @@ def edited(text: str, successor: str) -> str:
     return text[: len(text) - n] + successor[:n]
 
 
+def _place(ids: list[int], hashes: list[int], id_col: Column, hash_col: Column) -> Column:
+    """How many of the ordered bounds (id, hash) are at most a row's, found by halving; the bounds are constants of the expression."""
+    constant = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
+    of, at_hash, n = constant(ids), constant(hashes), len(ids)
+
+    def below(at: Column) -> Column:
+        i = F.try_element_at(of, at)
+        return (at <= n) & ((i < id_col) | ((i == id_col) & (F.try_element_at(at_hash, at) <= hash_col)))
+
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(at + step), at + step).otherwise(at))
+
+
 def by_id_ranges(docs: DataFrame, ranges: int) -> DataFrame:
-    """(doc_id, text) by ranges of ids, in order, each followed by the next range's first row (``guest``).
+    """(doc_id, text, part, guest) by ranges of (id, hash), in order, each followed by the next range's first row (``guest``).
 
     The last range is followed by the first row of all.  Four ranges make a partition, to even out where
-    they are hashed to.  As many ids as ranges come to the driver.
+    they are hashed to.  One row for each range comes to the driver.
     """
     spark = docs.sparkSession
-    cuts = sorted(set(docs.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []))
-    bucket: Column = F.lit(0)
-    if cuts:
-        at = F.array(*[F.lit(int(c)) for c in cuts])
-        bucket = F.size(F.filter(at, lambda c: c <= F.col("doc_id")))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(bucket)
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("part", bucket)
-    first = sorted((r.part, r.id) for r in rows.groupBy("part").agg(F.min("doc_id").alias("id")).collect())
-    # the range before that of each first id; the first range's follows the last
-    before = [(part, i, first[k - 1][0]) for k, (part, i) in enumerate(first)]
-    heads = spark.createDataFrame(before, "head_part int, head_id long, goes_to int")
-    joined = rows.join(F.broadcast(heads), F.col("part") == F.col("head_part"))  # a row for each range
-    is_head = F.col("doc_id").eqNullSafe(F.col("head_id"))
-    places = F.when(is_head, F.array(F.struct("part", F.lit(False).alias("guest")), F.struct(F.col("goes_to").alias("part"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct("part", F.lit(False).alias("guest"))))
-    dealt = joined.select("doc_id", "text", F.explode(places).alias("place")).select("doc_id", "text", "place.part", "place.guest")
-    return dealt.repartition(max(1, len(first) // 4), "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_last(), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("order_id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("h", F.xxhash64("text"))
+    narrow = rows.select("order_id", "h").repartitionByRange(ranges, "order_id", "h") if ranges > 1 else rows.select("order_id", "h").coalesce(1)
+    least = narrow.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("order_id", "h")).alias("m"))
+    mins = sorted({(r.m.order_id, r.m.h) for r in least.collect()})  # each range's first row
+    cuts = mins[1:]
+    rows = rows.withColumn("part", _place([i for i, _ in cuts], [h for _, h in cuts], F.col("order_id"), F.col("h")) if cuts else F.lit(0))
+    # the range before that of each first row; the first range's follows the last
+    before = [(k, i, h, (k or len(mins)) - 1) for k, (i, h) in enumerate(mins)]
+    head = spark.createDataFrame(before, "head_part int, head_id long, head_h long, goes_to int")
+    joined = rows.join(F.broadcast(head), F.col("part") == F.col("head_part"))  # a row for each range
+    is_head = (F.col("order_id") == F.col("head_id")) & (F.col("h") == F.col("head_h"))
+    own, guest = F.struct("part", F.lit(False).alias("guest")), F.struct(F.col("goes_to").alias("part"), F.lit(True).alias("guest"))
+    dealt = joined.select("doc_id", "text", "order_id", "h", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))).alias("place"))
+    dealt = dealt.select("doc_id", "text", "order_id", "h", "place.part", "place.guest")
+    placed = dealt.repartition(max(1, len(mins) // 4), "part").sortWithinPartitions("part", "guest", "order_id", "h")
+    return placed.select("doc_id", "text", "part", "guest")
 
 
 def compared(dealt: DataFrame) -> DataFrame:
@@ -164,10 +186,16 @@ def compared(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, SCHEMA)
 
 
+def ranges_for(docs: DataFrame) -> int:
+    """Four ranges for each ``RANGE_BYTES`` of text, or for each task of the session if that is more."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 4 * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, their edited texts, and likenesses."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return compared(by_id_ranges(docs, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return compared(by_id_ranges(docs, ranges_for(docs)))
 
 
 QUERIES = {"op8_fingerprints": op8_fingerprints}
