@@ -2,13 +2,17 @@
 
 ``mux`` stores bytes as a transport stream with one program and one private elementary stream;
 ``demux`` parses any transport stream column: it reads the program tables and checks their
-checksums, follows the elementary stream, checks continuity counters, reassembles elementary
-packets and returns their time stamps with the packets at which decoding may start.
+checksums, follows the elementary streams, checks continuity counters, reassembles elementary
+packets and returns their time stamps with the packets at which decoding may start.  A row is the first stream of
+the first program; with ``every``, each stream of each program is a row, numbered by ``stream``.  A counter may jump where its packet flags
+a discontinuity.  Tables count as they first come whole with a right checksum; later versions are not followed, scrambled packets are
+left out.
 
 Both work row by row on whole streams; a task holds one batch of rows, and a lost task is simply
 run again.  Defined results: null bytes count as none; a stream whose length is no multiple of 188,
 with a lost sync byte, without valid tables or with a gap in its counters still gives a row, with
-``valid`` false and whatever could be read; a packet sent twice is used once.  Other columns are kept by
+``valid`` false and whatever could be read; a packet sent twice is used once; bytes of any length are stored whole, and a task
+holds a few times the longest row; an empty table gives an empty result.  Other columns are kept by
 neither function, so they cannot clash.
 """
 
@@ -38,7 +42,7 @@ OUT_ROWS = 1_000
 
 MUX_SCHEMA = "doc_id long, n_bytes long, media binary"
 DEMUX_SCHEMA = (
-    "doc_id long, n_bytes long, media binary, payload binary, valid boolean, es_pid int, stream_type int, "
+    "doc_id long, n_bytes long, media binary, stream int, payload binary, valid boolean, es_pid int, stream_type int, "
     "pts array<long>, random_access array<long>, cc_errors int, packets int"
 )
 
@@ -126,8 +130,9 @@ def mux_bytes(payload: bytes) -> bytes:
     return b"".join(parts)
 
 
-def _table_section(packets: np.ndarray, table_id: int) -> bytes | None:
-    """The first whole section with this id and a right checksum among the packets of one PID."""
+def _sections(packets: np.ndarray, table_id: int) -> dict[tuple[int, int], bytes]:
+    """The whole sections with this id and a right checksum among the packets of one PID, by table and section number, as they first come."""
+    out: dict[tuple[int, int], bytes] = {}
     body = b""
     for row in packets:
         p = row.tobytes()
@@ -138,11 +143,14 @@ def _table_section(packets: np.ndarray, table_id: int) -> bytes | None:
             at += 1 + p[at]
             body = b""
         body += p[at:]
-        if len(body) >= 3 and body[0] == table_id:
+        while len(body) >= 3 and body[0] != 0xFF:
             size = 3 + ((body[1] & 0x0F) << 8 | body[2])
-            if len(body) >= size and crc32_mpeg(body[:size]) == 0:
-                return body[:size]
-    return None
+            if len(body) < size:
+                break
+            section, body = body[:size], body[size:]
+            if section[0] == table_id and size >= 12 and crc32_mpeg(section) == 0:
+                out.setdefault((section[3] << 8 | section[4], section[6]), section)
+    return out
 
 
 def _programs(section: bytes) -> list[tuple[int, int]]:
@@ -150,6 +158,8 @@ def _programs(section: bytes) -> list[tuple[int, int]]:
 
 
 def _streams(section: bytes) -> list[tuple[int, int]]:
+    if len(section) < 16:
+        return []
     at, out = 12 + ((section[10] & 0x0F) << 8 | section[11]), []
     while at + 5 <= len(section) - 4:
         out.append((section[at], (section[at + 1] & 0x1F) << 8 | section[at + 2]))
@@ -157,33 +167,22 @@ def _streams(section: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def demux_bytes(media: bytes) -> dict:
-    """What a transport stream holds: the first elementary stream of its first program."""
-    out = {"payload": b"", "valid": False, "es_pid": None, "stream_type": None, "pts": [], "random_access": [], "cc_errors": 0, "packets": len(media) // PACKET}
-    a = np.frombuffer(media, np.uint8, out["packets"] * PACKET).reshape(-1, PACKET)
-    whole = bool(len(media)) and len(media) % PACKET == 0 and bool((a[:, 0] == SYNC).all())
-    a = a[(a[:, 0] == SYNC) & (a[:, 1] & 0x80 == 0)]
-    pid = (a[:, 1] & 0x1F).astype(np.int32) << 8 | a[:, 2]
-    section = _table_section(a[pid == PAT_PID], 0x00)
-    programs = [p for n, p in _programs(section) if n] if section else []
-    section = _table_section(a[pid == programs[0]], 0x02) if programs else None
-    streams = _streams(section) if section else []
-    if not streams:
-        return out
-    out["stream_type"], out["es_pid"] = streams[0]
-    where = np.flatnonzero(pid == out["es_pid"])
-    where = where[a[where, 3] & 0x10 != 0]
+def _elementary(a: np.ndarray, pid: np.ndarray, es_pid: int) -> dict:
+    """What the packets of one PID carry."""
+    out = {"pts": []}
+    where = np.flatnonzero(pid == es_pid)
+    where = where[(a[where, 3] & 0x10 != 0) & (a[where, 3] & 0xC0 == 0)]
     es = a[where]
     step = np.diff((es[:, 3] & 15).astype(np.int16)) % 16
     again = np.concatenate([[False], (step == 0) & (es[1:, 4:] == es[:-1, 4:]).all(axis=1)]) if len(es) else np.zeros(0, bool)
     es, where = es[~again], where[~again]
-    step = np.diff((es[:, 3] & 15).astype(np.int16)) % 16
-    out["cc_errors"] = int((step != 1).sum())
     adapted = es[:, 3] & 0x20 != 0
+    flags = np.where(adapted & (es[:, 4] > 0), es[:, 5], 0)
+    step = np.diff((es[:, 3] & 15).astype(np.int16)) % 16
+    out["cc_errors"] = int(((step != 1) & (flags[1:] & 0x80 == 0)).sum())
     start = np.where(adapted, 5 + es[:, 4].astype(np.int32), 4)
     opens = es[:, 1] & 0x40 != 0
-    flagged = adapted & (es[:, 4] > 0) & (es[:, 5] & 0x40 != 0)
-    out["random_access"] = where[flagged].tolist()
+    out["random_access"] = where[flags & 0x40 != 0].tolist()
     size = np.maximum(PACKET - start, 0)
     body = es[np.arange(PACKET) >= start[:, None]].tobytes()
     ends = np.cumsum(size)
@@ -201,16 +200,38 @@ def demux_bytes(media: bytes) -> dict:
         end = 6 + length if length else len(unit)
         good = good and end == len(unit)
         units.append(unit[9 + unit[8] : end])
-    out["payload"] = b"".join(units)
-    out["valid"] = whole and good and not out["cc_errors"]
-    return out
+    return out | {"payload": b"".join(units), "valid": good and not out["cc_errors"]}
+
+
+def demux_streams(media: bytes) -> Iterator[dict]:
+    """What a transport stream holds, for each elementary stream of each program; one empty result if there is none."""
+    empty = {"stream": 0, "payload": b"", "valid": False, "es_pid": None, "stream_type": None, "pts": [], "random_access": [], "cc_errors": 0, "packets": len(media) // PACKET}
+    a = np.frombuffer(media, np.uint8, empty["packets"] * PACKET).reshape(-1, PACKET)
+    whole = bool(len(media)) and len(media) % PACKET == 0 and bool((a[:, 0] == SYNC).all())
+    a = a[(a[:, 0] == SYNC) & (a[:, 1] & 0x80 == 0)]
+    pid = (a[:, 1] & 0x1F).astype(np.int32) << 8 | a[:, 2]
+    n = 0
+    for section in _sections(a[pid == PAT_PID], 0x00).values():
+        for program, pmt_pid in _programs(section):
+            tables = _sections(a[pid == pmt_pid], 0x02) if program else {}
+            for kind, es_pid in (x for (number, _), t in tables.items() if number == program for x in _streams(t)):
+                made = empty | {"stream": n, "stream_type": kind, "es_pid": es_pid} | _elementary(a, pid, es_pid)
+                yield made | {"valid": made["valid"] and whole}
+                n += 1
+    if not n:
+        yield empty
+
+
+def demux_bytes(media: bytes) -> dict:
+    """What a transport stream holds: the first elementary stream of its first program."""
+    return next(demux_streams(media))
 
 
-def _in_parts(ids: list, sizes: list, made: Iterator, names: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows as record batches of at most OUT_ROWS rows and some megabytes."""
+def _in_parts(made: Iterator[tuple], names: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows (id, size, values by name) as record batches of at most OUT_ROWS rows and some megabytes."""
     rows: list[tuple] = []
     held = 0
-    for i, n, x in zip(ids, sizes, made, strict=True):
+    for i, n, x in made:
         rows.append((i, n, *(x[k] for k in names)))
         held += len(x["media"])
         if len(rows) == OUT_ROWS or held > 16 << 20:
@@ -227,23 +248,24 @@ def mux(rows: DataFrame) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
         for b in batches:
             bodies = [x or b"" for x in b.column("bytes").to_pylist()]
-            made = ({"media": mux_bytes(x.ljust(max(64, -(-len(x) // 64) * 64), b"\0"))} for x in bodies)
-            yield from _in_parts(b.column("doc_id").to_pylist(), [len(x) for x in bodies], made, ["media"], schema)
+            made = ((i, len(x), {"media": mux_bytes(x.ljust(max(64, -(-len(x) // 64) * 64), b"\0"))}) for i, x in zip(b.column("doc_id").to_pylist(), bodies, strict=True))
+            yield from _in_parts(made, ["media"], schema)
 
     return rows.select(F.col("doc_id").cast("long"), "bytes").mapInArrow(run, MUX_SCHEMA)
 
 
-def demux(streams: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) with the payload, time stamps and random-access packets read back from the media."""
+def demux(streams: DataFrame, every: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, media) with the payload, time stamps and random-access packets read back from the media, of the first stream or of every one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
-        kinds = {"media": pa.binary(), "payload": pa.binary(), "valid": pa.bool_(), "es_pid": pa.int32(), "stream_type": pa.int32(), "pts": longs, "random_access": longs, "cc_errors": pa.int32(), "packets": pa.int32()}
+        kinds = {"media": pa.binary(), "stream": pa.int32(), "payload": pa.binary(), "valid": pa.bool_(), "es_pid": pa.int32(), "stream_type": pa.int32(), "pts": longs, "random_access": longs, "cc_errors": pa.int32(), "packets": pa.int32()}
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), *kinds.items()])
         for b in batches:
             media = [x or b"" for x in b.column("media").to_pylist()]
-            made = ({"media": x} | demux_bytes(x) for x in media)
-            yield from _in_parts(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), made, list(kinds), schema)
+            ids, sizes = b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist()
+            rows = ((i, n, {"media": x} | found) for i, n, x in zip(ids, sizes, media, strict=True) for found in (demux_streams(x) if every else [demux_bytes(x)]))
+            yield from _in_parts(rows, list(kinds), schema)
 
     return streams.select(F.col("doc_id").cast("long"), "n_bytes", "media").mapInArrow(run, DEMUX_SCHEMA)
 
