@@ -2,7 +2,7 @@
 
 The vocabulary's rules cut a text at white space, so the ids of a text are those of its
 blank-separated chunks one after another.  Chunks repeat, and a bounded cache in each
-worker maps them to ids.  Texts with characters for which this has not been shown to be the same (anything
+worker maps those of at most ``CACHE_CHARS`` characters to ids.  Texts with characters for which this has not been shown to be the same (anything
 beyond Latin-1, or what may be a special token) go through the library's own encoder.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 
 #: A file of the installed package of public vocabularies.
 VOCABULARY = "word_bpe_49k.json"
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
 
 # The vocabulary's own splitting rule, with Latin-1's letters and numbers written out.
 LETTERS, NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
@@ -41,9 +41,11 @@ class Encoder(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         ids = [t.id for p in PIECES.findall(chunk) for t in self.model.tokenize(p if p.isascii() else self.spelled(p))]
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[chunk] = out = np.array(ids, "<u4").tobytes()
+        out = np.array(ids, "<u4").tobytes()
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[chunk] = out
         return out
 
     def ids(self, text: str) -> bytes:

@@ -6,13 +6,16 @@ likelier it is in label 1 than in label 0, and a logistic regression is fitted o
 
 The ratios count every labelled training row.  Counts are summed in each task
 first, so that what comes together has one row for each bucket and task, and the sums (at most
-``BUCKETS`` rows) come to the driver.  The regression is fitted there on at most ``SAMPLE`` labelled
-rows, the ones with the smallest hashes of their ids.  The weights (``BUCKETS`` floats) are broadcast.
+``BUCKETS`` rows) come to the driver.  Features whose ratio is small (``MIN_RATIO``) or not told from chance (``MIN_ERRORS``) have
+weight 0, a selection that is part of the model.  The regression is fitted on the driver on a bounded sample of distinct labelled
+texts, the ones with the smallest hashes: at most ``SAMPLE`` texts with at most ``SAMPLE_FEATURES`` features together.
+The weights (``BUCKETS`` floats) are broadcast.
 
 Defined results: null and empty texts have no features and get the score that the intercept gives; without
 training rows of both labels every score is the share of label 1 (0 without any); repeated rows
 score alike; a document with several labels counts as toxic if one of them says so; null labels
-train nothing; other columns are neither read nor kept.
+train nothing; texts of any length are read to their end, in pieces; an empty table gives an empty result; columns that are
+not asked for are neither read nor kept, and ``score`` replaces a kept column of its name.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from corpuscope.llm.common import U64, chunks, code_points, held_out, mix64, tab
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 SIZES = (3, 4, 5)
-#: Labelled rows that the regression is fitted on, at most.
-SAMPLE = 32_768
+#: Labelled texts that the regression is fitted on, and their features, at most.
+SAMPLE, SAMPLE_FEATURES = 32_768, 16_000_000
 #: Features of a smaller absolute log-count ratio tell the labels too little apart and are left out.
 MIN_RATIO = 0.7
 #: Nor are ratios within so many standard errors of 0 told from chance.
@@ -42,7 +45,7 @@ L2 = 0.002
 ROUNDS = 300
 THRESHOLD = 0.3
 PIECE = 1 << 19
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES, CACHE_BYTES = 300_000, 64 << 20
 WORD = re.compile(r"[^\W\d_]+")
 MULTIPLIER = U64(0x9E3779B97F4A7C15)
 
@@ -88,6 +91,7 @@ class WordFeatures:
     def __init__(self, wanted: np.ndarray | None = None) -> None:
         self.wanted = wanted
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, words: list[str]) -> None:
         own, bucket = ngrams(words)
@@ -99,14 +103,15 @@ class WordFeatures:
         body = bucket[order].tobytes()
         for k, w in enumerate(words):
             self.known[w] = body[4 * cuts[k] : 4 * cuts[k + 1]]
+            self.held += len(w) + len(self.known[w])
 
     def of(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Distinct (text number, bucket) pairs, sorted, of ranges of the texts."""
         for a, b in chunks(texts, PIECE):
             sets = [words_of(t) for t in texts[a:b]]
             new = set().union(*sets) - self.known.keys()
-            if len(self.known) + len(new) > CACHE_ENTRIES:
-                self.known = {}
+            if len(self.known) + len(new) > CACHE_ENTRIES or self.held > CACHE_BYTES:
+                self.known, self.held = {}, 0
                 new = set().union(*sets)
             if new:
                 self.learn(list(new))
@@ -169,7 +174,6 @@ def fitted(own: np.ndarray, bucket: np.ndarray, y: np.ndarray, ratio: np.ndarray
         w, b, t = w2, b2, t2
     weight = np.zeros(BUCKETS)
     weight[used] = w * ratio[used]
-    weight[np.abs(weight) < 1e-3] = 0
     return Model(weight, b)
 
 
@@ -194,9 +198,21 @@ def counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return out[:, :-1], out[:, -1]
 
 
-def sampled(rows: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features and labels of a bounded frame (text, label): row numbers, buckets, labels."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(wanted))  # BUCKETS bits
+def sampled(docs: DataFrame, truth: DataFrame, wanted: np.ndarray, sample: int, most_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and labels of a bounded sample of the distinct texts (doc_id, text) with a label: row numbers, buckets, labels.
+
+    Hashes and sizes are made before the join, so that only the sample's texts are shuffled.
+    """
+    spark = docs.sparkSession
+    # a text has at most one n-gram of each size for each of its characters and edges
+    size = F.least(F.length(F.coalesce("text", F.lit(""))) * 2 * len(SIZES), F.lit(int(wanted.sum()))).cast("long")
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"), size.alias("size")).join(truth.hint("merge"), "doc_id")
+    few = rows.groupBy("h").agg(F.min("size").alias("size")).orderBy("h").limit(sample + 1).toArrow()  # two numbers for each text of the sample
+    upto = np.cumsum(few.column("size").to_numpy())
+    n = min(sample, int(np.searchsorted(upto, most_features, side="right")))
+    cut = int(few.column("h")[n].as_py()) if n < few.num_rows else 1 << 62
+    chosen = rows.where(F.col("h") < cut) if n < few.num_rows else rows
+    shared = spark.sparkContext.broadcast(np.packbits(wanted))  # BUCKETS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordFeatures(np.unpackbits(shared.value).astype(bool))
@@ -207,34 +223,34 @@ def sampled(rows: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 cuts = np.searchsorted(own, np.arange(own[0], own[-1] + 2)) if len(own) else []
                 for k in range(len(cuts) - 1):
                     lists[int(own[0]) + k] = bucket[cuts[k] : cuts[k + 1]].tolist()
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(lists, pa.list_(pa.int32()))], ["label", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("label"), pa.array(lists, pa.list_(pa.int32()))], ["h", "label", "buckets"])
 
-    got = rows.mapInArrow(run, "label int, buckets array<int>").toArrow()
+    made = chosen.select("h", "text", "label").mapInArrow(run, "h long, label int, buckets array<int>")
+    got = made.groupBy("h").agg(F.max("label").alias("label"), F.first("buckets").alias("buckets")).toArrow().sort_by("h")
     y = got.column("label").to_numpy()
     lists = got.column("buckets").combine_chunks()
     own = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy()) if len(y) else np.zeros(0, np.int64)
     return own, lists.flatten().to_numpy(), y
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int = SAMPLE_FEATURES) -> Model:
     """A model from (doc_id, text) and (doc_id, toxic), without the held-out rows."""
     truth = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     truth = truth.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
-    texts = docs.select("doc_id", "text")
     # labels grow with the documents: they are never broadcast, so the plan is the same at every size
-    count, total = counted(texts.where(~held_out(F.col("doc_id"))).join(truth.hint("merge"), "doc_id").select("text", "label"))
+    docs = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
+    count, total = counted(docs.join(truth.hint("merge"), "doc_id").select("text", "label"))
     if not total.all():
         share = float(total[1] / total.sum()) if total.sum() else 0.0
         return Model(np.zeros(BUCKETS), float(np.log(max(share, 1e-13) / max(1 - share, 1e-13))))
     ratio = log_count_ratios(count, total)
-    chosen = truth.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    own, bucket, y = sampled(texts.join(F.broadcast(chosen), "doc_id").select("text", "label"), ratio != 0)
+    own, bucket, y = sampled(docs, truth, ratio != 0, sample, most_features)
     return fitted(own, bucket, y, ratio)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep) of every row with ``score``, the probability of label 1."""
-    out = list(dict.fromkeys((id_col, *keep)))
+    out = [c for c in dict.fromkeys((id_col, *keep)) if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.intercept))  # BUCKETS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
