@@ -13,8 +13,8 @@ the groups that may be linked, and later compares the full sets of each group by
 tokens.  Groups are cut into cells of at most ``SET_TOKENS`` tokens, all pairs of blocks, so long texts do not add up in
 a task.  A group whose members are all in one component is finished.
 
-Oversized nodes are first dealt into chunks that share ``LEADERS`` classes.  Where that leaves several components, they
-branch on.  What is still open at the last depth is, up to ``CLUSTER`` classes around one component, compared block by
+Nodes that are oversized at the last depth are dealt into chunks that share ``LEADERS`` classes.  Where that leaves several
+components, up to ``CLUSTER`` classes around one component are compared block by
 block, those outside the largest component with all; larger clusters go through a forest of twice the depth, whose number
 of trees follows from ``missed`` again, and so on to ``DEEPEST``.  So a class meets a bounded number of others in a
 node, whatever the size of its group, and the work grows with the rows.  Nothing is left out: what even the
@@ -164,7 +164,7 @@ def features(docs: DataFrame, width: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(class, size, tokens) of the wanted (doc_id, key, class), from the whole texts.
+    """(class, tokens) of the wanted (doc_id, key, class), from the whole texts.
 
     What is wanted grows with the documents: it is never broadcast, so the plan is the same at every size.
     """
@@ -172,12 +172,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for b in batches:
-            got = [(c, len(s), s.tobytes()) for c, s in zip(b.column("class").to_pylist(), shingler.sets(b.column("text").to_pylist()), strict=True) if class_of(s) == c]
-            made = [pa.array([x[k] for x in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(made, ["class", "size", "tokens"])
+            got = [(c, s.tobytes()) for c, s in zip(b.column("class").to_pylist(), shingler.sets(b.column("text").to_pylist()), strict=True) if class_of(s) == c]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], t) for k, t in enumerate((pa.int64(), pa.binary()))], ["class", "tokens"])
 
     rows = _with_key(docs).join(wanted.hint("merge"), ["doc_id", "key"]).select("class", "text")
-    return rows.mapInArrow(run, "class long, size long, tokens binary").dropDuplicates(["class"])
+    return rows.mapInArrow(run, "class long, tokens binary").dropDuplicates(["class"])
 
 
 # --- trees ---------------------------------------------------------------------------------------
@@ -375,7 +374,7 @@ def by_node(rows: DataFrame, work: Callable[[dict[str, list]], list[tuple]], sch
 
 
 def likely_groups(nodes: DataFrame, sketches: DataFrame, floor_: int) -> DataFrame:
-    """(node, class, size) of the groups in each node that sketches may link; equal groups of several nodes are one.
+    """(node, class, size) of the groups in each node that sketches may link, with each set's size; equal groups of several nodes are one.
 
     The new node is a hash of the group's members.
     """
@@ -388,36 +387,37 @@ def likely_groups(nodes: DataFrame, sketches: DataFrame, floor_: int) -> DataFra
         if label is None:
             return []
         out: list[tuple] = []
-        groups: dict[int, list[int]] = {}
-        for at, c in zip(label.tolist(), g["class"], strict=True):
-            groups.setdefault(at, []).append(c)
+        groups: dict[int, list[tuple[int, int]]] = {}
+        for at, *member in zip(label.tolist(), g["class"], g["size"], strict=True):
+            groups.setdefault(at, []).append(tuple(member))
         for members in groups.values():
             if len(members) > 1:
-                name = int.from_bytes(blake2b(np.array(sorted(members), np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
-                out += [(name, c, len(members)) for c in members]
+                name = int.from_bytes(blake2b(np.array(sorted(c for c, _ in members), np.int64).tobytes(), digest_size=8).digest(), "little", signed=True)
+                out += [(name, *m) for m in members]
         return out
 
-    rows = nodes.join(sketches, "class").select("node", "class", "sketch")
+    rows = nodes.join(sketches, "class").select("node", "class", "size", "sketch")
     found = by_node(rows, work, "node long, class long, size long", ["node", "class", "size"])
     return found.groupBy("node", "class").agg(F.first("size").alias("size"))
 
 
 def in_cells(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, class, comp, tokens): the groups (node, class, comp) with their full sets, large ones cut into cells.
+    """(node, class, comp, tokens): the open ones of the groups (node, class, size, comp) with their full sets, large ones cut into cells.
 
     A group's sets are dealt by size into blocks of half of ``SET_TOKENS``; where there are several, a cell holds two.
+    Groups are of bounded size, so a window may span one.
     """
-    sized = groups.join(sets.select("class", "size"), "class")
-    before = F.sum("size").over(Window.partitionBy("node").orderBy("size", "class")) - F.col("size")  # a node is bounded
-    dealt = sized.withColumn("block", F.floor(before / F.lit(SET_TOKENS // 2)))
-    dealt = dealt.withColumn("blocks", F.max("block").over(Window.partitionBy("node")) + 1)
+    whole, order = Window.partitionBy("node"), Window.partitionBy("node").orderBy("size", "class")
+    several = F.min("comp").over(whole) != F.max("comp").over(whole)
+    now = groups.withColumn("several", several).withColumn("block", F.floor((F.sum("size").over(order) - F.col("size")) / F.lit(SET_TOKENS // 2)))
+    dealt = now.withColumn("blocks", F.max("block").over(whole) + 1).where("several")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("blocks = 1 OR other <> block")
     cell = F.when(F.col("blocks") == 1, F.col("node")).otherwise(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")))
     return dealt.select(cell.alias("node"), "class", "comp").join(sets.select("class", "tokens"), "class").select("node", "class", "comp", "tokens")
 
 
 def confirmed(groups: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Links (a, b) that connect the classes of each group (node, class, comp) as far as their full sets do.
+    """Links (a, b) that connect the classes of each group (node, class, size, comp) as far as their full sets do.
 
     Classes of one component count as connected.
     """
@@ -463,32 +463,37 @@ class Join:
         self.threshold = share[0] / share[1]
         self.floor = int(SKETCH * (self.threshold - SLACK * (self.threshold * (1 - self.threshold) / SKETCH) ** 0.5))
         self.sketches = sketch_of(classes)
-        self.roots = docs.sparkSession.createDataFrame([], "node long, root long")
-        self.sets = docs.sparkSession.createDataFrame([], "class long, size long, tokens binary")
-
-    def open(self, groups: DataFrame) -> DataFrame:
-        """The groups (node, class, ...) that still hold more than one component, with ``comp``."""
-        now = groups.join(self.roots.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
+        self.roots: DataFrame | None = None
+        self.sets: DataFrame | None = None
+
+    def with_comp(self, rows: DataFrame) -> DataFrame:
+        """Rows (class, ...) with the component of their class."""
+        if self.roots is None:
+            return rows.withColumn("comp", F.col("class"))
+        return rows.join(self.roots.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
+
+    def open(self, nodes: DataFrame) -> DataFrame:
+        """The nodes (node, class, ...), of any size, that still hold more than one component, with ``comp``."""
+        now = self.with_comp(nodes)
         several = now.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
         return now.join(several, "node")
 
-    def confirm(self, groups: DataFrame) -> None:
-        links = written(confirmed(self.open(groups).select("node", "class", "comp"), self.sets, self.share), "links")
-        if not links.isEmpty():
-            known = self.roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            self.roots = written(connected(links.unionByName(known)), "roots")
+    def compare(self, nodes: DataFrame, and_later: DataFrame | None = None) -> None:
+        """Find all links inside nodes of bounded size (node, class).
 
-    def compare(self, nodes: DataFrame) -> None:
-        """Find all links inside nodes of bounded size (node, class)."""
+        The texts are shuffled once: the first call fetches the sets of its own groups and of the classes ``and_later``, and
+        later calls are about those alone.
+        """
         groups = written(likely_groups(nodes, self.sketches, self.floor), "groups")
-        wanted = groups.select("class").distinct().join(self.sets.select("class"), "class", "left_anti")
-        new = written(full_sets(self.docs, wanted.join(self.classes.select("class", "doc_id", "key"), "class"), self.width), "sets")
-        self.sets = self.sets.unionByName(new)
-        # a group that is the largest of one of its members first; then what those leave open
-        largest = groups.groupBy("class").agg(F.max_by("node", F.struct("size", "node")).alias("node")).select("node").distinct()
-        groups = groups.select("node", "class")
-        self.confirm(groups.join(largest, "node"))
-        self.confirm(groups)
+        if self.sets is None:
+            wanted = groups.select("class") if and_later is None else groups.select("class").unionByName(and_later.select("class"))
+            wanted = wanted.distinct().join(self.classes.select("class", "doc_id", "key"), "class")
+            self.sets = written(full_sets(self.docs, wanted, self.width), "sets")
+        links = written(confirmed(self.with_comp(groups), self.sets, self.share), "links")
+        if not links.isEmpty():
+            if self.roots is not None:
+                links = links.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            self.roots = written(connected(links), "roots")
 
     def grow(self, members: DataFrame, forest: Forest) -> DataFrame | None:
         """Compare the nodes of a forest over classes (class, sig); the ones left open as too large (node, class, comp), if any."""
@@ -499,28 +504,23 @@ class Join:
             sized = written(frontier.join(count, "node"), "nodes")
             small.append(sized.where(F.col("n") <= LEAF).select("node", "class"))
             big = sized.where(F.col("n") > LEAF)
-            if big.isEmpty():
-                big = None
-                break
-            if depth == 1:
-                self.compare(chunked(big))
-            big = written(self.open(big), "open")
             if forest.depth > DEPTH:  # clusters of a deeper forest are compared as soon as they are small enough
-                near = big.where(F.col("n") <= CLUSTER).withColumnRenamed("node", "main")
-                main = F.max_by("comp", "k").over(Window.partitionBy("main"))
-                near = near.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("main", "comp"))).withColumn("outside", F.col("comp") != main)
-                small.append(cells(near.select("main", "class", "outside")))
-                big = big.where(F.col("n") > CLUSTER)
+                big = written(self.open(big), "open")
+                of = Window.partitionBy("node")  # CLUSTER rows at most
+                near = big.where(F.col("n") <= CLUSTER).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("node", "comp")))
+                near = near.withColumn("outside", F.col("comp") != F.max_by("comp", F.struct("k", "comp")).over(of))
+                small.append(cells(near.select(F.col("node").alias("main"), "class", "outside")))
+                big = big.where(F.col("n") > CLUSTER).drop("comp")
             if big.isEmpty():
-                big = None
-                break
+                self.compare(reduce(DataFrame.unionByName, small))
+                return None
             if depth < forest.depth:
                 frontier = branched(big.select("node", "class").join(self.classes, "class").select("node", "class", "sig"), self.threshold, forest)
-        self.compare(reduce(DataFrame.unionByName, small))
-        return big if big is None else written(self.open(big.drop("comp")), "open")
+        self.compare(reduce(DataFrame.unionByName, [*small, chunked(big)]), big)
+        return written(self.open(big), "open")
 
-    def run(self) -> DataFrame:
-        """(node, root) of every class that has a link."""
+    def run(self) -> DataFrame | None:
+        """(node, root) of every class that has a link; None if none has."""
         members, depth = self.classes, DEPTH
         while True:
             left = self.grow(members.select("class", "sig"), forest_for(self.threshold, depth))
@@ -545,12 +545,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     """
     every = written(features(docs, width), "features")
     linkable = every.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    one = F.min_by(F.struct("doc_id", "key", "sig"), F.struct("doc_id", "key")).alias("one")
-    classes = written(linkable.groupBy("class").agg(one).select("class", "one.doc_id", "one.key", "one.sig"), "classes")
-    roots = Join(docs, classes, width, share).run()
+    one = F.min_by(F.struct("doc_id", "key", F.col("n_shingles").alias("size"), "sig"), F.struct("doc_id", "key")).alias("one")
+    classes = written(linkable.groupBy("class").agg(one).select("class", "one.*"), "classes")
+    join = Join(docs, classes, width, share)
+    join.run()
     first = classes.select("class", F.col("doc_id").alias("first"))
-    least = first.join(roots.withColumnRenamed("node", "class"), "class").groupBy("root").agg(F.min("first").alias("least"))
-    of_class = first.join(roots.withColumnRenamed("node", "class"), "class", "left").join(least, "root", "left").select("class", F.coalesce("least", "first").alias("component"))
+    of_class = join.with_comp(first)
+    of_class = of_class.join(of_class.groupBy("comp").agg(F.min("first").alias("component")), "comp").select("class", "component")
     joined = every.drop("sig").join(of_class, "class", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component: Column = F.when(F.col("doc_id").isNotNull(), own)
@@ -558,14 +559,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
 
 
 def sketch_of(classes: DataFrame) -> DataFrame:
-    """(class, sketch): the low byte of each coordinate of the first half of the signature."""
+    """(class, size, sketch): the size of each set, and the low byte of each coordinate of the first half of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, COORDINATES)[:, :SKETCH].astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column("class"), pa.array([r.tobytes() for r in sig], pa.binary())], ["class", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("class"), b.column("size"), pa.array([r.tobytes() for r in sig], pa.binary())], ["class", "size", "sketch"])
 
-    return classes.select("class", "sig").mapInArrow(run, "class long, sketch binary")
+    return classes.select("class", "size", "sig").mapInArrow(run, "class long, size long, sketch binary")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
