@@ -44,10 +44,8 @@ from corpuscope.llm.common import U64, chunks, mix64, powers, table
 from corpuscope.llm.components import connected
 from corpuscope.shared import written
 
-#: Minwise tokens of a class, 16 bits of each; the first forest's trees have ``POOL`` of their own.
-COORDINATES, POOL = 128, 8
-#: Coordinates whose low bytes are the sketch.
-SKETCH = 64
+#: Minwise tokens of a class, 32 bits of each; the first forest's trees have ``POOL`` of their own.  Their low bytes are the sketch.
+COORDINATES, POOL = 64, 4
 #: Classes of a node that one task compares with one another, and of either side of a cell of a larger cluster.
 LEAF, TILE = 512, 1024
 #: Classes around one component that are compared block by block; more branch deeper.
@@ -56,7 +54,7 @@ CLUSTER = 16_384
 SET_TOKENS = 1 << 21
 ROWS_AT_ONCE = 128
 LEADERS = 8
-DEPTH, DEEPEST = 3, 24
+DEPTH, DEEPEST = 3, 12
 MISS = 1e-3
 PIECE = 1 << 19
 MULTIPLIER = 0x9FB21C651E98DF25
@@ -64,10 +62,10 @@ MULTIPLIER = 0x9FB21C651E98DF25
 SLACK = 3.5
 #: A node's name keeps its tree in the low bits.
 TREE_BITS = 8
+LOW = U64((1 << TREE_BITS) - 1)
 
 _A = mix64(np.arange(1, COORDINATES + 1, dtype=U64)) | U64(1)
 _B = mix64(np.arange(1001, COORDINATES + 1001, dtype=U64))
-_A32, _B32 = _A.astype(np.uint32) | np.uint32(1), (_B >> U64(32)).astype(np.uint32)
 
 
 # --- sets and signatures -------------------------------------------------------------------------
@@ -131,12 +129,11 @@ class Shingler:
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """16 bits of the minwise token of each coordinate."""
-    out = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
-    short = (tokens ^ (tokens >> U64(32))).astype(np.uint32)
-    for at in range(0, len(short), 1024):
-        out = np.minimum(out, ((short[at : at + 1024, None] ^ _B32) * _A32).min(axis=0))
-    return out.astype(np.uint16)
+    """32 bits of the minwise token of each coordinate: the low ones of the least hash, which are spread evenly."""
+    out = np.full(COORDINATES, 0xFFFFFFFFFFFFFFFF, U64)
+    for at in range(0, len(tokens), 1024):
+        out = np.minimum(out, ((tokens[at : at + 1024, None] ^ _B) * _A).min(axis=0))
+    return out.astype(np.uint32)
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -200,9 +197,19 @@ class Forest:
         first = (tree * self.pool) % COORDINATES if self.pool < COORDINATES else tree * 0
         return first[:, None] + np.arange(self.pool)
 
+    def roots(self) -> np.ndarray:
+        tree = np.arange(self.trees, dtype=U64)
+        return mix64(tree + U64(self.seed << 20)) & ~LOW | tree
+
+    def drawn(self, node: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, coordinate) of all coordinates that the nodes draw."""
+        pool = self.coordinates((node & LOW).astype(np.int64))
+        row, at = np.nonzero(mix64(node[:, None] + _B[pool]) < self.limit(threshold))
+        return row, pool[row, at]
+
 
 def _together(agree: int, share: float, depth: int) -> float:
-    """Probability that a pair that agrees in so many coordinates of a pool is together in a node of a depth.
+    """Probability that a pair that agrees in so many coordinates of a pool is together in a node some levels deeper.
 
     Each node draws each coordinate with probability ``share``, and the pair goes on to the children of those it agrees in.
     """
@@ -212,14 +219,28 @@ def _together(agree: int, share: float, depth: int) -> float:
     return meet
 
 
+def _binomial(n: int, p: float) -> list[float]:
+    return [comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
+
+
 def missed(threshold: float, forest: Forest) -> float:
-    """Probability that a pair at the threshold is in no node of the forest's last depth together."""
+    """Probability that a pair at the threshold is in no node of the forest's last depth together.
+
+    What roots draw is the same for all pairs, so it is taken as it is; further draws depend on the pair's tokens.
+    """
     share = min(0.999, 1 / (threshold * forest.pool))
-    agree = [comb(forest.pool, k) * threshold**k * (1 - threshold) ** (forest.pool - k) for k in range(forest.pool + 1)]
-    apart = [1 - _together(k, share, forest.depth) for k in range(forest.pool + 1)]
-    if forest.pool < COORDINATES:
-        return sum(p * x for p, x in zip(agree, apart, strict=True)) ** forest.trees
-    return sum(p * x**forest.trees for p, x in zip(agree, apart, strict=True))
+    at_root = np.bincount(forest.drawn(forest.roots(), threshold)[0], minlength=forest.trees).tolist()
+    if forest.pool < COORDINATES:  # each tree has coordinates of its own
+        out = 1.0
+        for n in at_root:
+            rest = _binomial(forest.pool - n, threshold)
+            out *= sum(p * q * (1 - _together(i + j, share, forest.depth - 1)) ** i for i, p in enumerate(_binomial(n, threshold)) for j, q in enumerate(rest))
+        return out
+    out = 0.0
+    for agree, p in enumerate(_binomial(COORDINATES, threshold)):
+        apart = 1 - _together(agree, share, forest.depth - 1)
+        out += p * float(np.prod([(1 - agree / COORDINATES * (1 - apart)) ** n for n in at_root]))
+    return out
 
 
 def forest_for(threshold: float, depth: int, miss: float = MISS) -> Forest:
@@ -236,29 +257,21 @@ def forest_for(threshold: float, depth: int, miss: float = MISS) -> Forest:
 
 def branched(rows: DataFrame, threshold: float, forest: Forest, roots: bool = False) -> DataFrame:
     """(node, class) of the children of the rows' (node, class, sig) nodes, or of the roots of the forest's trees."""
-    low = U64((1 << TREE_BITS) - 1)
-
-    def drawn(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pool = forest.coordinates((node & low).astype(np.int64))
-        row, at = np.nonzero(mix64(node[:, None] + _B[pool]) < forest.limit(threshold))
-        return row, pool[row, at]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = np.arange(forest.trees, dtype=U64)
-        root = mix64(tree + U64(forest.seed << 20)) & ~low | tree
+        root = forest.roots()
         for b in batches:
             for x in range(0, b.num_rows, 2048):
                 part = b.slice(x, 2048)
                 c = part.column("class").to_numpy()
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, COORDINATES)
+                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
                 if roots:
-                    of, at = drawn(root)
+                    of, at = forest.drawn(root, threshold)
                     row, node, at = np.repeat(np.arange(len(c)), len(at)), np.tile(root[of], len(c)), np.tile(at, len(c))
                 else:
                     own = part.column("node").to_numpy().astype(U64)
-                    row, at = drawn(own)
+                    row, at = forest.drawn(own, threshold)
                     node = own[row]
-                child = mix64(mix64(node + _A[at]) ^ sig[row, at]) & ~low | node & low
+                child = mix64(mix64(node + _A[at]) ^ sig[row, at]) & ~LOW | node & LOW
                 yield pa.RecordBatch.from_pydict({"node": child.astype(np.int64), "class": c[row]})
 
     return rows.mapInArrow(run, "node long, class long")
@@ -383,7 +396,7 @@ def likely_groups(nodes: DataFrame, sketches: DataFrame, floor_: int) -> DataFra
         if len(set(g["class"])) < len(g["class"]):
             first = {c: k for k, c in reversed(list(enumerate(g["class"])))}
             g = {name: [v[k] for k in first.values()] for name, v in g.items()}
-        label = sketch_labels(np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, SKETCH), floor_)
+        label = sketch_labels(np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(-1, COORDINATES), floor_)
         if label is None:
             return []
         out: list[tuple] = []
@@ -461,7 +474,7 @@ class Join:
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, share: tuple[int, int]) -> None:
         self.docs, self.classes, self.width, self.share = docs, classes, width, share
         self.threshold = share[0] / share[1]
-        self.floor = int(SKETCH * (self.threshold - SLACK * (self.threshold * (1 - self.threshold) / SKETCH) ** 0.5))
+        self.floor = int(COORDINATES * (self.threshold - SLACK * (self.threshold * (1 - self.threshold) / COORDINATES) ** 0.5))
         self.sketches = sketch_of(classes)
         self.roots: DataFrame | None = None
         self.sets: DataFrame | None = None
@@ -559,11 +572,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
 
 
 def sketch_of(classes: DataFrame) -> DataFrame:
-    """(class, size, sketch): the size of each set, and the low byte of each coordinate of the first half of the signature."""
+    """(class, size, sketch): the size of each set, and the low byte of each coordinate of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, COORDINATES)[:, :SKETCH].astype(np.uint8)
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([b.column("class"), b.column("size"), pa.array([r.tobytes() for r in sig], pa.binary())], ["class", "size", "sketch"])
 
     return classes.select("class", "size", "sig").mapInArrow(run, "class long, size long, sketch binary")

@@ -94,24 +94,19 @@ def test_recall_of_the_trees(share):
     r = np.random.default_rng(share)
     forest, threshold = neardup.forest_for(0.85, neardup.DEPTH), 0.85
     assert forest.trees * forest.pool <= neardup.COORDINATES and neardup.missed(0.85, forest) <= neardup.MISS
-    floor_ = int(neardup.SKETCH * (threshold - neardup.SLACK * (threshold * (1 - threshold) / neardup.SKETCH) ** 0.5))
-    low, n, missed = np.uint64((1 << neardup.TREE_BITS) - 1), 2000, 0
+    floor_ = int(neardup.COORDINATES * (threshold - neardup.SLACK * (threshold * (1 - threshold) / neardup.COORDINATES) ** 0.5))
+    n, missed = 2000, 0
     for _ in range(n):
         size = int(r.integers(60, 400))
         own = round(size * (1 - share / 100) / (1 + share / 100))
         common, a, b = (r.integers(0, 1 << 63, k).astype(np.uint64) for k in (size - own, own, own))
         x, y = (neardup.signature(np.unique(np.concatenate([common, o]))) for o in (a, b))
-        same, met = x == y, False
-        root = neardup.mix64(np.arange(forest.trees, dtype=np.uint64) + np.uint64(forest.seed << 20)) & ~low | np.arange(forest.trees, dtype=np.uint64)
-        node = root
+        same, node = x == y, forest.roots()
         for _ in range(forest.depth):
-            pool = forest.coordinates((node & low).astype(np.int64))
-            row, at = np.nonzero(neardup.mix64(node[:, None] + neardup._B[pool]) < forest.limit(threshold))
-            at = pool[row, at]
+            row, at = forest.drawn(node, threshold)
             go = same[at]
-            node = neardup.mix64(neardup.mix64(node[row] + neardup._A[at]) ^ x[at]) & ~low | node[row] & low
-            node = node[go]
-        met = len(node) > 0 and int((x[: neardup.SKETCH].astype(np.uint8) == y[: neardup.SKETCH].astype(np.uint8)).sum()) >= floor_
+            node = (neardup.mix64(neardup.mix64(node[row] + neardup._A[at]) ^ x[at]) & ~neardup.LOW | node[row] & neardup.LOW)[go]
+        met = len(node) > 0 and int((x[: neardup.COORDINATES].astype(np.uint8) == y[: neardup.COORDINATES].astype(np.uint8)).sum()) >= floor_
         missed += not met
     assert missed <= 6  # 0.001 by the trees and less by the sketches, of 2000
 
