@@ -1,7 +1,8 @@
 """Text rules as Column expressions: article cleaning, tokens, snippets.
 
 Blanks are Unicode white space plus the four ASCII separators, as in Python's ``str.strip`` and
-``str.split``.  Patterns are written so that Java and RE2 read them alike.
+``str.split``.  Lines are told apart inside patterns over the whole text, where a line is what follows a newline, so rules run in
+compiled code instead of a function for each line; no pattern repeats a group, so long lines need no stack.
 """
 
 from __future__ import annotations
@@ -16,9 +17,13 @@ from corpuscope.functions.vector import let
 WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_WS = WS.replace("[", "[^", 1)
 STRIP = rf"\A{WS}+|{WS}+\z"
+BLANKS = "".join(map(chr, (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Blanks inside a line, and what ends one.
+GAP, LINE_END = WS.replace(r"\x{9}-\x{d}", r"\x{9}\x{b}-\x{d}") + "*", r"(?=\n|\z)"
 
 # The rules of the article and snippet formats.
 REPLY_MARK = rf"(?i)\A(?:re:{WS}*)+"
+# (patterns of whole lines are the ones that the checking SQL applies to stripped lines)
 SEPARATOR = r"\A[-=_]{3,}\z"
 ATTRIBUTION = r"(?is)\AIn article .* wrote:\z"
 LOOSE_ATTRIBUTION = r"(?is)\AIn article.*wrote:"
@@ -34,7 +39,7 @@ TITLE_TOKENS, BODY_FOR_TITLE, LEAST_TOKENS = 10, 80, 10
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, STRIP, "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def tokens(c: Column) -> Column:
@@ -43,40 +48,27 @@ def tokens(c: Column) -> Column:
 
 
 def token_count(c: Column) -> Column:
-    return F.size(tokens(c))
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit(f"{NOT_WS}+"))
 
 
-def starts_any(c: Column, prefixes: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for p in prefixes:
-        out = out | c.startswith(p)
-    return out
+def any_of(words: tuple[str, ...]) -> str:
+    """A pattern for one of some words in any case; words have no special characters but the hyphen."""
+    return f"(?i:{'|'.join(words)})"
 
 
-def _first(lines: Column, test: Callable[[Column], Column]) -> Column:
-    """The place of the first line that passes, 0 if none does."""
-    return F.array_position(F.transform(lines, test), F.lit(True)).cast("int")
-
-
-def _upto(lines: Column, at: Column) -> Column:
-    """The lines before a place; all of them if it is 0."""
-    return F.when(at == 0, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0))))
+def _halves(raw: Column) -> Column:
+    """Header and body, parted by the first blank line; each line follows a newline.  Without a blank line all is header."""
+    return F.split(F.concat(F.lit("\n"), raw), rf"\n{GAP}{LINE_END}", 2)
 
 
 def _subject_of(header: Column) -> Column:
-    last = F.try_element_at(F.filter(F.transform(header, strip), lambda x: F.lower(x).startswith("subject:")), F.lit(-1))
-    return strip(F.regexp_replace(strip(F.substring(last, 9, 1 << 30)), REPLY_MARK, ""))
-
-
-def _split_article(raw: Column, body: Callable[[Column, Column], Column]) -> Column:
-    """Apply a function to lines and the place of the first blank one, which parts header and body."""
-    parts = let(F.split(raw, "\n", -1), lambda x: F.struct(x.alias("lines"), _first(x, lambda s: strip(s) == "").alias("blank")))
-    return let(parts, lambda p: body(p["lines"], p["blank"]))
+    last = F.try_element_at(F.regexp_extract_all(header, F.lit(rf"\n{GAP}{any_of(('subject:',))}([^\n]*)"), F.lit(1)), F.lit(-1))
+    return strip(F.regexp_replace(strip(last), REPLY_MARK, ""))
 
 
 def subject(raw: Column) -> Column:
     """The last subject line without reply marks; empty if it is, null if there is none."""
-    return _split_article(raw, lambda lines, blank: _subject_of(_upto(lines, blank)))
+    return _subject_of(F.element_at(_halves(raw), 1))
 
 
 def clean_article(raw: Column) -> Column:
@@ -84,34 +76,26 @@ def clean_article(raw: Column) -> Column:
 
     Without a blank line all lines are header.  Null stays null.
     """
+    dropped = rf"\n{GAP}(?:>[^\n]*|[-=_]{{3,}}{GAP}|(?i:in article )[^\n]* (?i:wrote:){GAP}){LINE_END}"
 
-    def keep(x: Column) -> Column:
-        return let(strip(x), lambda s: ~s.startswith(">") & ~s.rlike(SEPARATOR) & ~s.rlike(ATTRIBUTION))
+    def made(halves: Column) -> Column:
+        after = F.when(halves.isNotNull(), F.coalesce(F.try_element_at(halves, F.lit(2)), F.lit("")))
+        body = F.element_at(F.split(after, rf"\n{GAP}-{{2,3}}{GAP}{LINE_END}", 2), 1)
+        text = strip(F.regexp_replace(body, dropped, ""))
+        title = F.coalesce(_subject_of(F.element_at(halves, 1)), F.lit(""))
+        return let(title, lambda t: F.concat(F.when(t != "", F.concat(t, F.lit(". "))).otherwise(""), text))
 
-    def text_of(body: Column) -> Column:
-        unsigned = let(body, lambda b: let(_first(b, lambda s: strip(s).isin(*SIGNATURES)), lambda at: _upto(b, at)))
-        return strip(F.array_join(F.filter(unsigned, keep), "\n"))
-
-    def joined(lines: Column, blank: Column) -> Column:
-        body = F.when(blank == 0, F.array().cast("array<string>")).otherwise(F.slice(lines, blank + 1, F.size(lines)))
-        title = F.coalesce(_subject_of(_upto(lines, blank)), F.lit(""))
-        return let(title, lambda t: F.concat(F.when(t != "", F.concat(t, F.lit(". "))).otherwise(""), text_of(body)))
-
-    return strip(F.regexp_replace(F.regexp_replace(_split_article(raw, joined), "\n{3,}", "\n\n"), r"[ \t]+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(let(_halves(raw), made), "\n{3,}", "\n\n"), r"[ \t]+", " "))
 
 
 def snippet(text: Column, max_chars: int = MAX_SNIPPET) -> Column:
     """A readable excerpt of a stored article: noise lines go, a short first line is a title, long text is cut."""
 
-    def keep(s: Column) -> Column:
-        low = F.lower(s)
-        noise = (
-            (s == "") | s.startswith(">") | s.startswith("|") | starts_any(low, SNIPPET_HEADERS) | s.contains("@") | s.rlike(LOOSE_ATTRIBUTION)
-            | ((s == F.upper(s)) & (s != low) & (token_count(s) > 3)) | s.isin(*SIGNATURES)
-        )
-        for w in METADATA_WORDS:
-            noise = noise | low.contains(w)
-        return ~noise
+    headers, words = any_of(SNIPPET_HEADERS), any_of(METADATA_WORDS)
+    noise = rf"\n{GAP}(?:[>|][^\n]*|{headers}[^\n]*|(?i:in article)[^\n]*(?i:wrote:)[^\n]*|-{{2,3}}{GAP}|[^\n@]*@[^\n]*|[^\n]*{words}[^\n]*|){LINE_END}"
+
+    def quiet(s: Column) -> Column:
+        return (s != "") & ~((s == F.upper(s)) & (s != F.lower(s)) & (token_count(s) > 3))
 
     def spaced(lines: Column) -> Column:
         return strip(F.regexp_replace(F.array_join(lines, " "), " {2,}", " "))
@@ -130,5 +114,6 @@ def snippet(text: Column, max_chars: int = MAX_SNIPPET) -> Column:
     def cut(r: Column) -> Column:
         return F.when(F.length(r) > max_chars, F.concat(F.regexp_replace(F.substring(r, 1, max_chars), r" [^ ]*\z", ""), F.lit("..."))).otherwise(r)
 
-    lines = F.filter(F.transform(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\\n"), F.lit("\n")), "\n", -1), strip), keep)
+    whole = F.concat(F.lit("\n"), F.replace(F.coalesce(text, F.lit("")), F.lit("\\n"), F.lit("\n")))
+    lines = F.filter(F.transform(F.split(F.regexp_replace(whole, noise, ""), "\n", -1), strip), quiet)
     return let(let(lines, assemble), cut)

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.text import tokens
-from corpuscope.functions.vector import l2_normalize, let
 
 DIMENSIONS = 384
 BATCH = 64
@@ -23,34 +22,55 @@ class Encoder(Protocol):
 
 
 class HashingEncoder:
-    """Signed token counts by hash, scaled to unit length; a text without tokens gets zeros.  Built-in functions only."""
+    """Signed token counts by hash, scaled to unit length; a text without tokens gets zeros.
+
+    Tokens are hashed in the JVM; a batch's hashes are counted at once, so the work grows with the tokens alone.
+    """
 
     def __init__(self, dimensions: int = DIMENSIONS) -> None:
         self.dimensions = dimensions
 
     def __call__(self, text: Column) -> Column:
-        def signed(t: Column) -> Column:
-            return let(F.xxhash64(t), lambda h: F.struct(F.pmod(h, F.lit(self.dimensions)).alias("i"), F.when(h < 0, -1.0).otherwise(1.0).alias("s")))
+        d = self.dimensions
+
+        @F.pandas_udf("array<double>")
+        def counted(hashes: pd.Series) -> pd.Series:
+            n = np.fromiter((len(x) for x in hashes), np.int64, len(hashes))
+            h = np.concatenate([np.zeros(0, np.int64), *hashes])
+            at = np.repeat(np.arange(len(n)), n) * d + h % d
+            v = np.bincount(at, np.where(h < 0, -1.0, 1.0), minlength=len(n) * d).reshape(-1, d)
+            return pd.Series(list(v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)))
+
+        return counted(F.transform(tokens(F.lower(text)), lambda t: F.xxhash64(t)))
 
-        def summed(at: Column) -> Column:
-            every = F.sequence(F.lit(0).cast("long"), F.lit(self.dimensions - 1).cast("long"))
-            return F.transform(every, lambda i: F.aggregate(F.filter(at, lambda x: x.i == i), F.lit(0.0), lambda a, x: a + x.s))
 
-        return l2_normalize(let(F.transform(tokens(F.lower(text)), signed), summed))
+_models: dict[str, object] = {}
+
+
+def loaded(name: str, load: Callable[[], object]) -> object:
+    """The model of a name, made by the first task of a worker process and kept for those after it."""
+    if name not in _models:
+        _models[name] = load()
+    return _models[name]
 
 
 class ModelEncoder:
-    """A sentence model, made once in each worker by ``load``; its ``encode`` gets lists of texts."""
+    """A sentence model, made once in each worker by ``load``; its ``encode`` gets lists of texts.
 
-    def __init__(self, load: Callable[[], object], batch: int = BATCH) -> None:
-        self.load, self.batch = load, batch
+    Encoders with one ``name`` share the model; by default it is that of the function.
+    """
+
+    def __init__(self, load: Callable[[], object], batch: int = BATCH, name: str | None = None) -> None:
+        self.load, self.batch, self.name = load, batch, name or f"{load.__module__}.{load.__qualname__}"
 
     def __call__(self, text: Column) -> Column:
-        load, batch = self.load, self.batch
+        load, batch, name = self.load, self.batch, self.name
 
         @F.pandas_udf("array<double>")
         def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = load()
+            from corpuscope.operators.encoder import loaded
+
+            model = loaded(name, load)
             for s in parts:
                 out: list[np.ndarray] = []
                 for i in range(0, len(s), batch):

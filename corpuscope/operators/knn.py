@@ -1,27 +1,35 @@
 """Nearest neighbours by cosine of unit vectors: one query, many queries, with a metadata filter.
 
-Many queries are worked off in blocks of bounded size.  A block is broadcast, every task scores its rows against
-the block with one matrix product and keeps the best ``k`` of each query, and only those meet in a
-window.  So no pair of query and row is ever a row of a frame.
+Many queries are worked off in blocks of ``BLOCK_BYTES``, one after another.  A block is broadcast, every task scores its rows
+against the block with one matrix product and keeps the best ``k`` of each query, and only those meet in a
+window.  So no pair of query and row is ever a row of a frame, and the driver holds one block at a time.
+
+Rows and queries can have flags, of which a pair must share one; a task then multiplies flag by flag where that is less work than
+all at once.  ``IvfIndex`` uses that for an approximate search: a row's flag is its nearest center, a query's are its nearest few.
+
+Ids can be numbers or strings; ties go to the smaller id.  Null vectors, and vectors of another length than the longest
+query, match nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuscope.functions.vector import dot
-from corpuscope.shared import written
+from corpuscope.shared import new_path, written
 
 DEFAULT_K = 10
-BLOCK = 2048
+BLOCK_BYTES = 48 << 20
 ROWS_AT_ONCE = 1024
 _COMPARE = {"$eq": "__eq__", "$ne": "__ne__", "$gt": "__gt__", "$gte": "__ge__", "$lt": "__lt__", "$lte": "__le__"}
 
@@ -70,61 +78,141 @@ def _flat_top(query: np.ndarray, score: np.ndarray, item: np.ndarray, k: int) ->
     return order[rank < k]
 
 
-def block_top(queries: DataFrame, rows: DataFrame, k: int, least: float | None = None, masked: bool = False, block: int = BLOCK) -> DataFrame:
+def block_top(queries: DataFrame, rows: DataFrame, k: int, least: float | None = None, masked: bool = False, block: int | None = None) -> DataFrame:
     """(query_id, item_id, score, rank) of the k best rows for each query.
 
     ``queries`` has query_id and vec, ``rows`` has item_id and vec; with ``masked`` both also have
     ``mask``, an array of flags, and only rows that share a flag with the query count.  Scores below
-    ``least`` do not count.
+    ``least`` do not count.  A block has ``block`` queries, or as many as make ``BLOCK_BYTES``.
     """
     spark = queries.sparkSession
     kept = ["query_id", "vec", *(["mask"] if masked else [])]
-    queries = written(queries.select(*kept).withColumn("part", F.xxhash64("query_id")), "queries")
-    n = queries.count()
-    n_blocks = max(1, -(-2 * n // block)) if n > block else 1
-    parts: list[DataFrame] = []
-    for b in range(n_blocks):
-        got = queries.where(F.pmod("part", F.lit(n_blocks)) == b).toArrow()
-        ids = got.column("query_id").to_numpy()
-        if len(ids):
-            q = np.stack([np.asarray(v, np.float64) for v in got.column("vec").to_pylist()])
-            flags = np.array(got.column("mask").to_pylist(), np.float32) if masked else None
-            shared = spark.sparkContext.broadcast((ids, q, flags))  # about BLOCK rows
-            parts.append(_block_top(rows, shared, k, least))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, item_id long, score double, rank int")
-    every = reduce(DataFrame.unionByName, parts)
+    queries = written(queries.select(*kept).where("vec IS NOT NULL").withColumn("part", F.xxhash64("query_id")), "queries")
+    n, d = queries.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    kinds = {c: f.simpleString() for c, f in ((f.name, f.dataType) for f in (*queries.schema, *rows.schema)) if c in ("query_id", "item_id")}
+    schema = f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double"
+    if not n:
+        return spark.createDataFrame([], schema + ", rank int")
+    rows = rows.where(F.size("vec") == d)
+    block = block or max(1, BLOCK_BYTES // (8 * max(1, d)))
+    n_blocks = -(-2 * n // block) if n > block else 1
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
-    return every.withColumn("rank", rank).where(F.col("rank") <= k)
+    path = new_path(spark, "nearest")
+    for b in range(n_blocks):
+        got = queries.where((F.pmod("part", F.lit(n_blocks)) == b) & (F.size("vec") == d)).toArrow()
+        ids = got.column("query_id").to_numpy(zero_copy_only=False)
+        q = np.array(got.column("vec").to_pylist(), np.float64).reshape(len(ids), d)
+        flags = np.array(got.column("mask").to_pylist(), np.float32).reshape(len(ids), -1) if masked else None
+        shared = spark.sparkContext.broadcast((ids, q, flags))  # BLOCK_BYTES, or about ``block`` rows
+        best = _block_top(rows, shared, k, least, schema).withColumn("rank", rank).where(F.col("rank") <= k)
+        if n_blocks == 1:
+            return best
+        best.write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(best.schema).parquet(path)
+
+
+def _scores(e: np.ndarray, q: np.ndarray, has: np.ndarray | None, wants: np.ndarray | None) -> np.ndarray:
+    """Scores of rows by queries, minus infinity where they share no flag.
+
+    Flag by flag only the rows and queries that have it are multiplied, unless that is more than all of them.
+    """
+    if has is None:
+        return e @ q.T
+    if int(has.sum(axis=0) @ wants.sum(axis=0)) >= len(e) * len(q):
+        return np.where(has @ wants.T > 0, e @ q.T, -np.inf)
+    out = np.full((len(e), len(q)), -np.inf)
+    for c in range(has.shape[1]):
+        i, j = np.flatnonzero(has[:, c]), np.flatnonzero(wants[:, c])
+        if len(i) and len(j):
+            out[np.ix_(i, j)] = e[i] @ q[j].T
+    return out
+
 
+def _block_top(rows: DataFrame, shared: Any, k: int, least: float | None, schema: str) -> DataFrame:
+    masked = shared.value[2] is not None
 
-def _block_top(rows: DataFrame, shared: Any, k: int, least: float | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, flags = shared.value
-        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        best: tuple = (np.zeros(0, np.int64), np.zeros(0), None)
         floor_ = np.full(len(ids), -np.inf if least is None else least)
+        kind = None
         for b in batches:
-            item = b.column("item_id").to_numpy()
+            item, kind = b.column("item_id").to_numpy(zero_copy_only=False), b.column("item_id").type
+            item = item.astype(str) if item.dtype == object else item
             vecs = b.column("vec").to_pylist()
             masks = b.column("mask").to_pylist() if flags is not None else None
             for at in range(0, len(item), ROWS_AT_ONCE):
                 e = np.array(vecs[at : at + ROWS_AT_ONCE], np.float64)
-                score = e @ q.T
-                ok = score >= floor_
-                if masks is not None:
-                    ok &= (np.array(masks[at : at + ROWS_AT_ONCE], np.float32) @ flags.T) > 0
-                i, j = np.nonzero(ok)
-                new = (np.concatenate([best[0], j]), np.concatenate([best[1], score[i, j]]), np.concatenate([best[2], item[at + i]]))
+                has = np.array(masks[at : at + ROWS_AT_ONCE], np.float32) if masks is not None else None
+                score = _scores(e, q, has, flags)
+                i, j = np.nonzero((score >= floor_) & (score > -np.inf))
+                old = item[:0] if best[2] is None else best[2]
+                new = (np.concatenate([best[0], j]), np.concatenate([best[1], score[i, j]]), np.concatenate([old, item[at + i]]))
                 keep = _flat_top(*new, k)
                 best = tuple(x[keep] for x in new)
                 full = np.flatnonzero(np.bincount(best[0], minlength=len(ids)) == k)
                 low = np.full(len(ids), np.inf)
                 np.minimum.at(low, best[0], best[1])
                 floor_[full] = np.maximum(floor_[full], low[full])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), pa.array(best[1])], ["query_id", "item_id", "score"])
+        if best[2] is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2], kind), pa.array(best[1])], ["query_id", "item_id", "score"])
+
+    return rows.select("item_id", "vec", *(["mask"] if masked else [])).mapInArrow(run, schema)
+
+
+@dataclass
+class IvfIndex:
+    """An inverted file: every row belongs to the nearest of some centers, and a query looks at its nearest few.
+
+    Centers are fitted on at most ``sample`` rows, the ones with the smallest hashes of their ids; every row is indexed.
+    ``recall`` measures what a number of ``probes`` finds against the exact search.
+    """
 
-    cols = ["item_id", "vec", *(["mask"] if shared.value[2] is not None else [])]
-    return rows.select(*cols).mapInArrow(run, "query_id long, item_id long, score double")
+    n_lists: int = 64
+    sample: int = 50_000
+    rounds: int = 8
+    centers: np.ndarray | None = None
+
+    def fit(self, rows: DataFrame, id_col: str = "item_id") -> IvfIndex:
+        few = rows.where("vec IS NOT NULL").select(id_col, "vec").orderBy(F.xxhash64(id_col), id_col).limit(self.sample).toArrow()  # ``sample`` rows
+        x = np.array(few.column("vec").to_pylist(), np.float64)
+        c = x[: self.n_lists].copy()
+        for _ in range(self.rounds):
+            at = (x @ c.T).argmax(axis=1)
+            for k in range(len(c)):
+                if (at == k).any():
+                    v = x[at == k].sum(axis=0)
+                    c[k] = v / max(1e-12, float(np.sqrt(v @ v)))
+        self.centers = c
+        return self
+
+    def flagged(self, rows: DataFrame, probes: int = 1) -> DataFrame:
+        """The rows with ``mask``: flags of the nearest centers."""
+        shared = rows.sparkSession.sparkContext.broadcast(self.centers)  # n_lists rows
+
+        @F.pandas_udf("array<boolean>")
+        def nearest(vecs: pd.Series) -> pd.Series:
+            c = shared.value
+            out = []
+            for v in vecs:
+                m = np.zeros(len(c), bool)
+                if v is not None and len(v) == c.shape[1]:
+                    m[np.argsort(-(c @ np.asarray(v, np.float64)), kind="stable")[:probes]] = True
+                out.append(m)
+            return pd.Series(out)
+
+        return rows.withColumn("mask", nearest("vec"))
+
+    def search(self, rows: DataFrame, queries: DataFrame, k: int = DEFAULT_K, probes: int = 8) -> DataFrame:
+        """As ``knn_batch``, among the rows of each query's nearest lists.  ``rows`` may be stored with their ``mask``."""
+        items = rows if "mask" in rows.columns else self.flagged(rows)
+        return block_top(self.flagged(queries, probes), items, k, masked=True)
+
+    def recall(self, rows: DataFrame, queries: DataFrame, k: int = DEFAULT_K, probes: int = 8) -> float:
+        exact = written(knn_batch(rows, queries, k).select("query_id", "item_id"), "exact")
+        found = exact.join(self.search(rows, queries, k, probes).select("query_id", "item_id"), ["query_id", "item_id"]).count()
+        return found / max(1, exact.count())
 
 
 def knn_batch(rows: DataFrame, queries: DataFrame, k: int = DEFAULT_K, where: dict | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ def result_rows(matches: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def answer(queries: DataFrame, entries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int = N_RESULTS, threshold: float = semantic.THRESHOLD, secondary: float = semantic.SECONDARY) -> DataFrame:
-    """(query_id, query, cache_hit, entry_idx, matched_query, similarity_score, dominant_cluster, result) of a batch.
+    """(query_id, query, cache_hit, entry_idx, matched_query, similarity_score, dominant_cluster, result, score) of a batch.
 
     A hit carries the entry's result and cluster, whatever k is; only misses are searched.  All
     queries see the same frozen cache.
@@ -42,7 +42,7 @@ def answer(queries: DataFrame, entries: DataFrame, vectors: DataFrame, docs: Dat
     found = written(semantic.lookup(queries, entries, threshold, secondary), "lookup")
     hits = found.where("hit").join(entries, "entry_idx")
     hit_rows = queries.select("query_id", F.col("query").alias("asked")).join(hits, "query_id").select(
-        "query_id", F.col("asked").alias("query"), F.lit(True).alias("cache_hit"), "entry_idx", F.col("query").alias("matched_query"), F.round("score", 4).alias("similarity_score"), "dominant_cluster", "result"
+        "query_id", F.col("asked").alias("query"), F.lit(True).alias("cache_hit"), "entry_idx", F.col("query").alias("matched_query"), F.round("score", 4).alias("similarity_score"), "dominant_cluster", "result", "score"
     )
     missed = queries.join(found.where("NOT hit").select("query_id"), "query_id", "left_semi")
     matches = knn_batch(vectors, missed.select("query_id", "vec"), k)
@@ -50,6 +50,7 @@ def answer(queries: DataFrame, entries: DataFrame, vectors: DataFrame, docs: Dat
     miss_rows = results.select(
         "query_id", "query", F.lit(False).alias("cache_hit"), F.lit(None).cast("bigint").alias("entry_idx"), F.lit(None).cast("string").alias("matched_query"),
         F.lit(None).cast("double").alias("similarity_score"), semantic.argmax(F.col("memberships")).alias("dominant_cluster"), F.coalesce("result", F.array().cast(semantic.RESULT)).alias("result"),
+        F.lit(None).cast("double").alias("score"),
     )
     return hit_rows.unionByName(miss_rows)
 
@@ -99,20 +100,23 @@ class Engine:
             return rows.withColumn("memberships", F.array(*[F.lit(1.0 / self.k)] * self.k))
         return self.fcm.transform(self.pca.transform(rows), "reduced").drop("reduced")
 
-    def search(self, queries: DataFrame, k: int = N_RESULTS) -> DataFrame:
-        """Answers to (query_id, query) rows; misses are stored.  Blank queries and k below 1 are errors."""
+    def search(self, queries: DataFrame, k: int = N_RESULTS, batch: int | None = None) -> DataFrame:
+        """Answers to (query_id, query) rows; misses are stored.  Blank queries and k below 1 are errors.
+
+        A numbered batch sees the entries of smaller numbers and can run again.
+        """
         if k < 1:
             raise ValueError("n_results must be at least 1")
         if not queries.where(F.size(tokens(F.col("query"))) == 0).isEmpty():
             raise ValueError("query must not be blank")
         asked = queries.select("query_id", "query", self.encoder(F.col("query")).alias("vec"))
         asked = written(self.with_memberships(asked), "asked")
-        frame = self.store.frame().withColumn("item_id", _row_id(F.col("doc_id")))
-        out = written(answer(asked, self.cache.entries(), frame.select("item_id", F.col("embedding").alias("vec")), frame.drop("embedding"), k, self.cache.threshold, self.cache.secondary), "answers")
-        hits = out.where("cache_hit").select("query", F.lit(True).alias("hit"), "entry_idx", F.col("similarity_score").alias("score"))
-        hits.write.mode("append").parquet(f"{self.cache.path}/log")
-        self.cache.store(asked.join(out.where("NOT cache_hit").select("query_id", "result"), "query_id"))
-        return out
+        frame = self.store.frame().withColumn("item_id", F.col("doc_id"))
+        found = answer(asked, self.cache.entries(batch), frame.select("item_id", F.col("embedding").alias("vec")), frame.drop("embedding"), k, self.cache.threshold, self.cache.secondary)
+        out = written(found, "answers")
+        self.cache.log_hits(out.where("cache_hit").select("query", F.lit(True).alias("hit"), "entry_idx", "score"), batch)
+        self.cache.store(asked.join(out.where("NOT cache_hit").select("query_id", "result"), "query_id"), batch)
+        return out.drop("score")
 
     def cache_stats(self) -> dict:
         return self.cache.stats().first().asDict()
@@ -121,7 +125,3 @@ class Engine:
         n = self.cache.flush()
         return {"message": "cache cleared", "entries_cleared": n}
 
-
-def _row_id(doc_id: Column) -> Column:
-    """A 64-bit key of a document's name for the numeric search."""
-    return F.xxhash64(doc_id)

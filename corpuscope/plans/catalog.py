@@ -16,15 +16,17 @@ from corpuscope.functions import vector as V
 from corpuscope.operators import cache, fcm, knn, quality, search, terms
 from corpuscope.operators.pca import CenteredPCA
 from corpuscope.plans.fixtures import NOISY_ARTICLE, RAW_ARTICLE
-from corpuscope.shared import written
+from corpuscope.shared import new_path, written
 from corpuscope.sources import corpus
+from corpuscope.sources.store import VectorStore
 from corpuscope.streaming.replay import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-K, SHARP = 10, 1.05
+#: Memberships of the cache are sharp enough for its index to prune: about a quarter of the entries are candidates.
+K, SHARP, CACHE_M = 10, 1.05, 1.01
 CACHE_T = 0.30
 STOP = ["the", "and", "of", "to", "in", "that", "it", "is", "was", "for", "on", "are", "with", "as", "at", "be", "this", "from", "or", "an", "by", "not"]
 
@@ -95,8 +97,8 @@ def min_token_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, source AS category, md5(text) AS text_md5 FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY source, doc_id) = 1")
 def dedup_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = corpus.exact_dedup(docs_as_corpus(spark, sf_dir))
-    return kept.select("doc_id", "category", F.md5("text").alias("text_md5"))
+    docs = docs_as_corpus(spark, sf_dir).select("category", "doc_id", F.md5("text").alias("md5"))
+    return corpus.exact_dedup(docs, digest=F.col("md5")).select("doc_id", "category", F.col("md5").alias("text_md5"))
 
 
 @query("""SELECT source || '/' || doc_id AS doc_id, source AS category FROM (
@@ -141,8 +143,10 @@ def corpus_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PREFIXES = ", ".join(f"'{p}'" for p in T.SNIPPET_HEADERS)
 
 
-@query(rf"""
-WITH n AS (SELECT doc_id, list_transform(string_split(replace({NOISY_ARTICLE}, chr(92) || 'n', chr(10)), chr(10)), lambda x: {strip_sql('x')}) AS lines FROM documents),
+def snippet_cte(article: str, source: str = "documents") -> str:
+    """Snippets (doc_id, snippet) of an expression over a table with doc_id."""
+    return rf"""
+n AS (SELECT doc_id, list_transform(string_split(replace({article}, chr(92) || 'n', chr(10)), chr(10)), lambda x: {strip_sql('x')}) AS lines FROM {source}),
 k AS (SELECT doc_id, list_filter(lines, lambda x: x <> '' AND NOT starts_with(x, '>') AND NOT starts_with(x, '|')
   AND NOT list_bool_or(list_transform([{_PREFIXES}], lambda p: starts_with(lower(x), p))) AND NOT contains(x, '@')
   AND NOT regexp_matches(x, '{T.LOOSE_ATTRIBUTION}') AND NOT (x = upper(x) AND x <> lower(x) AND {tokens_sql('x')} > 3)
@@ -151,8 +155,11 @@ t AS (SELECT doc_id, lines, len(lines) > 0 AND {tokens_sql("coalesce(lines[1], '
 p AS (SELECT doc_id, lines, CASE WHEN titled THEN regexp_replace(lines[1], '\.+\z', '') ELSE '' END AS title,
   {strip_sql("regexp_replace(array_to_string(CASE WHEN titled THEN lines[2:] ELSE lines END, ' '), ' {2,}', ' ', 'g')")} AS body FROM t),
 r AS (SELECT doc_id, lines, CASE WHEN title <> '' AND length(body) > 80 THEN title || ' — ' || body WHEN body <> '' THEN body ELSE title END AS r FROM p),
-g AS (SELECT doc_id, CASE WHEN {tokens_sql('r')} < 10 THEN {strip_sql("regexp_replace(array_to_string(lines, ' '), ' {2,}', ' ', 'g')")} ELSE r END AS r FROM r)
-SELECT doc_id, CASE WHEN length(r) > 400 THEN regexp_replace(r[1:400], ' [^ ]*\z', '') || '...' ELSE r END AS snippet FROM g""")
+g AS (SELECT doc_id, CASE WHEN {tokens_sql('r')} < 10 THEN {strip_sql("regexp_replace(array_to_string(lines, ' '), ' {2,}', ' ', 'g')")} ELSE r END AS r FROM r),
+sn AS (SELECT doc_id, CASE WHEN length(r) > 400 THEN regexp_replace(r[1:400], ' [^ ]*\z', '') || '...' ELSE r END AS snippet FROM g)"""
+
+
+@query(f"WITH {snippet_cte(NOISY_ARTICLE)} SELECT doc_id, snippet FROM sn")
 def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(NOISY_ARTICLE).alias("stored"))
     return docs.select("doc_id", T.snippet(F.col("stored")).alias("snippet"))
@@ -225,6 +232,36 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batch(spark, sf_dir, {"$or": [{"label": {"$in": [1, 2, 3]}}, {"label": {"$gte": 8}}]})
 
 
+RESULT_CTE = f"""{E_CTE}, {snippet_cte("coalesce(text, '')")},
+near AS (SELECT q.id AS query_id, e.id AS item_id, row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(q.v, e.v) DESC, e.id) AS rank, list_dot_product(q.v, e.v) AS sim
+  FROM (SELECT * FROM e WHERE id % 50 = 0) q, e QUALIFY rank <= 5)"""
+
+
+@query(f"""WITH {RESULT_CTE} SELECT query_id, CAST(rank AS INTEGER) AS rank, CAST(item_id AS VARCHAR) AS doc_id, coalesce(nullif(source, 'src3'), 'unknown') AS category, coalesce(snippet, '') AS text_snippet,
+round(sim, 4) + 0.0 AS similarity, CASE WHEN item_id % 3 = 0 THEN -1 ELSE CAST(item_id % 3 AS INTEGER) END AS cluster
+FROM near LEFT JOIN documents d ON d.doc_id = item_id LEFT JOIN sn ON sn.doc_id = item_id""")
+def result_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search results as they are shown: some categories and clusters are missing and get their defaults."""
+    rows = vectors(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.nullif("source", F.lit("src3")).alias("category"), "text")
+    third = (F.col("id") % 3).cast("int")
+    items = rows.join(docs, rows.id == docs.doc_id, "left").select(F.col("id").alias("item_id"), F.col("id").alias("doc_id"), "category", "text", F.when(third > 0, third).alias("dominant_cluster"))
+    found = knn.knn_batch(rows.select(F.col("id").alias("item_id"), "vec"), rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vec"), 5)
+    shown = search.result_rows(found, items).select("query_id", F.posexplode("result").alias("at", "r"))
+    return shown.select("query_id", (F.col("at") + 1).alias("rank"), "r.doc_id", "r.category", "r.text_snippet", (F.col("r.similarity") + 0.0).alias("similarity"), "r.cluster")
+
+
+@query(f"""WITH {E_CTE}, c AS (SELECT e.id, label, list(x - m ORDER BY dim) AS v FROM (SELECT id, label, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM e) e
+  JOIN (SELECT dim, avg(x) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM e) GROUP BY 1) USING (dim) GROUP BY 1, 2)
+SELECT a.id, round(list_dot_product(a.v, a.v), 6) AS norm, round(list_dot_product(a.v, b.v), 6) + 0.0 AS with_first FROM c a, (SELECT v FROM c ORDER BY id LIMIT 1) b""")
+def pca_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components together keep the products of centered vectors: each with itself and with the first one."""
+    rows = vectors(spark, sf_dir).select("id", "vec")
+    reduced = written(CenteredPCA(1 << 20).fit(rows).transform(rows).select("id", "reduced"), "reduced")
+    first = F.array(*[F.lit(float(x)) for x in reduced.orderBy("id").first().reduced])
+    return reduced.select("id", r6(V.dot(F.col("reduced"), F.col("reduced"))).alias("norm"), r6(V.dot(F.col("reduced"), first)).alias("with_first"))
+
+
 # --- soft clusters -------------------------------------------------------------------------------
 
 
@@ -244,6 +281,21 @@ def u_cte(m: float = 2.0) -> str:
     return f"{CENT_CTE}, {fcm_cte(m)}"
 
 
+@query(f"""WITH {u_cte()} SELECT CAST(e.id AS VARCHAR) AS doc_id, source AS category, CAST(list_position(u, list_max(u)) - 1 AS INTEGER) AS dominant_cluster, round(list_max(u), 4) + 0.0 AS top_p, round(sqrt(list_dot_product(v, v)), 4) AS norm
+FROM e JOIN u USING (id) LEFT JOIN documents ON doc_id = e.id""")
+def store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written to a store in two parts, updated with their clusters, and read back."""
+    store = VectorStore(spark, new_path(spark, "store"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("category"), "text")
+    rows = vectors(spark, sf_dir).join(docs, "id", "left").select(F.col("id").cast("string").alias("doc_id"), F.col("vec").alias("embedding"), "text", "category", (F.col("id") % 2).alias("half"))
+    store.add(rows.where("half = 0"), "errorifexists")
+    store.add(rows.where("half = 1"))
+    store.add(rows, "ignore")
+    found = fcm.assignments(members(spark, sf_dir)).select(F.col("id").cast("string").alias("doc_id"), "dominant_cluster", "cluster_probs")
+    store.update(found)
+    return store.frame().select("doc_id", "category", "dominant_cluster", (F.col("cluster_probs")[0].p + 0.0).alias("top_p"), F.round(V.norm(F.col("embedding")), 4).alias("norm"))
+
+
 @query(f"WITH {CENT_CTE} SELECT cluster, CAST(dim - 1 AS INTEGER) AS dim, round(x, 6) + 0.0 AS value FROM (SELECT cluster, unnest(c) AS x, generate_subscripts(c, 1) AS dim FROM cent)")
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fcm.label_centers(vectors(spark, sf_dir)).select("cluster", "dim", r6("value").alias("value"))
@@ -403,24 +455,42 @@ def pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CenteredPCA(8).fit(rows).transform(rows).select("id", F.transform("reduced", lambda x: F.round(F.abs(x), 6)).alias("reduced"))
 
 
-@query()
+def _sweep_sql(k: int) -> str:
+    """One row of the sweep: two rounds from the given start, then silhouette and objective."""
+    return f"""(WITH {FIT_CTE.replace("range(0, 10)", f"range(0, {k})")}, lab AS (SELECT e.id, v, list_position(u, list_max(u)) AS label FROM e JOIN u2 USING (id)),
+d AS (SELECT a.id, a.label, b.label AS other, sum(CASE WHEN a.id = b.id THEN 0 ELSE sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) END) AS total, count(*) AS n FROM lab a, lab b GROUP BY ALL),
+sil AS (SELECT id, max(CASE WHEN label = other THEN total / greatest(n - 1, 1) END) AS a, min(CASE WHEN label <> other THEN total / n END) AS b, max(CASE WHEN label = other THEN n END) AS n FROM d GROUP BY id)
+SELECT CAST({k} AS INTEGER) AS k, (SELECT avg(CASE WHEN n > 1 AND b IS NOT NULL THEN (b - a) / greatest(a, b) ELSE 0 END) FROM sil) AS silhouette,
+(SELECT sum(power(p, 2.0) * d) FROM (SELECT id, unnest(u) AS p, generate_subscripts(u, 1) - 1 AS cluster FROM u2) JOIN u2_d USING (id, cluster)) AS inertia)"""
+
+
+def given_start(k: int) -> Column:
+    """The starting memberships of the fits that SQL repeats."""
+    raw = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: 1 + (F.col("id") * 31 + c * 17) % 7)
+    return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0).cast("long"), lambda a, y: a + y))
+
+
+@query(f"""SELECT k, round(silhouette, 6) AS silhouette, round(inertia, 4) AS inertia, CAST(2 AS INTEGER) AS iterations, silhouette = max(silhouette) OVER () AS best
+FROM ({" UNION ALL ".join(_sweep_sql(k) for k in (3, 5, 8))})""")
 def k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.k_sweep(written(vectors(spark, sf_dir).select("id", "vec"), "sweep"), (8, 10, 12), max_iter=5, m=1.3)
+    rows = written(vectors(spark, sf_dir).select("id", "vec"), "sweep")
+    got = quality.k_sweep(rows, (3, 5, 8), start=given_start, max_iter=2, tol=0.0)
+    return got.select("k", r6("silhouette").alias("silhouette"), F.round("inertia", 4).alias("inertia"), "iterations", "best")
 
 
 # --- cache ---------------------------------------------------------------------------------------
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    even = members(spark, sf_dir, SHARP).where("id % 2 = 0")
+    even = members(spark, sf_dir, CACHE_M).where("id % 2 = 0")
     return even.select(F.floor(F.col("id") / 2).alias("entry_idx"), F.concat(F.lit("q"), F.col("id")).alias("query"), F.col("vec").alias("query_embedding"), F.col("memberships").alias("cluster_memberships"), V.argmax(F.col("memberships")).alias("dominant_cluster"))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return members(spark, sf_dir, SHARP).where("id % 2 = 1").select(F.col("id").alias("query_id"), F.concat(F.lit("q"), F.col("id")).alias("query"), "vec", "memberships")
+    return members(spark, sf_dir, CACHE_M).where("id % 2 = 1").select(F.col("id").alias("query_id"), F.concat(F.lit("q"), F.col("id")).alias("query"), "vec", "memberships")
 
 
-CACHE_CTE = f"""{u_cte(SHARP)},
+CACHE_CTE = f"""{u_cte(CACHE_M)},
 m AS (SELECT e.id, v, u, list_position(u, list_max(u)) AS top FROM e JOIN u USING (id)),
 en AS (SELECT id // 2 AS entry_idx, * FROM m WHERE id % 2 = 0), qs AS (SELECT * FROM m WHERE id % 2 = 1),
 ix AS (SELECT entry_idx, k FROM (SELECT entry_idx, unnest(u) AS p, generate_subscripts(u, 1) AS k FROM en) WHERE p >= 0.05),
@@ -460,6 +530,22 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.stats(log, entries, K, CACHE_T).drop("cluster_distribution")
 
 
+@query(f"""WITH {CACHE_CTE} SELECT en.entry_idx, 'q' || en.id AS query, CAST(en.top - 1 AS INTEGER) AS dominant_cluster, count(lk.query_id) AS hit_count, (SELECT count(*) FROM en) + (SELECT count(*) FROM lk WHERE hit) AS logged
+FROM en LEFT JOIN lk ON lk.entry_idx = en.entry_idx AND hit GROUP BY ALL""")
+def cache_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries and log of a stored cache, read back by another one on the same folder."""
+    path = new_path(spark, "cache")
+    even = members(spark, sf_dir, CACHE_M).where("id % 2 = 0")
+    rows = even.select(F.col("id").alias("query_id"), F.concat(F.lit("q"), F.col("id")).alias("query"), "vec", "memberships", F.lit(None).cast(cache.RESULT).alias("result"))
+    first = cache.SemanticCache(spark, path, K, CACHE_T)
+    first.store(rows)
+    first.lookup(_questions(spark, sf_dir))
+    again = cache.SemanticCache(spark, path, K, CACHE_T)
+    logged = again.log().agg(F.count(F.lit(1)).alias("logged"))
+    entries = again.entries().join(again.hit_counts(), "entry_idx", "left").crossJoin(F.broadcast(logged))  # one row
+    return entries.select("entry_idx", "query", "dominant_cluster", F.coalesce("hit_count", F.lit(0)).alias("hit_count"), "logged")
+
+
 @query(f"""WITH {CACHE_CTE}, knn AS (SELECT a.id, b.id AS item, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.v, b.v) DESC, b.id) AS r FROM m a, m b QUALIFY r <= 5),
 top AS (SELECT id, string_agg(item::VARCHAR, ',' ORDER BY r) AS ids FROM knn GROUP BY 1)
 SELECT query_id, hit AS cache_hit, CASE WHEN hit THEN 'q' || lk.entry_idx * 2 END AS matched_query, round(score, 4) AS similarity_score,

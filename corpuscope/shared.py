@@ -19,9 +19,11 @@ _made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder; a temporary one if the session names none."""
+    """URI of the shared folder; on a single machine, where the session need not name one, a temporary one."""
     uri = spark.conf.get(CHECKPOINT_DIR, None) or _own.get(spark.sparkContext.applicationId)
     if not uri:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         local = tempfile.mkdtemp(prefix="corpuscope-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         uri = _own[spark.sparkContext.applicationId] = f"file://{local}"
@@ -54,6 +56,24 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made_here(df: DataFrame, spark: SparkSession) -> list[str]:
+    """The paths of this session that a frame reads."""
+    paths = _made.get(spark.sparkContext.applicationId, [])
+    name = lambda x: x.split(":", 1)[-1].lstrip("/")
+    files = [name(f) for f in df.inputFiles()]
+    return [p for p in paths if any(f.startswith(name(p) + "/") for f in files)]
+
+
+def drop_except(spark: SparkSession, keep: list[str]) -> int:
+    """Delete every path this session made but these; how many there were."""
+    app = spark.sparkContext.applicationId
+    gone = [p for p in _made.get(app, []) if p not in keep]
+    _made[app] = [p for p in _made.get(app, []) if p in keep]
+    for path in gone:
+        drop_path(spark, path)
+    return len(gone)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder through Spark's own file system layer."""
     jvm = spark.sparkContext._jvm

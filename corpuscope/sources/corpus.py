@@ -18,12 +18,25 @@ def decode(content: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(path)
+
+
+def unreadable(spark: SparkSession, path: str) -> int:
+    """How many of the files that are listed below a path cannot be read.
+
+    Listing alone gives a row for each file; reading content drops those that fail.
+    """
+    files = _files(spark, path)
+    return files.select("path").count() - files.where(F.length("content") >= 0).count()
+
+
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """(category, name, raw_text) of a directory for each category with a file for each article.
 
-    Unreadable files are skipped by Spark's own reader option.
+    Unreadable files are skipped by Spark's own reader option; ``unreadable`` counts them.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(path)
+    files = _files(spark, path)
     at = F.split("path", "/")
     name = F.url_decode(F.replace(F.element_at(at, -1), F.lit("+"), F.lit("%2B")))
     category = F.url_decode(F.replace(F.element_at(at, -2), F.lit("+"), F.lit("%2B")))
@@ -46,28 +59,26 @@ def head_per_category(articles: DataFrame, n: int | None, order: str = "name") -
     return articles.withColumn("head_rank", rank).where(F.col("head_rank") <= n).drop("head_rank")
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", order: tuple[str, ...] = ("category", "doc_id")) -> DataFrame:
-    """One document for each text, the first in order.
+def exact_dedup(docs: DataFrame, text: str = "text", order: tuple[str, ...] = ("category", "doc_id"), digest: Column | None = None) -> DataFrame:
+    """One document for each text, the first in order, whole as it is; rows without a text are all one text.
 
-    The hash is reduced to its smallest key before rows are shuffled, so a text that a third of the
-    rows share is one row for each task by then; the surviving keys then select the rows.
+    Each task reduces its rows to the first of each hash before they are shuffled, so a text that a third of the rows share is
+    one row for each task by then.  Rows that tie in order are told apart by their other columns.  Rows without the text itself
+    bring its ``digest``.
     """
-    key = F.struct(*[F.col(c) for c in order])
-    first = docs.groupBy(F.md5(text).alias("text_md5")).agg(F.min(key).alias("first"))
-    # rows without a text have no hash: they are all one text
-    keep = first.select(F.col("text_md5").alias("keep_md5"), *[F.col(f"first.{c}").alias(f"keep_{c}") for c in order])
-    same = F.md5(text).eqNullSafe(F.col("keep_md5"))
-    for c in order:
-        same = same & F.col(c).eqNullSafe(F.col(f"keep_{c}"))
-    rows = docs.join(keep, same, "left_semi")
-    return rows.dropDuplicates([*order])
+    rest = [c for c in docs.columns if c not in order]
+    first = docs.groupBy((F.md5(text) if digest is None else digest).alias("text_md5")).agg(F.min(F.struct(*order, *rest)).alias("first"))
+    return first.select(*[F.col("first")[c].alias(c) for c in docs.columns])
 
 
 def load_corpus(articles: DataFrame, min_tokens: int = MIN_TOKENS, max_docs_per_category: int | None = None) -> DataFrame:
-    """Cleaned, long enough and distinct articles: doc_id, category, text, raw_text."""
-    rows = head_per_category(articles, max_docs_per_category).withColumn("text", clean_article(F.col("raw_text")))
-    rows = rows.where(token_count(F.col("text")) >= min_tokens)
-    return exact_dedup(rows.select(F.concat_ws("/", "category", "name").alias("doc_id"), "category", "text", "raw_text"))
+    """Cleaned, long enough and distinct articles: doc_id, category, text, raw_text.
+
+    Equal texts are equally long, so lengths are looked at after deduplication; articles are cleaned once.
+    """
+    rows = head_per_category(articles, max_docs_per_category)
+    rows = rows.select(F.concat_ws("/", "category", "name").alias("doc_id"), "category", clean_article(F.col("raw_text")).alias("text"), "raw_text")
+    return exact_dedup(rows).where(token_count(F.col("text")) >= min_tokens)
 
 
 def sample_per_category(docs: DataFrame, names: list[str], n: int = 5) -> DataFrame:

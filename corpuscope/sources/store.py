@@ -64,8 +64,13 @@ class VectorStore:
             rows.write.mode("overwrite").parquet(self._at((found or [0])[-1] + 1))
 
     def update(self, changes: DataFrame) -> None:
-        """Set the columns of ``changes`` (keyed by doc_id) in a new version; other columns and rows stay."""
+        """Set the columns of ``changes`` (keyed by doc_id) in a new version; other columns and rows stay.
+
+        Of several changes to one id the smallest counts, so rows are never multiplied.
+        """
         now = self.frame()
+        rest = [c for c in changes.columns if c != "doc_id"]
+        changes = changes.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("first")).select("doc_id", "first.*")
         new = [c for c in changes.columns if c != "doc_id"]
         joined = now.join(changes.select("doc_id", F.lit(True).alias("changed"), *[F.col(c).alias(f"new_{c}") for c in new]), "doc_id", "left")
         rows = joined.select(*[F.when(F.col("changed"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in now.columns])

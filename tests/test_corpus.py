@@ -30,6 +30,18 @@ def test_read_and_load(spark, folder):
     assert [r.category for r in corpus.categories(articles).collect()] == ["alt.a", "sci.b"]
 
 
+def test_unreadable_files_are_counted(spark, folder, monkeypatch):
+    assert corpus.unreadable(spark, folder) == 0
+    found = corpus._files(spark, folder)
+
+    class Lost:  # a listing that has one file more than can be read
+        select = staticmethod(lambda *c: found.select(*c).unionByName(found.select(*c).limit(1)))
+        where = staticmethod(found.where)
+
+    monkeypatch.setattr(corpus, "_files", lambda *a: Lost)
+    assert corpus.unreadable(spark, folder) == 1
+
+
 def test_head_comes_before_filters(spark, folder):
     articles = corpus.read_articles(spark, folder)
     assert corpus.head_per_category(articles, 0).count() == 6
@@ -41,6 +53,9 @@ def test_exact_dedup_of_nulls_and_repeats(spark):
     rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "x"), ("b", 0, "x"), ("a", 5, None), ("a", 4, None), ("c", 1, "y"), ("c", 1, "y")], "category string, doc_id long, text string")
     assert {(r.category, r.doc_id) for r in corpus.exact_dedup(rows).collect()} == {("a", 1), ("a", 4), ("c", 1)}
     assert corpus.exact_dedup(rows).count() == 3
+    # texts under one key, and without one, are all kept
+    same = spark.createDataFrame([("a", 1, "one"), ("a", 1, "two"), (None, None, "three"), (None, None, "four"), (None, None, "four")], "category string, doc_id long, text string")
+    assert sorted(r.text for r in corpus.exact_dedup(same).collect()) == ["four", "one", "three", "two"]
     assert corpus.exact_dedup(rows.limit(0)).count() == 0
 
 
@@ -56,6 +71,8 @@ def test_store(spark, tmp_path):
     store.update(spark.createDataFrame([("a", 3)], "doc_id string, dominant_cluster int"))
     got = {r.doc_id: (r.dominant_cluster, r.category) for r in store.frame().collect()}
     assert got == {"a": (3, "c"), "b": (None, "d")}
+    store.update(spark.createDataFrame([("a", 5), ("a", 4)], "doc_id string, dominant_cluster int"))
+    assert store.count() == 2 and {r.dominant_cluster for r in store.frame().collect()} == {4, None}
     store.add(rows, "overwrite")
     assert store.count() == 2
     store.reset()
@@ -67,6 +84,20 @@ def test_rendered_metadata(spark):
     assert (row.a, row.b) == (1, "[1,2]")
 
 
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Conf:
+        get = staticmethod(lambda k, d=None: d)
+
+    class Context:
+        applicationId, master = "app", "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError):
+        shared_dir(Session)
+
+
 def test_shared_tables(spark):
     drop_all(spark)
     path = new_path(spark, "numbers")

@@ -48,6 +48,29 @@ def test_knn_batch(unit, block):
     assert len(got) == 23
 
 
+def test_knn_of_odd_vectors_and_names(spark):
+    rows = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", None), ("d", [1.0]), ("e", [0.0, 1.0])], "item_id string, vec array<double>")
+    asked = spark.createDataFrame([("x", [1.0, 0.0]), ("y", None), ("z", [1.0])], "query_id string, vec array<double>")
+    got = sorted((r.query_id, r["rank"], r.item_id, r.score) for r in knn.knn_batch(rows, asked, 5).collect())
+    assert got == [("x", 1, "a", 1.0), ("x", 2, "b", 1.0), ("x", 3, "e", 0.0)]
+
+
+def test_ivf(unit):
+    """Every row is in a list; recall grows with the probes to that of the exact search."""
+    index = knn.IvfIndex(n_lists=9, rounds=4).fit(unit)
+    queries = unit.where("item_id % 5 = 0").select(F.col("item_id").alias("query_id"), "vec")
+    flags = index.flagged(unit).select(F.size(F.filter("mask", lambda x: x)).alias("n")).distinct().collect()
+    assert [r.n for r in flags] == [1]
+    assert index.recall(unit, queries, 3, probes=9) == 1.0 and 0.9 <= index.recall(unit, queries, 3, probes=5) <= 1.0
+
+
+def test_masked_scores():
+    e, q = RNG.normal(size=(40, 5)), RNG.normal(size=(30, 5))
+    for share in (0.1, 0.9):
+        has, wants = (RNG.random((40, 7)) < share).astype(np.float32), (RNG.random((30, 7)) < share).astype(np.float32)
+        assert np.allclose(np.where(has @ wants.T > 0, e @ q.T, -1e9), np.maximum(knn._scores(e, q, has, wants), -1e9))
+
+
 def test_knn_ties_and_filters(spark):
     rows = spark.createDataFrame([(i, [1.0, 0.0], "a" if i % 2 else "b") for i in range(8)], "item_id long, vec array<double>, kind string")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vec array<double>")
@@ -142,5 +165,15 @@ def test_encoders(spark):
     docs = spark.createDataFrame([("a b a",), ("A b a",), ("",), (None,)], "text string")
     got = [r.embedding for r in embed(docs, HashingEncoder(16)).collect()]
     assert got[0] == got[1] and abs(np.linalg.norm(got[0]) - 1) < 1e-9 and not any(got[2]) and not any(got[3])
+    h = [r[0] for r in spark.createDataFrame([("a",), ("b",)], "t string").select(F.xxhash64("t")).collect()]
+    want = np.zeros(16)
+    for x, times in zip(h, (2, 1), strict=True):
+        want[x % 16] += times if x >= 0 else -times
+    assert np.allclose(got[0], want / np.linalg.norm(want))
+    from corpuscope.operators import encoder
+
+    made = []
+    first = [encoder.loaded("one", lambda: made.append(1) or len(made)) for _ in range(3)]
+    assert first == [1, 1, 1] and made == [1]
     got = [r.embedding for r in embed(docs, ModelEncoder(Model, 2)).collect()]
     assert np.allclose(got[0], np.array([5, 1]) / np.sqrt(26)) and np.allclose(got[3], [0, 1])
