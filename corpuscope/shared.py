@@ -10,12 +10,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
 _made: dict[str, list[str]] = {}
+_block: ContextVar[list[str] | None] = ContextVar("block", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +38,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if (block := _block.get()) is not None:
+        block.append(path)
     return path
 
 
@@ -56,22 +62,23 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def made_here(df: DataFrame, spark: SparkSession) -> list[str]:
-    """The paths of this session that a frame reads."""
-    paths = _made.get(spark.sparkContext.applicationId, [])
-    name = lambda x: x.split(":", 1)[-1].lstrip("/")
-    files = [name(f) for f in df.inputFiles()]
-    return [p for p in paths if any(f.startswith(name(p) + "/") for f in files)]
-
-
-def drop_except(spark: SparkSession, keep: list[str]) -> int:
-    """Delete every path this session made but these; how many there were."""
-    app = spark.sparkContext.applicationId
-    gone = [p for p in _made.get(app, []) if p not in keep]
-    _made[app] = [p for p in _made.get(app, []) if p in keep]
-    for path in gone:
-        drop_path(spark, path)
-    return len(gone)
+@contextmanager
+def passing(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Delete what this block writes, but for some paths, at its end; what is kept belongs to the block around it."""
+    outer, paths = _block.get(), []
+    token = _block.set(paths)
+    try:
+        yield
+    finally:
+        _block.reset(token)
+        every = _made.get(spark.sparkContext.applicationId, [])
+        for path in paths:
+            if path in keep:
+                if outer is not None:
+                    outer.append(path)
+            elif path in every:
+                every.remove(path)
+                drop_path(spark, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

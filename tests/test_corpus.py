@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from corpuscope.shared import drop_all, new_path, shared_dir, written
+from corpuscope.shared import drop_all, new_path, passing, shared_dir, written
 from corpuscope.sources import corpus
 from corpuscope.sources.store import VectorStore, rendered_metadata
 
@@ -98,6 +98,22 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
         shared_dir(Session)
 
 
+def test_passing_tables(spark):
+    """Tables of a block are gone at its end, but for the ones it keeps, also in blocks inside blocks."""
+    drop_all(spark)
+    a, b, c = (new_path(spark, x) for x in "abc")
+    with passing(spark, a):
+        written(spark.range(3), "a", a)
+        inner = new_path(spark, "inner")
+        with passing(spark, inner):
+            kept = written(spark.range(4), "inner", inner)
+            written(spark.range(5), "gone")
+        assert kept.count() == 4
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(inner)
+    assert spark.read.parquet(a).count() == 3 and drop_all(spark) == 3 and b != c
+
+
 def test_shared_tables(spark):
     drop_all(spark)
     path = new_path(spark, "numbers")
