@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.llm.common import chunks, table
-from corpuscope.shared import written
+from corpuscope.shared import new_path, passing, written
 
 ORDER = 5
 TOKENS = 256
@@ -225,6 +225,13 @@ def looked_up(rows: DataFrame, n_parts: int, per_part: DataFrame, by_gram: DataF
     return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
+def _written_losses(counts: DataFrame) -> DataFrame:
+    """The table of losses, without the tables of the orders on the way to it."""
+    path = new_path(counts.sparkSession, "gram-losses")
+    with passing(counts.sparkSession, path):
+        return written(losses(counts), "gram-losses", path)
+
+
 def trained(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """The counts behind both models: all documents are background, those with an id in ``target_ids`` target as well."""
     return written(counted(gathered(*placed(docs), target_ids)), "gram-counts")
@@ -234,14 +241,14 @@ def scored(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """Scores of texts that were not trained on."""
     rows, n = placed(docs, trained_on=False)
     per_part = written(gathered(rows, n), "part-grams")
-    return looked_up(rows, n, per_part, written(losses(with_unseen(counts, per_part)), "gram-losses"))
+    return looked_up(rows, n, per_part, _written_losses(with_unseen(counts, per_part)))
 
 
 def scored_out_of_fold(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """Train on the documents and score each of them by what the other folds hold."""
     rows, n = placed(docs)
     per_part = written(gathered(rows, n, target_ids), "part-grams")
-    return looked_up(rows, n, per_part, written(losses(counted(per_part)), "gram-losses"))
+    return looked_up(rows, n, per_part, _written_losses(counted(per_part)))
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql.window import Window
 
 from corpuscope.llm.common import U64, chunks, mix64, powers, table
 from corpuscope.llm.components import connected
-from corpuscope.shared import written
+from corpuscope.shared import new_path, passing, written
 
 #: Minwise tokens of a class, 32 bits of each; the first forest's trees have ``POOL`` of their own.  Their low bytes are the sketch.
 COORDINATES, POOL = 64, 4
@@ -560,10 +560,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     linkable = every.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     one = F.min_by(F.struct("doc_id", "key", F.col("n_shingles").alias("size"), "sig"), F.struct("doc_id", "key")).alias("one")
     classes = written(linkable.groupBy("class").agg(one).select("class", "one.*"), "classes")
-    join = Join(docs, classes, width, share)
-    join.run()
-    first = classes.select("class", F.col("doc_id").alias("first"))
-    of_class = join.with_comp(first)
+    path = new_path(docs.sparkSession, "components")
+    with passing(docs.sparkSession, path):  # nodes, groups, sets and links are no longer needed then
+        join = Join(docs, classes, width, share)
+        join.run()
+        of_class = written(join.with_comp(classes.select("class", F.col("doc_id").alias("first"))), "components", path)
     of_class = of_class.join(of_class.groupBy("comp").agg(F.min("first").alias("component")), "comp").select("class", "component")
     joined = every.drop("sig").join(of_class, "class", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
