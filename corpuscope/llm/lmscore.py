@@ -41,7 +41,7 @@ FOLDS = 4
 #: A part's view of the counts: without its own fold's, or, as the last one, all of them.
 VIEWS = FOLDS + 1
 PIECE = 1 << 20
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 HELD_GRAMS = 2_000_000
 SIDES = ("background", "target")
 SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double"
@@ -95,9 +95,8 @@ def placed(docs: DataFrame, trained_on: bool = True) -> tuple[DataFrame, int]:
 
 
 def _by_part(rows: DataFrame, n: int, *order: str) -> DataFrame:
-    """Rows of a part in one task, one part after another."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(max(parts, n), "part").sortWithinPartitions("part", *order)
+    """Rows of a part in a task of their own."""
+    return rows.repartitionById(n, "part").sortWithinPartitions("part", *order)
 
 
 def gathered(rows: DataFrame, n_parts: int, target_ids: DataFrame | None = None) -> DataFrame:

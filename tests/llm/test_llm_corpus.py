@@ -126,7 +126,11 @@ def test_shingles_of_long_texts_in_pieces(monkeypatch):
     assert len(whole[0]) == len(shingles(text, 3))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [components.HUB_ROWS, 20])
+def test_components(spark, monkeypatch, hub):
+    """In one shuffle a step, and with the rows of hubs salted."""
+    monkeypatch.setattr(components, "HUB_ROWS", hub)
+    monkeypatch.setattr(components, "MAX_HUBS", 1000 if hub > 20 else 40)
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, k) for k in range(2001, 2100)] + [(5, 5)]
     up = {}
