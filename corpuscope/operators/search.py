@@ -22,13 +22,16 @@ N_RESULTS = 5
 def result_rows(matches: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, result): the matches (query_id, item_id, score, rank) as ordered result structs.
 
-    ``docs`` has item_id, doc_id, category, text, dominant_cluster; missing values get their defaults.
+    ``docs`` has item_id, doc_id, category, text, dominant_cluster; missing values get their defaults.  A document's snippet is
+    made once, however many queries match it, and whole texts are not multiplied by the matches.
     """
-    joined = matches.join(docs, "item_id")
-    one = F.struct(
-        F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("category", F.lit("unknown")).alias("category"), snippet(F.col("text")).alias("text_snippet"),
-        F.round("score", 4).alias("similarity"), F.coalesce("dominant_cluster", F.lit(-1)).cast("int").alias("cluster"),
+    matches = written(matches.select("query_id", "item_id", "score", "rank"), "matches")
+    shown = docs.join(matches.select("item_id").distinct(), "item_id", "left_semi").select(
+        "item_id", F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("category", F.lit("unknown")).alias("category"), snippet(F.col("text")).alias("text_snippet"),
+        F.coalesce("dominant_cluster", F.lit(-1)).cast("int").alias("cluster"),
     )
+    joined = matches.join(shown, "item_id")
+    one = F.struct("doc_id", "category", "text_snippet", F.round("score", 4).alias("similarity"), "cluster")
     ranked = joined.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", one.alias("r")))).alias("rows"))  # k rows a query
     return ranked.select("query_id", F.transform("rows", lambda x: x.r).cast(semantic.RESULT).alias("result"))
 

@@ -211,8 +211,8 @@ SELECT query_id, item_id, rank, similarity FROM (
 @query(_knn_sql(queries="id = 0").replace("query_id, item_id, rank, similarity FROM", "item_id, similarity FROM", 1))
 def knn_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
-    vec = rows.where("id = 0").first().vec
-    return knn.knn_single(rows, vec, 5, "id", "vec").select(F.col("id").alias("item_id"), (F.round("similarity", 4) + 0.0).alias("similarity"))
+    first = rows.where("id = 0").first()
+    return knn.knn_single(rows, first.vec if first else [], 5, "id", "vec").select(F.col("id").alias("item_id"), (F.round("similarity", 4) + 0.0).alias("similarity"))
 
 
 def _batch(spark: SparkSession, sf_dir: str, where: dict | None = None) -> DataFrame:
