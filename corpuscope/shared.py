@@ -17,6 +17,7 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+ROWS_A_FILE = 50_000
 _own: dict[str, str] = {}
 _made: dict[str, list[str]] = {}
 _block: ContextVar[list[str] | None] = ContextVar("block", default=None)
@@ -51,13 +52,16 @@ def drop_all(spark: SparkSession) -> int:
     return len(paths)
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None, rows: int | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back, which cuts its lineage.
 
-    Unlike a local checkpoint, the files outlive any executor.
+    Unlike a local checkpoint, the files outlive any executor.  A frame of about so many narrow ``rows`` is written to a file for each
+    ``ROWS_A_FILE``, if that is fewer than its partitions.
     """
     spark = df.sparkSession
     path = path or new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
