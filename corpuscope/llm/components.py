@@ -61,9 +61,9 @@ def connected(edges: DataFrame) -> DataFrame:
     path = new_path(spark, "edges")
     ordered = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b AND a IS NOT NULL AND b IS NOT NULL")
     now = written(ordered.distinct(), "edges", path)
+    n = now.count()  # there are never more edges than at first
     while not _settled(now):
         old, path = path, new_path(spark, "edges")
-        n = now.count()
-        now = written(_star(_star(now, False, n), True, n), "edges", path)
+        now = written(_star(_star(now, False, n), True, n), "edges", path, n)
         drop_path(spark, old)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

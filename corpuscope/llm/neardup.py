@@ -54,7 +54,7 @@ CLUSTER = 16_384
 SET_TOKENS = 1 << 21
 ROWS_AT_ONCE = 128
 LEADERS = 8
-DEPTH, DEEPEST = 3, 12
+DEPTH, DEEPEST = 2, 8
 MISS = 1e-3
 PIECE = 1 << 19
 MULTIPLIER = 0x9FB21C651E98DF25
@@ -288,7 +288,7 @@ def chunked(big: DataFrame) -> DataFrame:
     dealt = own.join(nodes.select("node", "n_chunks"), "node").select(F.xxhash64("node", F.pmod(F.xxhash64("class", "node"), "n_chunks")).alias("node"), "class")
     each = nodes.select("node", "n_chunks", F.explode(F.array(*[F.col(f"l{k}.c") for k in range(LEADERS)])).alias("class"))
     spread = each.select("node", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)).alias("chunk"))
-    return dealt.unionByName(spread.select(F.xxhash64("node", F.col("chunk")).alias("node"), "class")).distinct()
+    return dealt.unionByName(spread.select(F.xxhash64("node", F.col("chunk")).alias("node"), "class"))
 
 
 # --- comparisons inside a node -------------------------------------------------------------------
@@ -449,23 +449,23 @@ def confirmed(groups: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Dat
 
 
 def around(nodes: DataFrame) -> DataFrame:
-    """(main, class, outside, n) of open nodes (node, class, comp): nodes with the same largest component are one cluster."""
+    """(main, class, outside, n, n_outside) of open nodes (node, class, comp): nodes with the same largest component are one cluster."""
     most = nodes.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
     members = nodes.join(most, "node").groupBy("main", "class").agg(F.first(F.col("comp") != F.col("main")).alias("outside"))
-    return members.join(members.groupBy("main").agg(F.count(F.lit(1)).alias("n")), "main")
+    sizes = members.groupBy("main").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outside").cast("long")).alias("n_outside"))
+    return members.join(sizes, "main")
 
 
 def cells(clusters: DataFrame) -> DataFrame:
-    """(node, class) cells in which all classes of clusters (main, class, outside) meet those outside the largest component.
+    """(node, class) cells in which all classes of clusters (main, class, outside, n, n_outside) meet those outside the largest component.
 
     Both sides are dealt into blocks; a cell holds one block of either side.
     """
-    sizes = clusters.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("rows"), F.ceil(F.sum(F.col("outside").cast("long")) / TILE).alias("cols"))
-    dealt = clusters.join(sizes, "main").select("main", "class", "outside", "rows", "cols", F.pmod(F.xxhash64("class", "main"), "rows").alias("row"), F.pmod(F.xxhash64("class", "main", F.lit(1)), "cols").alias("col"))
+    dealt = clusters.withColumn("rows", F.ceil(F.col("n") / TILE)).withColumn("cols", F.ceil(F.col("n_outside") / TILE)).select("main", "class", "outside", "rows", "cols", F.pmod(F.xxhash64("class", "main"), "rows").alias("row"), F.pmod(F.xxhash64("class", "main", F.lit(1)), "cols").alias("col"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     all_ = dealt.select("main", "class", "row", upto("cols").alias("col"))
     outside = dealt.where("outside").select("main", "class", upto("rows").alias("row"), "col")
-    return all_.unionByName(outside).select(F.xxhash64("main", "row", "col").alias("node"), "class").distinct()
+    return all_.unionByName(outside).select(F.xxhash64("main", "row", "col").alias("node"), "class")
 
 
 class Join:
@@ -506,31 +506,33 @@ class Join:
         if not links.isEmpty():
             if self.roots is not None:
                 links = links.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            self.roots = written(connected(links), "roots")
+            self.roots = connected(links)
 
     def grow(self, members: DataFrame, forest: Forest) -> DataFrame | None:
         """Compare the nodes of a forest over classes (class, sig); the ones left open as too large (node, class, comp), if any."""
-        frontier, small, big = branched(members, self.threshold, forest, roots=True), [], None
+        frontier, small, big, n = written(branched(members, self.threshold, forest, roots=True), "frontier"), [], None, None
         for depth in range(1, forest.depth + 1):
-            frontier = written(frontier, "frontier")
             count = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            sized = written(frontier.join(count, "node"), "nodes")
+            sized = written(frontier.join(count, "node"), "nodes", rows=n)
             small.append(sized.where(F.col("n") <= LEAF).select("node", "class"))
             big = sized.where(F.col("n") > LEAF)
+            n = big.count()
             if forest.depth > DEPTH:  # clusters of a deeper forest are compared as soon as they are small enough
-                big = written(self.open(big), "open")
+                big = written(self.open(big), "open", rows=n)
                 of = Window.partitionBy("node")  # CLUSTER rows at most
                 near = big.where(F.col("n") <= CLUSTER).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("node", "comp")))
                 near = near.withColumn("outside", F.col("comp") != F.max_by("comp", F.struct("k", "comp")).over(of))
-                small.append(cells(near.select(F.col("node").alias("main"), "class", "outside")))
+                near = near.withColumn("n_outside", F.sum(F.col("outside").cast("long")).over(of))
+                small.append(cells(near.select(F.col("node").alias("main"), "class", "outside", "n", "n_outside")))
                 big = big.where(F.col("n") > CLUSTER).drop("comp")
-            if big.isEmpty():
+                n = big.count()
+            if not n:
                 self.compare(reduce(DataFrame.unionByName, small))
                 return None
             if depth < forest.depth:
                 frontier = branched(big.select("node", "class").join(self.classes, "class").select("node", "class", "sig"), self.threshold, forest)
         self.compare(reduce(DataFrame.unionByName, [*small, chunked(big)]), big)
-        return written(self.open(big), "open")
+        return written(self.open(big), "open", rows=n)
 
     def run(self) -> DataFrame | None:
         """(node, root) of every class that has a link; None if none has."""
@@ -539,7 +541,7 @@ class Join:
             left = self.grow(members.select("class", "sig"), forest_for(self.threshold, depth))
             if left is None or left.isEmpty():
                 return self.roots
-            clusters = written(around(left.select("node", "class", "comp")), "clusters")
+            clusters = written(around(left.select("node", "class", "comp")), "clusters", rows=left.count())
             depth *= 2
             self.compare(cells(clusters.where(F.col("n") <= CLUSTER) if depth <= DEEPEST else clusters))
             larger = clusters.where(F.col("n") > CLUSTER).select("class").distinct()
@@ -564,7 +566,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: tuple[int, int] = (8
     with passing(docs.sparkSession, path):  # nodes, groups, sets and links are no longer needed then
         join = Join(docs, classes, width, share)
         join.run()
-        of_class = written(join.with_comp(classes.select("class", F.col("doc_id").alias("first"))), "components", path)
+        of_class = written(join.with_comp(classes.select("class", F.col("doc_id").alias("first"))), "components", path, classes.count())
     of_class = of_class.join(of_class.groupBy("comp").agg(F.min("first").alias("component")), "comp").select("class", "component")
     joined = every.drop("sig").join(of_class, "class", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

@@ -58,7 +58,7 @@ def test_near_duplicates(spark, monkeypatch, width, num, leaf, cluster):
     monkeypatch.setattr(neardup, "LEAF", leaf)
     monkeypatch.setattr(neardup, "TILE", 2 * leaf)
     monkeypatch.setattr(neardup, "CLUSTER", cluster)
-    monkeypatch.setattr(neardup, "DEEPEST", 6)
+    monkeypatch.setattr(neardup, "DEEPEST", 4)
     monkeypatch.setattr(neardup, "SET_TOKENS", 1 << 21 if leaf > 16 else 600)
     rows = near_copies(3, 12, 40)
     frame = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n int").repartition(3)
@@ -220,3 +220,24 @@ def test_pipeline(spark, tmp_path):
     assert len({r.sequence_id for r in packed}) <= sum(r.length for r in packed) // packing.WINDOW + 70
     assert P.run(spark, path).count() == len(packed)
     assert language.MIN_SCORE < 0.2
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Ids with several texts, no ids, empty and very long texts, ties, clashing columns; and empty tables."""
+    import corpus_pipeline as P
+
+    r = random.Random(9)
+    words = lambda n: " ".join(f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.choice('klmnp')}{r.choice('aeiou')}" for _ in range(n))
+    a, b, c, long = words(60), words(60), words(60), words(9000)
+    rows = [(5, a, "en", "s0", 1), (5, b, "en", "s1", 1), (2, b, "en", "s1", 1), (7, c, "en", "s0", 1), (7, c, "en", None, 1), (7, c, "en", "s0", 1), (None, a, "en", "s0", 1), (8, "", "en", "s0", 0), (8, None, None, None, None), (9, long, "en", "s2", None)]
+    docs = spark.createDataFrame([(*x, "mine", 3, 4) for x in rows], "doc_id long, text string, lang string, source string, n_chars long, score string, `key` int, class int").repartition(3)
+    got = sorted(((x.doc_id, x.text, x.source) for x in P.one_of_each_group(spark, docs, "").collect()), key=str)
+    assert got == sorted([(5, a, "s0"), (2, b, "s1"), (7, c, None), (None, a, "s0"), (8, "", "s0"), (8, None, None), (9, long, "s2")], key=str)
+    path = f"file://{tmp_path}"
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(5, 0), (None, 1), (7, None)], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    out = P.run(spark, path)
+    assert {x.doc_id for x in out.collect()} == {5, 2, 7, None, 9} and out.where("doc_id = 9").count() > 1
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{path}/none/{name}.parquet")
+    assert P.run(spark, f"{path}/none").count() == 0
