@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def matrix(column: pa.Array, width: int | None = None, kind: type = np.float64) -> np.ndarray:
+    """The rows of a list column, all of one length, as a matrix; no element becomes a Python object."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
+    return flat.reshape(len(column), -1 if width is None and len(flat) else width or 0)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Use a value several times, also inside lambdas, but compute it once."""
     return F.element_at(F.transform(F.array(value), body), 1)

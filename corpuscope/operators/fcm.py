@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.functions.vector import argmax, top_positions
+from corpuscope.functions.vector import argmax, matrix, top_positions
 
 N_CLUSTERS, FUZZINESS = 15, 2.0
 MAX_ITER, TOLERANCE, SEED = 150, 1e-4, 42
@@ -42,10 +42,6 @@ def memberships_of(x: np.ndarray, centers: np.ndarray, power: float) -> np.ndarr
     return w / w.sum(axis=1, keepdims=True)
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
-
-
 def with_memberships(rows: DataFrame, centers: np.ndarray, m: float = FUZZINESS, kind: str = "squared", vec_col: str = "vec") -> DataFrame:
     """The rows with ``memberships``."""
     shared, power = rows.sparkSession.sparkContext.broadcast(np.asarray(centers, np.float64)), exponent_of(m, kind)
@@ -53,7 +49,7 @@ def with_memberships(rows: DataFrame, centers: np.ndarray, m: float = FUZZINESS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                u = memberships_of(_vectors(b.column(vec_col)), shared.value, power)
+                u = memberships_of(matrix(b.column(vec_col)), shared.value, power)
                 flat = pa.ListArray.from_arrays(np.arange(0, u.size + 1, u.shape[1], dtype=np.int32), u.ravel())
                 yield pa.RecordBatch.from_arrays([*b.columns, flat], [*b.schema.names, "memberships"])
 
@@ -76,8 +72,8 @@ def _sums(rows: DataFrame, m: float, power: float, now: np.ndarray | None, befor
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _vectors(b.column("vec"))
-            given = _vectors(b.column("memberships")) if "memberships" in b.schema.names else None
+            x = matrix(b.column("vec"))
+            given = matrix(b.column("memberships")) if "memberships" in b.schema.names else None
             u = given if centers is None else memberships_of(x, centers, power)
             if centers is not None:
                 old = given if former is None else memberships_of(x, former, power)

@@ -13,6 +13,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscope.functions.vector import matrix
+
 DIMENSIONS = 50
 
 
@@ -39,7 +41,7 @@ class CenteredPCA:
             mean, components = shared.value
             for b in batches:
                 if b.num_rows:
-                    x = (np.array(b.column(vec_col).to_pylist(), np.float64) - mean) @ components
+                    x = (matrix(b.column(vec_col), len(mean)) - mean) @ components
                     flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), np.ascontiguousarray(x).ravel())
                     yield pa.RecordBatch.from_arrays([*b.columns, flat], [*b.schema.names, out])
 

@@ -36,13 +36,13 @@ def result_rows(matches: DataFrame, docs: DataFrame) -> DataFrame:
     return ranked.select("query_id", F.transform("rows", lambda x: x.r).cast(semantic.RESULT).alias("result"))
 
 
-def answer(queries: DataFrame, entries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int = N_RESULTS, threshold: float = semantic.THRESHOLD, secondary: float = semantic.SECONDARY) -> DataFrame:
+def answer(queries: DataFrame, entries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int = N_RESULTS, threshold: float = semantic.THRESHOLD, secondary: float = semantic.SECONDARY, found: DataFrame | None = None) -> DataFrame:
     """(query_id, query, cache_hit, entry_idx, matched_query, similarity_score, dominant_cluster, result, score) of a batch.
 
     A hit carries the entry's result and cluster, whatever k is; only misses are searched.  All
-    queries see the same frozen cache.
+    queries see the same frozen cache.  What a stored cache has ``found`` for the queries need not be looked up again.
     """
-    found = written(semantic.lookup(queries, entries, threshold, secondary), "lookup")
+    found = written(semantic.lookup(queries, entries, threshold, secondary) if found is None else found, "lookup")
     hits = found.where("hit").join(entries, "entry_idx")
     hit_rows = queries.select("query_id", F.col("query").alias("asked")).join(hits, "query_id").select(
         "query_id", F.col("asked").alias("query"), F.lit(True).alias("cache_hit"), "entry_idx", F.col("query").alias("matched_query"), F.round("score", 4).alias("similarity_score"), "dominant_cluster", "result", "score"
@@ -115,7 +115,8 @@ class Engine:
         asked = queries.select("query_id", "query", self.encoder(F.col("query")).alias("vec"))
         asked = written(self.with_memberships(asked), "asked")
         frame = self.store.frame().withColumn("item_id", F.col("doc_id"))
-        found = answer(asked, self.cache.entries(batch), frame.select("item_id", F.col("embedding").alias("vec")), frame.drop("embedding"), k, self.cache.threshold, self.cache.secondary)
+        hits = self.cache.lookup(asked, log=False, batch=batch)
+        found = answer(asked, self.cache.entries(batch), frame.select("item_id", F.col("embedding").alias("vec")), frame.drop("embedding"), k, found=hits)
         out = written(found, "answers")
         self.cache.log_hits(out.where("cache_hit").select("query", F.lit(True).alias("hit"), "entry_idx", "score"), batch)
         self.cache.store(asked.join(out.where("NOT cache_hit").select("query_id", "result"), "query_id"), batch)

@@ -7,19 +7,26 @@ vectors, even vector ids for cache entries and odd ones for queries.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.functions import text as T
 from corpuscope.functions import vector as V
-from corpuscope.operators import cache, fcm, knn, quality, search, terms
+from corpuscope.operators import cache, fcm, knn, quality, search, stages, terms
+from corpuscope.operators.latent import LatentEncoder
 from corpuscope.operators.pca import CenteredPCA
+from corpuscope.plans import fixtures
 from corpuscope.plans.fixtures import NOISY_ARTICLE, RAW_ARTICLE
 from corpuscope.shared import new_path, written
 from corpuscope.sources import corpus
+from corpuscope.sources.files import read_files
+from corpuscope.sources.seen import SeenTexts
 from corpuscope.sources.store import VectorStore
 from corpuscope.streaming.replay import replay
+from corpuscope.streaming.sessions import answered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,8 +98,7 @@ def category_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {tokens_sql("coalesce(text, '')")}::INTEGER AS n_tokens FROM documents WHERE {tokens_sql("coalesce(text, '')")} >= 50")
 def min_token_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = docs_as_corpus(spark, sf_dir).select("doc_id", T.token_count(F.col("text")).alias("n_tokens"))
-    return docs.where(F.col("n_tokens") >= corpus.MIN_TOKENS)
+    return corpus.long_enough(docs_as_corpus(spark, sf_dir)).select("doc_id", "n_tokens")
 
 
 @query("SELECT doc_id, source AS category, md5(text) AS text_md5 FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY source, doc_id) = 1")
@@ -140,6 +146,32 @@ def corpus_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.load_corpus(articles).select("doc_id", "category", F.md5("text").alias("text_md5"))
 
 
+@query("""SELECT doc_id, source AS category, md5(coalesce(text, '')) AS text_md5, CAST(doc_id % 3 AS BIGINT) AS batch FROM documents
+QUALIFY row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id % 3, source, doc_id) = 1""")
+def incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that come in three batches, each without the texts that the batches before it kept."""
+    articles = docs_as_corpus(spark, sf_dir).select("category", "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+    articles, out, digest = written(articles, "articles"), new_path(spark, "fresh"), F.col("text_md5")
+    seen = SeenTexts(spark, f"seen_{uuid4().hex}", new_path(spark, "seen"))
+    for batch in range(3):
+        seen.fresh(articles.where(F.col("doc_id") % 3 == batch), batch, digest=digest).write.parquet(f"{out}/batch={batch}")
+        seen.add(spark.read.parquet(f"{out}/batch={batch}"), batch, digest=digest)
+    seen.drop()
+    return spark.read.schema("category string, doc_id long, text_md5 string, batch long").parquet(out)
+
+
+@query(f"""WITH raw AS (SELECT doc_id, source, {RAW_ARTICLE} AS raw FROM documents)
+SELECT source AS category, CASE WHEN doc_id % 10 = 9 THEN doc_id::VARCHAR || '.gz' ELSE doc_id::VARCHAR END AS name, CASE WHEN doc_id % 20 = 19 THEN NULL ELSE md5(replace(replace(raw, chr(13) || chr(10), chr(10)), chr(13), chr(10))) END AS text_md5,
+doc_id % 20 = 19 AS unreadable FROM raw""")
+def article_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles written to a file each, some compressed, half of those cut short, and read by the data source."""
+    path = new_path(spark, "articles")
+    raw = raw_articles(spark, sf_dir).select("category", "doc_id", "raw_text")
+    written(raw.mapInArrow(fixtures.writing_files(path), "n long"), "written-articles")
+    files = read_files(spark, path, 1 << 20)
+    return files.select("category", "name", F.md5("raw_text").alias("text_md5"), F.col("error").isNotNull().alias("unreadable"))
+
+
 _PREFIXES = ", ".join(f"'{p}'" for p in T.SNIPPET_HEADERS)
 
 
@@ -232,6 +264,20 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batch(spark, sf_dir, {"$or": [{"label": {"$in": [1, 2, 3]}}, {"label": {"$gte": 8}}]})
 
 
+#: Of 32 lists a query of the stored index probes so many.
+IVF_LISTS, IVF_PROBES = 32, 20
+
+
+@query()
+def ivf_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by a stored inverted file, which reads the lists that are probed; recall is measured in the README."""
+    rows = vectors(spark, sf_dir).select(F.col("id").alias("item_id"), "vec")
+    index = knn.IvfIndex(IVF_LISTS).fit(rows)
+    stored = index.store(rows, new_path(spark, "ivf"))
+    asked = rows.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "vec")
+    return index.search(stored, asked, 10, IVF_PROBES).select("query_id", "item_id", "rank", (F.round("score", 4) + 0.0).alias("similarity"))
+
+
 RESULT_CTE = f"""{E_CTE}, {snippet_cte("coalesce(text, '')")},
 near AS (SELECT q.id AS query_id, e.id AS item_id, row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(q.v, e.v) DESC, e.id) AS rank, list_dot_product(q.v, e.v) AS sim
   FROM (SELECT * FROM e WHERE id % 50 = 0) q, e QUALIFY rank <= 5)"""
@@ -344,6 +390,16 @@ def fcm_fit_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("id", "cluster", r6("p").alias("p"))
 
 
+@query(ORACLE_SQL["fcm_fit_fixed"])
+def ml_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reduction and clustering as a pipeline of Spark's, fitted, saved and loaded; all components together keep distances."""
+    _, rows = _two_rounds(spark, sf_dir)
+    path = new_path(spark, "pipeline")
+    Pipeline(stages=[stages.Reduction(k=1 << 20), stages.SoftClusters(k=K, maxIter=2, tol=0.0, startCol="memberships")]).fit(rows).write().save(path)
+    long = PipelineModel.load(path).transform(rows.drop("memberships")).select("id", F.posexplode("memberships").alias("cluster", "p"))
+    return long.select("id", "cluster", r6("p").alias("p"))
+
+
 @query(f"""WITH {FIT_CTE} SELECT round((SELECT max(abs(a - b)) FROM (SELECT unnest(u1.u) AS a, unnest(u2.u) AS b FROM u1 JOIN u2 USING (id))), 6) AS delta,
 round((SELECT sum(power(p, 2.0) * d) FROM (SELECT id, unnest(u) AS p, generate_subscripts(u, 1) - 1 AS cluster FROM u2) JOIN u2_d USING (id, cluster)), 4) AS inertia""")
 def fcm_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,6 +432,15 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.silhouette(rows).select(r6("silhouette").alias("silhouette"), "n")
 
 
+@query(f"""WITH {E_CTE}, d AS (SELECT a.id, a.label, b.label AS other, sum(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS total, count(*) AS n FROM e a, e b GROUP BY ALL),
+s AS (SELECT id, label, max(CASE WHEN label = other THEN total / greatest(n - 1, 1) END) AS a, min(CASE WHEN label <> other THEN total / n END) AS b, max(CASE WHEN label = other THEN n END) AS n FROM d GROUP BY id, label)
+SELECT id, label AS cluster, round(CASE WHEN n > 1 AND b IS NOT NULL THEN (b - a) / greatest(a, b) ELSE 0 END, 6) + 0.0 AS silhouette FROM s""")
+def silhouette_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every row, in squared distance."""
+    rows = vectors(spark, sf_dir).select("id", "vec", F.col("label").alias("cluster"))
+    return quality.linear_silhouettes(rows).select("id", "cluster", r6("silhouette").alias("silhouette"))
+
+
 ENTROPY_CTE = f"{u_cte()}, h AS (SELECT id, u, -list_sum(list_transform(u, lambda p: p * ln(p + 1e-10))) AS h FROM u)"
 
 
@@ -435,6 +500,14 @@ def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("cluster", "term", r6("score").alias("score"), "rank")
 
 
+@query()
+def latent_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents along the leading directions of their own TF-IDF matrix; tests hold them against an exact decomposition."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    encoder = LatentEncoder(32, stop_words=STOP).fit(docs)
+    return docs.select("id", F.transform(encoder(F.col("text")), lambda x: F.round(x, 4) + 0.0).alias("vector"))
+
+
 @query(f"""WITH {u_cte()} SELECT CAST(k - 1 AS INTEGER) AS cluster, {", ".join(f'round(max(CASE WHEN id = {i} THEN p END), 6) AS d{i}' for i in range(5))}
 FROM (SELECT id, unnest(u) AS p, generate_subscripts(u, 1) AS k FROM u) GROUP BY 1""")
 def membership_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -449,6 +522,24 @@ def category_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few.join(members(spark, sf_dir), few.doc_id == F.col("id")).select("doc_id", "category", V.argmax(F.col("memberships")).alias("dominant_cluster"))
 
 
+@query(f"""WITH {CENT_CTE}, {fcm_cte(2.0)}
+SELECT id, CAST(k - 1 AS INTEGER) AS cluster, round(p, 6) + 0.0 AS p, CAST(list_position(u, list_max(u)) - 1 AS INTEGER) AS dominant_cluster FROM (SELECT id, u, unnest(u) AS p, generate_subscripts(u, 1) AS k FROM u)""")
+def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reduction and clusters, saved, loaded again and applied one after the other.
+
+    All components together keep distances, so the memberships are those of the vectors as they are.
+    """
+    rows = vectors(spark, sf_dir).select("id", "vec")
+    pca = CenteredPCA(1 << 20).fit(rows)
+    own = (centers(spark, sf_dir) - pca.mean) @ pca.components
+    path = new_path(spark, "model")
+    pca.save(spark, f"{path}/pca")
+    fcm.FuzzyCMeans(k=len(own), centers=own).save(spark, f"{path}/fcm")
+    pca, model = CenteredPCA.load(spark, f"{path}/pca"), fcm.FuzzyCMeans.load(spark, f"{path}/fcm")
+    found = model.predict(pca.transform(rows), "reduced")
+    return found.select("id", F.posexplode("memberships").alias("cluster", "p"), "dominant_cluster").select("id", "cluster", r6("p").alias("p"), "dominant_cluster")
+
+
 @query()
 def pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
@@ -473,7 +564,7 @@ def given_start(k: int) -> Column:
 @query(f"""SELECT k, round(silhouette, 6) AS silhouette, round(inertia, 4) AS inertia, CAST(2 AS INTEGER) AS iterations, silhouette = max(silhouette) OVER () AS best
 FROM ({" UNION ALL ".join(_sweep_sql(k) for k in (3, 5, 8))})""")
 def k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(vectors(spark, sf_dir).select("id", "vec"), "sweep")
+    rows = vectors(spark, sf_dir).select("id", "vec")
     got = quality.k_sweep(rows, (3, 5, 8), start=given_start, max_iter=2, tol=0.0)
     return got.select("k", r6("silhouette").alias("silhouette"), F.round("inertia", 4).alias("inertia"), "iterations", "best")
 
@@ -516,6 +607,33 @@ def cache_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.candidate_counts(_questions(spark, sf_dir), _entries(spark, sf_dir))
 
 
+def _stored_cache(spark: SparkSession, sf_dir: str) -> cache.SemanticCache:
+    """The entries in a cache of their own folder."""
+    even = members(spark, sf_dir, CACHE_M).where("id % 2 = 0")
+    rows = even.select(F.col("id").alias("query_id"), F.concat(F.lit("q"), F.col("id")).alias("query"), "vec", "memberships", F.lit(None).cast(cache.RESULT).alias("result"))
+    stored = cache.SemanticCache(spark, new_path(spark, "cache"), K, CACHE_T)
+    stored.store(rows)
+    return stored
+
+
+@query(f"WITH {CACHE_CTE} SELECT query_id, hit, entry_idx, round(score, 6) AS score FROM lk")
+def cache_lookup_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lookup through vectors that are stored by cluster, of which only the probed clusters are read."""
+    return _stored_cache(spark, sf_dir).lookup(_questions(spark, sf_dir)).select("query_id", "hit", "entry_idx", r6("score").alias("score"))
+
+
+@query(f"""WITH {CACHE_CTE} SELECT (SELECT count(*) FROM en) AS entries_cleared, CAST(0 AS BIGINT) AS total_entries, CAST(0 AS BIGINT) AS hit_count, CAST(0 AS BIGINT) AS miss_count, CAST(0 AS DOUBLE) AS hit_rate,
+(SELECT count(*) FROM qs) AS misses_after""")
+def cache_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored cache after lookups, flushed: its counters, and how many of the same queries then miss."""
+    stored, asked = _stored_cache(spark, sf_dir), _questions(spark, sf_dir)
+    stored.lookup(asked)
+    cleared = stored.flush()
+    misses = stored.lookup(asked).where("NOT hit").agg(F.count(F.lit(1)).alias("misses_after"))
+    now = stored.stats().select("total_entries", "hit_count", "miss_count", "hit_rate")
+    return now.select(F.lit(cleared).cast("long").alias("entries_cleared"), "*").crossJoin(F.broadcast(misses))  # a row each
+
+
 @query(f"WITH {CACHE_CTE} SELECT query_id, hit, entry_idx, round(score, 6) AS score FROM lk")
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = cache.lookup(_questions(spark, sf_dir), _entries(spark, sf_dir), CACHE_T)
@@ -534,13 +652,9 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM en LEFT JOIN lk ON lk.entry_idx = en.entry_idx AND hit GROUP BY ALL""")
 def cache_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries and log of a stored cache, read back by another one on the same folder."""
-    path = new_path(spark, "cache")
-    even = members(spark, sf_dir, CACHE_M).where("id % 2 = 0")
-    rows = even.select(F.col("id").alias("query_id"), F.concat(F.lit("q"), F.col("id")).alias("query"), "vec", "memberships", F.lit(None).cast(cache.RESULT).alias("result"))
-    first = cache.SemanticCache(spark, path, K, CACHE_T)
-    first.store(rows)
+    first = _stored_cache(spark, sf_dir)
     first.lookup(_questions(spark, sf_dir))
-    again = cache.SemanticCache(spark, path, K, CACHE_T)
+    again = cache.SemanticCache(spark, first.path, K, CACHE_T)
     logged = again.log().agg(F.count(F.lit(1)).alias("logged"))
     entries = again.entries().join(again.hit_counts(), "entry_idx", "left").crossJoin(F.broadcast(logged))  # one row
     return entries.select("entry_idx", "query", "dominant_cluster", F.coalesce("hit_count", F.lit(0)).alias("hit_count"), "logged")
@@ -574,3 +688,52 @@ SELECT id AS query_id, found IS NOT NULL AS hit, CAST(list_position(stored, foun
 def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir).select(F.col("id").alias("query_id"), "vec", F.array(F.lit(1.0)).alias("memberships"))
     return replay(rows, CACHE_T).select("query_id", "hit", "entry_idx", r6("score").alias("score"))
+
+
+#: Turns of a conversation that have about the same letters are alike.
+SESSION_T = 0.97
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS x FROM conversations),
+c AS (SELECT conv_id, turn, list_transform(range(97, 123), lambda k: (length(x) - length(replace(x, chr(k::INTEGER), '')))::DOUBLE) AS c FROM t),
+v AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, list_transform(c, lambda y: y / greatest(sqrt(list_dot_product(c, c)), 1.0)) AS v FROM c),
+near AS (SELECT a.conv_id, a.n, list({{'i': b.n, 's': list_dot_product(a.v, b.v)}} ORDER BY list_dot_product(a.v, b.v) DESC, b.n) AS c FROM v a JOIN v b ON b.conv_id = a.conv_id AND b.n < a.n AND list_dot_product(a.v, b.v) >= {SESSION_T} GROUP BY 1, 2),
+q AS (SELECT v.conv_id, v.n, turn, coalesce(c, []) AS c FROM v LEFT JOIN near ON near.conv_id = v.conv_id AND near.n = v.n),
+r(conv_id, n, turn, stored, found) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS STRUCT(i BIGINT, s DOUBLE)) FROM v
+  UNION ALL
+  SELECT r.conv_id, q.n, q.turn, CASE WHEN len(list_filter(q.c, lambda x: list_contains(r.stored, x.i))) = 0 THEN list_append(r.stored, q.n) ELSE r.stored END, list_filter(q.c, lambda x: list_contains(r.stored, x.i))[1]
+  FROM r JOIN q ON q.conv_id = r.conv_id AND q.n = r.n + 1)
+SELECT conv_id, turn AS query_id, found IS NOT NULL AS hit, CAST(list_position(stored, found.i) - 1 AS BIGINT) AS entry_idx, round(found.s, 6) AS score FROM r WHERE n > 0""")
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as sessions of a stream, their turns in two batches; the state of the first is found by a second run."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    letters = F.transform(F.sequence(F.lit(97), F.lit(122)), lambda k: (F.length(text) - F.length(F.replace(text, F.char(k), F.lit("")))).cast("double"))
+    size = F.greatest(V.norm(letters), F.lit(1.0))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("query_id"), V.let(size, lambda n: F.transform(letters, lambda x: x / n)).alias("vec"), F.array(F.lit(1.0)).alias("memberships"))
+    rows, came, out, state = written(rows, "turns"), new_path(spark, "came"), new_path(spark, "answers"), new_path(spark, "state")
+    for late in (False, True):
+        rows.where((F.col("query_id") >= 3) == late).write.mode("append").parquet(came)
+        found = answered(spark.readStream.schema(rows.schema).parquet(came), out, state, SESSION_T, session="conv_id")
+    return found.select("conv_id", "query_id", "hit", "entry_idx", r6("score").alias("score"))
+
+
+# --- the engine as a whole -----------------------------------------------------------------------
+
+
+@query(f"""WITH {CLEAN_CTE}, kept AS (SELECT source || '/' || lpad(doc_id::VARCHAR, 9, '0') AS doc_id, source, text, doc_id AS id FROM cleaned
+  WHERE {tokens_sql('text')} >= 50 QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY source, doc_id) = 1)
+SELECT id AS query_id, false AS first_hit, CAST(least(5, (SELECT count(*) FROM kept)) AS INTEGER) AS n_results, 1.0::DOUBLE AS top_similarity, true AS second_hit, 1.0::DOUBLE AS second_similarity,
+(SELECT count(*) FROM kept) AS n_stored, (SELECT count(*) FROM kept WHERE id % 50 = 0) AS n_entries FROM kept WHERE id % 50 = 0""")
+def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles ingested into an engine and asked for by their own texts, twice: first searched for, then answered by the cache."""
+    engine = search.Engine(spark, new_path(spark, "engine"), k=K)
+    articles = raw_articles(spark, sf_dir).select("category", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("name"), "raw_text")
+    stored = engine.ingest(articles)
+    number = F.substring_index("doc_id", "/", -1).cast("long")
+    asked = engine.store.frame().select(number.alias("query_id"), F.col("text").alias("query")).where("query_id % 50 = 0")
+    first, second = engine.search(asked, 5), engine.search(asked, 1)
+    one = first.select("query_id", F.col("cache_hit").alias("first_hit"), F.size("result").alias("n_results"), F.element_at("result", 1).similarity.alias("top_similarity"))
+    two = second.select("query_id", F.col("cache_hit").alias("second_hit"), F.col("similarity_score").alias("second_similarity"))
+    entries = engine.cache_stats()["total_entries"]
+    return one.join(two, "query_id").select("*", F.lit(stored).cast("long").alias("n_stored"), F.lit(entries).cast("long").alias("n_entries"))

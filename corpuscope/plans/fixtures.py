@@ -1,7 +1,13 @@
-"""Synthetic inputs for the queries, as SQL that Spark and DuckDB read alike."""
+"""Synthetic inputs for the queries: SQL that Spark and DuckDB read alike, and files."""
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.fs
+
 N = "chr(10)"
 
 #: A raw article around a document's text; eight shapes by doc_id.
@@ -35,3 +41,25 @@ WHEN 8 THEN repeat('z', 401) || ' a b c d e f g h i j'
 WHEN 9 THEN 'In article 5 he wrote: that' || {N} || '--' || {N} || '---' || {N} || 'see Last-Modified here' || {N} || 'short title...' || {N} || 'few words'
 ELSE coalesce(text, '') END
 """
+
+
+def writing_files(uri: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` that writes each (category, doc_id, text) to a file of its own; how many it wrote.
+
+    Ids that end in 9 are compressed, and those of them that end in an odd ten are cut short.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(uri)
+        for b in batches:
+            for category, i, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                fs.create_dir(f"{root}/{category}")
+                body = text.encode()
+                if i % 10 == 9:
+                    body = gzip.compress(body)
+                    body = body[: len(body) // 2] if i % 20 == 19 else body
+                with fs.open_output_stream(f"{root}/{category}/{i}{'.gz' if i % 10 == 9 else ''}", compression=None) as f:
+                    f.write(body)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return run

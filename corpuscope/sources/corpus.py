@@ -71,6 +71,15 @@ def exact_dedup(docs: DataFrame, text: str = "text", order: tuple[str, ...] = ("
     return first.select(*[F.col("first")[c].alias(c) for c in docs.columns])
 
 
+def long_enough(docs: DataFrame, min_tokens: int = MIN_TOKENS, text: str = "text") -> DataFrame:
+    """Rows of ``min_tokens`` tokens or more, with ``n_tokens``.
+
+    The count is a generated column, which a filter is not pushed below, so it is evaluated once.
+    """
+    counted = docs.select("*", F.inline(F.array(F.struct(token_count(F.col(text)).alias("n_tokens")))))
+    return counted.where(F.col("n_tokens") >= min_tokens)
+
+
 def load_corpus(articles: DataFrame, min_tokens: int = MIN_TOKENS, max_docs_per_category: int | None = None) -> DataFrame:
     """Cleaned, long enough and distinct articles: doc_id, category, text, raw_text.
 

@@ -1,11 +1,15 @@
 """The vector table: create, append, count, scan, update, reset.
 
-Writers take a mode instead of asking.  Updates write a new version beside the old one, and the latest version
-that was written to its end counts; so readers never see half an update and a failed one changes nothing.
+Writers take a mode instead of asking.  Updates write a new version beside the old one, and appends write a part of their own
+beside the version they add to.  The latest version that was written to its end counts, with those of its parts that were; so readers never
+see half an update or half an append, and one that fails changes nothing.
 """
 
 from __future__ import annotations
 
+import re
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ SCHEMA = (
     "doc_id string, embedding array<float>, text string, category string, dominant_cluster int, "
     "cluster_probs array<struct<cluster:int,p:double>>"
 )
+#: A version, or a part that was appended to one.
+FOLDER = re.compile(r"v\d{8}(-[0-9a-f]{32})?")
 
 
 def rendered_metadata(df: DataFrame) -> DataFrame:
@@ -29,28 +35,33 @@ class VectorStore:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[int]:
-        """Versions that were written to their end."""
+    def _whole(self) -> dict[int, list[str]]:
+        """Folders that were written to their end, by version: the version itself and what was appended to it."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         if not self._fs.exists(path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(path(self.path))]
-        return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and self._fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+            return {}
+        names = sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(path(self.path))) if FOLDER.fullmatch(n))
+        found: dict[int, list[str]] = {}
+        for n in names:
+            if self._fs.exists(path(f"{self.path}/{n}/_SUCCESS")):
+                found.setdefault(int(n[1:9]), []).append(n)
+        return {v: folders for v, folders in found.items() if "-" not in folders[0]}
 
-    def _at(self, version: int) -> str:
-        return f"{self.path}/v{version:08d}"
+    def _next(self) -> str:
+        return f"{self.path}/v{max(self._whole(), default=0) + 1:08d}"
 
     def frame(self) -> DataFrame:
         """All rows of the current version; none if nothing was written."""
-        found = self._versions()
-        return self.spark.read.schema(SCHEMA).parquet(self._at(found[-1])) if found else self.spark.createDataFrame([], SCHEMA)
+        found = self._whole()
+        folders = [f"{self.path}/{n}" for n in found[max(found)]] if found else []
+        return self.spark.read.schema(SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMA)
 
     def count(self) -> int:
         return self.frame().count()
 
     def add(self, docs: DataFrame, mode: str = "append") -> None:
         """Append to the current version, ``overwrite`` it, or do nothing (``ignore``) or fail (``errorifexists``) if there are rows."""
-        found = self._versions()
+        found = self._whole()
         if found and mode in ("ignore", "errorifexists"):
             if mode == "errorifexists":
                 raise ValueError(f"{self.path} holds rows already")
@@ -59,9 +70,9 @@ class VectorStore:
         kinds = dict(self.spark.createDataFrame([], SCHEMA).dtypes)
         rows = docs.select(*[(F.col(n) if n in docs.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in names])
         if found and mode == "append":
-            rows.write.mode("append").parquet(self._at(found[-1]))
+            rows.write.parquet(f"{self.path}/v{max(found):08d}-{uuid4().hex}")
         else:
-            rows.write.mode("overwrite").parquet(self._at((found or [0])[-1] + 1))
+            rows.write.mode("overwrite").parquet(self._next())
 
     def update(self, changes: DataFrame) -> None:
         """Set the columns of ``changes`` (keyed by doc_id) in a new version; other columns and rows stay.
@@ -74,7 +85,7 @@ class VectorStore:
         new = [c for c in changes.columns if c != "doc_id"]
         joined = now.join(changes.select("doc_id", F.lit(True).alias("changed"), *[F.col(c).alias(f"new_{c}") for c in new]), "doc_id", "left")
         rows = joined.select(*[F.when(F.col("changed"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in now.columns])
-        rows.write.mode("overwrite").parquet(self._at((self._versions() or [0])[-1] + 1))
+        rows.write.mode("overwrite").parquet(self._next())
 
     def reset(self) -> None:
         drop_path(self.spark, self.path)
