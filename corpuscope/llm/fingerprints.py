@@ -9,8 +9,8 @@ has shingles falls below the threshold, its smallest stands for them, so short t
 A fingerprint is the sorted hashes in fixed-width hexadecimal, one after another.
 
 Each document is also compared with its successor in id order.  Rows are dealt by ranges of (id, hash of the text); the
-ranges' bounds come from the same narrow rows in order, so rows of one id are split too.  The first row of each range is sent to the range
-before it as well, so that successors meet without ordering the whole table in one task, and texts are shuffled once.
+ranges' bounds come from the same narrow rows in order, so rows of one id are split too, and so are rows that repeat.  The first row of each range is sent to the
+range before it as well, so that successors meet without ordering the whole table in one task, and texts are shuffled once.
 
 A text with no hash below the threshold is known by its smallest hash alone: such a sketch tells equal texts from others, but
 neither merges nor estimates (``containment`` gives None).  With n shingles a likeness of L has a standard error of about
@@ -28,8 +28,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.llm.common import U64, code_points, mix64, powers, table
@@ -115,43 +116,51 @@ def edited(text: str, successor: str) -> str:
     return text[: len(text) - n] + successor[:n]
 
 
-def _place(ids: list[int], hashes: list[int], id_col: Column, hash_col: Column) -> Column:
-    """How many of the ordered bounds (id, hash) are at most a row's, found by halving; the bounds are constants of the expression."""
-    constant = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
-    of, at_hash, n = constant(ids), constant(hashes), len(ids)
-
-    def below(at: Column) -> Column:
-        i = F.try_element_at(of, at)
-        return (at <= n) & ((i < id_col) | ((i == id_col) & (F.try_element_at(at_hash, at) <= hash_col)))
-
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(at + step), at + step).otherwise(at))
+def _keys(ids: np.ndarray, hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """Triples of signed numbers as strings of 24 bytes in the same order."""
+    columns = np.column_stack([np.asarray(c, np.int64).view(U64) ^ U64(1 << 63) for c in (ids, hashes, salts)])
+    return columns.astype(">u8").view("S24").ravel()
 
 
 def by_id_ranges(docs: DataFrame, ranges: int) -> DataFrame:
     """(doc_id, text, part, guest) by ranges of (id, hash), in order, each followed by the next range's first row (``guest``).
 
     The last range is followed by the first row of all.  Four ranges make a partition, to even out where
-    they are hashed to.  One row for each range comes to the driver.
+    they are hashed to.  The ranges' bounds, 24 bytes each, come to the driver and go to all tasks as one array; they are no part of the plan.  Rows
+    that repeat with id and text are cut by a salt, and a task sends one of a range's first rows at most, however often it repeats.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("order_id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("h", F.xxhash64("text"))
-    narrow = rows.select("order_id", "h").repartitionByRange(ranges, "order_id", "h") if ranges > 1 else rows.select("order_id", "h").coalesce(1)
-    least = narrow.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("order_id", "h")).alias("m"))
-    mins = sorted({(r.m.order_id, r.m.h) for r in least.collect()})  # each range's first row
-    cuts = mins[1:]
-    rows = rows.withColumn("part", _place([i for i, _ in cuts], [h for _, h in cuts], F.col("order_id"), F.col("h")) if cuts else F.lit(0))
-    # the range before that of each first row; the first range's follows the last
-    before = [(k, i, h, (k or len(mins)) - 1) for k, (i, h) in enumerate(mins)]
-    head = spark.createDataFrame(before, "head_part int, head_id long, head_h long, goes_to int")
-    joined = rows.join(F.broadcast(head), F.col("part") == F.col("head_part"))  # a row for each range
-    is_head = (F.col("order_id") == F.col("head_id")) & (F.col("h") == F.col("head_h"))
-    own, guest = F.struct("part", F.lit(False).alias("guest")), F.struct(F.col("goes_to").alias("part"), F.lit(True).alias("guest"))
-    dealt = joined.select("doc_id", "text", "order_id", "h", F.explode(F.when(is_head, F.array(own, guest)).otherwise(F.array(own))).alias("place"))
+    rows = rows.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    key = ("order_id", "h", "salt")
+    narrow = rows.select(*key).repartitionByRange(ranges, *key) if ranges > 1 else rows.select(*key).coalesce(1)
+    found = narrow.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*key)).alias("m")).select("m.*").orderBy(*key).toArrow()  # a row for each range
+    ids, hashes, salts = (found.column(c).to_numpy().copy() for c in key)
+    n = len(ids)
+    # where a row's copies begin a range, all of them are in it or in the ranges that follow
+    fresh = np.append(True, (np.diff(ids) != 0) | (np.diff(hashes) != 0))[:n]
+    salts[fresh] = -(1 << 63)
+    shared = spark.sparkContext.broadcast((_keys(ids, hashes, salts), _keys(ids, hashes, np.zeros(n, np.int64))))
+
+    def placed(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        bounds, firsts = shared.value
+        sent = np.zeros(len(bounds), bool)
+        for i, h, s in batches:
+            part = np.maximum(np.searchsorted(bounds, _keys(i, h, s), "right") - 1, 0)
+            head = np.flatnonzero((firsts[part] == _keys(i, h, np.zeros(len(i), np.int64))) & ~sent[part])
+            head = head[np.unique(part[head], return_index=True)[1]]
+            sent[part[head]] = True
+            goes = np.full(len(part), -1)
+            goes[head] = (part[head] - 1) % len(bounds)
+            yield pd.DataFrame({"part": part, "goes_to": goes})
+
+    place = F.pandas_udf(placed, "part int, goes_to int", F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+    dealt = rows.withColumn("at", place(*key))
+    own, guest = F.struct(F.col("at.part").alias("part"), F.lit(False).alias("guest")), F.struct(F.col("at.goes_to").alias("part"), F.lit(True).alias("guest"))
+    dealt = dealt.select("doc_id", "text", "order_id", "h", F.explode(F.when(F.col("at.goes_to") >= 0, F.array(own, guest)).otherwise(F.array(own))).alias("place"))
     dealt = dealt.select("doc_id", "text", "order_id", "h", "place.part", "place.guest")
-    placed = dealt.repartition(max(1, len(mins) // 4), "part").sortWithinPartitions("part", "guest", "order_id", "h")
-    return placed.select("doc_id", "text", "part", "guest")
+    return dealt.repartition(max(1, n // 4), "part").sortWithinPartitions("part", "guest", "order_id", "h").select("doc_id", "text", "part", "guest")
 
 
 def compared(dealt: DataFrame) -> DataFrame:
