@@ -1,12 +1,12 @@
 """Byte-level BPE by corpus-level merge replay, and its decoder (operator 11).
 
-Merges are replayed over many distinct words at once, merge by merge, not word by word.  An inverted index maps each mergeable pair of
+Merges are replayed over all distinct words of a block of texts at once, merge by merge, not word by word.  An inverted index maps each mergeable pair of
 tokens, known by the rank of what it merges into, to the positions of the words where it stands.  Ranks are taken in ascending order; all
 positions of a rank merge from left to right, and only the two pairs that touch the merged token are looked up again and indexed.
 
-The words that stand in several blocks of the corpus are counted, replayed once for the whole corpus, each partition its
-share, and given to all tasks: at most ``COMMON`` words of at most ``COMMON_BYTES`` bytes.  The other words of a block are replayed
-in the block, so no text and no id is ever shuffled, and a lost task does no more than its own block again.
+The corpus is worked off in blocks of ``BLOCK_CHARS``, so no text and no id is ever shuffled, a task holds a block, and a lost task does no more than
+its own again.  A worker keeps the ids of at most ``KNOWN`` words of its blocks, and replays new words only.  Words that stand in many blocks can also be
+replayed once for the whole corpus and given to all tasks (``common_words``); the README has figures on why the query does without.
 
 A word of which a merge makes a pair of smaller rank than the merge itself leaves the global order (a rank file may hold such
 tokens); it is replayed alone by a heap over its own pairs, smallest rank first and leftmost of equal ones, which is the rule that defines the encoding.  A word
@@ -40,13 +40,15 @@ from corpuscope.shared import written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Characters of the texts that a task encodes together, and bytes of the words that one replay takes.
-BLOCK_CHARS, REPLAY_BYTES = 16 << 20, 4 << 20
-#: Words that are replayed once for the whole corpus, and the bytes of the longest of them: 32 MB at most.
-COMMON, COMMON_BYTES = 1 << 17, 64
+BLOCK_CHARS, REPLAY_BYTES = 4 << 20, 1 << 20
+#: Words whose ids a worker keeps, and that ``common_words`` finds; both at most so many bytes long.
+KNOWN, COMMON, KNOWN_BYTES = 1 << 18, 1 << 16, 64
+#: Below this character Python's letters are those of the pattern; above, versions of Unicode differ.
+ALIKE = chr(0x500)
 #: No rank: larger than any.
-NONE = 1 << 62
-#: Ranks whose positions are sorted together.
-WINDOW_RANKS = 512
+NONE = 1 << 30
+#: Ranks whose positions are sorted together, and positions of a rank up to which they are merged one by one.
+WINDOW_RANKS, FEW = 512, 24
 
 # Unicode's white space, which the public pattern's \s means.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -65,19 +67,26 @@ class Vocabulary:
         with open(public_tokenizers.path(name), "rb") as f:
             self.rank = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
         self.token = {r: t for t, r in self.rank.items()}
+        self.decimal = {r: str(r) for r in self.token}
         self.byte = [self.rank[bytes([b])] for b in range(256)]
         self.words = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = regex.compile(r" ?\p{L}+").fullmatch
-        # every pair of tokens that merges, sorted: what is not among them has no rank
+        self.known: dict[str, bytes] = {}
+        self._index_pairs()
+
+    def _index_pairs(self) -> None:
+        """Every pair of tokens that merges, sorted: what is not among them has no rank."""
         cuts = ((self.rank.get(t[:k]), self.rank.get(t[k:]), r) for t, r in self.rank.items() for k in range(1, len(t)))
         self.pairs = {a << 32 | b: r for a, b, r in cuts if a is not None and b is not None}
         keys = np.array(sorted(self.pairs), np.int64)
-        self.keys = np.append(keys, NONE)
-        self.ranks = np.array([*map(self.pairs.__getitem__, keys.tolist()), NONE], np.int64)
+        self.keys = np.append(keys, 1 << 62)
+        self.ranks = np.array([*map(self.pairs.__getitem__, keys.tolist()), NONE], np.int32)
+        #: the same for single bytes, by both in one number
+        self.byte_pairs = np.array([self.pairs.get(a << 32 | b, NONE) for a in self.byte for b in self.byte], np.int32)
 
     def merges(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of what each two tokens merge into, or ``NONE``."""
-        both = a << 32 | b
+        both = a.astype(np.int64) << 32 | b
         at = np.searchsorted(self.keys, both)
         return np.where(self.keys[at] == both, self.ranks[at], NONE)
 
@@ -136,22 +145,33 @@ class _Index:
         self.waiting, self.end = [(ranks, at)] if len(at) else [], 0
         self.added: dict[int, list[int]] = {}
         self.order: list[int] = []
+        self.single: tuple[list[int], list[int]] = ([], [])  # ranks and positions that came one by one and wait
+
+    def add_one(self, r: int, i: int) -> None:
+        if r >= self.end:
+            self.single[0].append(r)
+            self.single[1].append(i)
+        elif r in self.added:
+            self.added[r].append(i)
+        else:
+            self.added[r] = [i]
+            heapq.heappush(self.order, r)
 
     def add(self, ranks: np.ndarray, at: np.ndarray) -> None:
         near = ranks < self.end
         if near.any():
             for r, i in zip(ranks[near].tolist(), at[near].tolist(), strict=True):
-                if r not in self.added:
-                    self.added[r] = []
-                    heapq.heappush(self.order, r)
-                self.added[r].append(i)
+                self.add_one(r, i)
             ranks, at = ranks[~near], at[~near]
         if len(ranks):
             self.waiting.append((ranks, at))
 
     def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Ranks in ascending order with their positions, sorted and distinct."""
-        while self.waiting:
+        """Ranks in ascending order with their positions, sorted."""
+        while self.waiting or self.single[0]:
+            if self.single[0]:
+                self.waiting.append(tuple(np.array(x, np.int32) for x in self.single))
+                self.single = ([], [])
             ranks, at = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
             self.end = max(self.end + WINDOW_RANKS, int(ranks.min()) + 1)
             now = ranks < self.end
@@ -167,24 +187,57 @@ class _Index:
                 r = heapq.heappop(self.order)
                 lo, hi = spans.pop(r, (0, 0))
                 more = self.added.pop(r, None)
-                if hi or more:
-                    yield r, np.unique(np.concatenate([at[lo:hi], more])) if more else at[lo:hi]
-
-
-def replayed(words: list[bytes], v: Vocabulary) -> list[bytes]:
-    """Ids of each word, four bytes each, by replaying every merge over all of them in rank order."""
-    size = np.array([len(w) for w in words], np.int64)
-    ends = size.cumsum()
-    starts, n = ends - size, int(size.sum())
-    token = np.array(v.byte, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-    after[ends[size > 0] - 1], before[starts[size > 0]] = -1, -1  # neighbours lie in the same word
-    rank = np.full(n, NONE)
-    has = np.flatnonzero(after >= 0)
-    rank[has] = v.merges(token[has], token[has + 1])
-    found, astray = np.flatnonzero(rank != NONE), [np.zeros(0, np.int64)]
-    index = _Index(rank[found], found)
-    for now, at in index:
+                if more:
+                    yield r, np.array(sorted({*at[lo:hi].tolist(), *more}), np.int32)
+                elif hi:
+                    yield r, at[lo:hi]
+
+
+class _Words:
+    """The tokens of many words as linked lists over one array of positions, and the rank of the pair that begins at each."""
+
+    def __init__(self, words: list[bytes], v: Vocabulary) -> None:
+        size = np.array([len(w) for w in words], np.int64)
+        self.v, self.ends = v, size.cumsum()
+        self.starts, n = self.ends - size, int(size.sum())
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        self.token = np.array(v.byte, np.int32)[raw]
+        self.after, self.before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        self.after[self.ends[size > 0] - 1], self.before[self.starts[size > 0]] = -1, -1  # neighbours lie in the same word
+        self.rank = np.append(v.byte_pairs[raw[:-1].astype(np.uint16) << 8 | raw[1:]], np.int32(NONE))[:n]
+        self.rank[self.after < 0] = NONE
+        found = np.flatnonzero(self.rank != NONE).astype(np.int32)
+        self.index = _Index(self.rank[found], found)
+        self.astray: list[int] = []  # positions in words that leave the global order
+
+    def merge_few(self, now: int, at: list[int]) -> None:
+        """Merge the pairs at some positions, one after another."""
+        token, after, before, rank = (memoryview(x) for x in (self.token, self.after, self.before, self.rank))
+        look, add = self.v.pairs.get, self.index.add_one
+        for i in at:
+            if rank[i] != now:
+                continue  # one of its two tokens is gone
+            gone, left = after[i], before[i]
+            end = after[gone]
+            token[i], token[gone], after[i], rank[gone], rank[i] = now, -1, end, NONE, NONE
+            if end >= 0:
+                before[end] = i
+                r = look(now << 32 | token[end], NONE)
+                if r < now:
+                    self.astray.append(i)
+                elif r != NONE:
+                    rank[i] = r
+                    add(r, i)
+            if left >= 0:
+                r = rank[left] = look(token[left] << 32 | now, NONE)
+                if r < now:
+                    self.astray.append(i)
+                elif r != NONE:
+                    add(r, left)
+
+    def merge_many(self, now: int, at: np.ndarray) -> None:
+        """The same, all at once."""
+        token, after, before, rank, merges = self.token, self.after, self.before, self.rank, self.v.merges
         at = at[rank[at] == now]  # of the others, one of the two tokens is gone
         if len(at) > 1 and (chained := after[at[:-1]] == at[1:]).any():
             # of overlapping pairs the leftmost merges, so every second one of a chain
@@ -195,24 +248,33 @@ def replayed(words: list[bytes], v: Vocabulary) -> list[bytes]:
         end, left = after[gone], before[at]
         inner = end >= 0
         i, e = at[inner], end[inner]
-        fresh = v.merges(np.full(len(e), now), token[e])  # before what follows merges as well
+        fresh = merges(np.full(len(e), now, np.int32), token[e])  # before what follows merges as well
         token[at], token[gone], rank[gone], after[at] = now, -1, NONE, end
         before[e] = i
         rank[at] = NONE
-        rank[i] = v.merges(np.full(len(e), now), token[e])
+        rank[i] = merges(np.full(len(e), now, np.int32), token[e])
         j, l = at[left >= 0], left[left >= 0]
-        rank[l] = v.merges(token[l], np.full(len(l), now))
-        early = [i[fresh < now], i[rank[i] < now], j[rank[l] < now]]
-        if any(map(len, early)):
-            astray += early
+        rank[l] = merges(token[l], np.full(len(l), now, np.int32))
+        for early in (i[fresh < now], i[rank[i] < now], j[rank[l] < now]):
+            self.astray += early.tolist()
         both = np.concatenate([i, l])
         both = both[(rank[both] > now) & (rank[both] != NONE)]
         if len(both):
-            index.add(rank[both], both)
-    live = np.flatnonzero(token >= 0)
-    ids, cut = token[live].astype("<u4").tobytes(), (4 * np.searchsorted(live, np.append(starts, n))).tolist()
+            self.index.add(rank[both], both)
+
+
+def replayed(words: list[bytes], v: Vocabulary) -> list[bytes]:
+    """Ids of each word, four bytes each, by replaying every merge over all of them in rank order."""
+    w = _Words(words, v)
+    for now, at in w.index:
+        if len(at) <= FEW:
+            w.merge_few(now, at.tolist())
+        else:
+            w.merge_many(now, at)
+    live = np.flatnonzero(w.token >= 0)
+    ids, cut = w.token[live].astype("<u4").tobytes(), (4 * np.searchsorted(live, np.append(w.starts, len(w.token)))).tolist()
     out = [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-    for k in set(np.searchsorted(ends, np.concatenate(astray), "right").tolist()):
+    for k in set(np.searchsorted(w.ends, w.astray, "right").tolist()):
         out[k] = np.array(merged_alone(words[k], v), "<u4").tobytes()
     return out
 
@@ -247,13 +309,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
             yield b.slice(lo, hi - lo), texts[lo:hi]
 
 
-def _spelled(texts: list[str], v: Vocabulary) -> tuple[set[str], dict[str, list[str]]]:
-    """The distinct pieces of the texts: those that are one word of letters, and the others with their words."""
+def _spelled(texts: list[str], v: Vocabulary, common: dict[str, bytes] | None = None) -> tuple[set[str], dict[str, list[str]]]:
+    """The distinct pieces of the texts: those that are one word, of letters or ``common``, and the others with their words."""
     found: set[str] = set()
     for t in texts:
         found.update(pieces(t))
-    whole = {p for p in found if p[1:].isalpha() and v.letters(p)}
-    return whole, {p: v.words(p) for p in found - whole}
+    known = found & common.keys() if common else set()
+    rest = found - known if known else found
+    whole = {p for p in rest if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) and (p.isascii() or max(p) < ALIKE or v.letters(p))}
+    others = {p: v.words(p) for p in rest - whole}
+    return whole | known, others
 
 
 def common_words(docs: DataFrame, text_col: str = "text", name: str = VOCABULARY, most: int = COMMON) -> dict[str, bytes]:
@@ -268,7 +333,7 @@ def common_words(docs: DataFrame, text_col: str = "text", name: str = VOCABULARY
         for _, texts in _blocks(batches, 0):
             found, others = _spelled(texts, v)
             found.update(*others.values())
-            yield pa.RecordBatch.from_arrays([pa.array([w for w in found if len(w.encode()) <= COMMON_BYTES], pa.string())], ["word"])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in found if len(w.encode()) <= KNOWN_BYTES], pa.string())], ["word"])
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(name)
@@ -289,33 +354,50 @@ def common_words(docs: DataFrame, text_col: str = "text", name: str = VOCABULARY
     return dict(zip(got.column("word").to_pylist(), got.column("ids").to_pylist(), strict=True))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = VOCABULARY, most: int = COMMON) -> DataFrame:
-    """(id, ids array<int>): every text of the frame by the ranks of a vocabulary file."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(common_words(docs, text_col, name, most))  # ``most`` words of COMMON_BYTES at most
+def encode_block(texts: list[str], v: Vocabulary, common: dict[str, bytes] | None = None) -> list[bytes]:
+    """Ids of each text, four bytes each: merges are replayed over the distinct words of all that are not ``common`` or known from earlier blocks."""
+    if len(v.known) > KNOWN:
+        v.known = {}
+    if common and not v.known:
+        v.known = dict(common)
+    known = v.known
+    words, others = _spelled(texts, v, known)
+    words.update(*others.values())
+    of = {w: known[w] for w in words & known.keys()}
+    new = dict(encoded_words(words - known.keys(), v))
+    known.update((w, ids) for w, ids in new.items() if len(w) <= KNOWN_BYTES)
+    of.update(new)
+    for p, ws in others.items():
+        of[p] = b"".join(map(of.__getitem__, ws))
+    return [b"".join(map(of.__getitem__, pieces(t))) for t in texts]
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], v: Vocabulary, common: dict[str, bytes] | None = None) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """The first column of some rows with the ids of the texts in the second."""
+    for rows, texts in _blocks(batches, 1):
+        yield rows.column(0), encode_block(texts, v, common)
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = VOCABULARY, common: dict[str, bytes] | None = None) -> DataFrame:
+    """(id, ids array<int>): every text of the frame by the ranks of a vocabulary file.
+
+    ``common`` has words whose ids are known (``common_words``).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # COMMON words of KNOWN_BYTES at most
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, common = vocabulary(name), known.value
-        for rows, texts in _blocks(batches, 1):
-            words, others = _spelled(texts, v)
-            words.update(*others.values())
-            of = {w: common[w] for w in words if w in common}
-            words.difference_update(common)
-            of.update(encoded_words(words, v))
-            for p, ws in others.items():
-                of[p] = b"".join(map(of.__getitem__, ws))
-            made = [b"".join(map(of.__getitem__, pieces(t))) for t in texts]
+        for own, made in _encoded(batches, vocabulary(name), shared.value):
             ends = np.cumsum([0, *(len(m) // 4 for m in made)])
             for lo, hi in _spans(ends):
                 flat = pa.array(np.frombuffer(b"".join(made[lo:hi]), "<i4"))
                 lists = pa.ListArray.from_arrays(pa.array((ends[lo : hi + 1] - ends[lo]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([rows.column(0).slice(lo, hi - lo), lists], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([own.slice(lo, hi - lo), lists], ["id", "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
-def _spans(ends: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _spans(ends: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with some ``most`` ids together."""
     lo, n = 0, len(ends) - 1
     while lo < n:
@@ -355,29 +437,31 @@ def decode(encoded: DataFrame, ids_col: str = "ids", name: str = VOCABULARY) ->
     return rows.mapInArrow(run, StructType([*rows.schema, StructField("decoded", BinaryType())]))
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): lower-case SHA-256 of the decimal ids joined by commas, and of the decoded bytes."""
-    kind = decoded.schema[id_col].dataType.simpleString()
+def digest_of(ids: np.ndarray, v: Vocabulary) -> tuple[int, str, str]:
+    """A row's number of ids, and SHA-256 of the decimal ids joined by commas and of the bytes they decode to."""
+    row = ids.tolist()
+    return len(row), hashlib.sha256(",".join(map(v.decimal.__getitem__, row)).encode()).hexdigest(), hashlib.sha256(decode_ids(ids, v)).hexdigest()
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = VOCABULARY) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded again in the task that reads it."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    columns = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal: dict[int, str] = {}
-        for b in batches:
-            counts, shas = [], []
-            for ids in _lists(b.column(1)):
-                counts.append(len(ids))
-                row = ids.tolist()
-                for i in set(row).difference(decimal):
-                    decimal[i] = str(i)
-                shas.append(hashlib.sha256(",".join(map(decimal.__getitem__, row)).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(shas), b.column(2)], ["id", "n_tokens", "ids_sha256", "decoded"])
+        v = vocabulary(name)
+        for own, made in _encoded(batches, v):
+            found = [digest_of(np.frombuffer(m, "<u4"), v) for m in made]
+            kinds = (pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([own, *(pa.array([f[k] for f in found], t) for k, t in enumerate(kinds))], columns)
 
-    found = decoded.select(id_col, ids_col, decoded_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded binary")
-    return found.select(F.col("id").alias(id_col), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return found.withColumnRenamed("id", id_col)
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as counts and digests."""
-    return digests(decode(encode(table(spark, sf_dir, "documents"))))
+    return digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op11_bpe": op11_bpe}

@@ -59,8 +59,10 @@ def test_random_texts_as_the_library(library):
         assert plain_ids(text) == library.encode_ordinary(text), repr(text)
 
 
-def test_replay_is_the_rule():
+@pytest.mark.parametrize("few", [0, bpe.FEW, 1 << 30])
+def test_replay_is_the_rule(monkeypatch, few):
     """Replaying all words together gives what each gives alone, words that leave the global order included."""
+    monkeypatch.setattr(bpe, "FEW", few)
     v, r = bpe.vocabulary(), random.Random(2)
     words = ["".join(r.choice("etaoinshrdlucmfwyp") for _ in range(r.randrange(0, 25))).encode() for _ in range(20_000)]
     words += [bytes(r.randrange(256) for _ in range(r.randrange(1, 12))) for _ in range(2000)] + [b"a" * 5000, b"ab" * 3000, b"", b"x" * 70_000]
@@ -74,13 +76,15 @@ def test_replay_is_the_rule():
         assert bpe.merged_alone(w, v) == [v.rank[p] for p in parts]
 
 
-def test_words_that_leave_the_order():
+@pytest.mark.parametrize("few", [0, 100])
+def test_words_that_leave_the_order(monkeypatch, few):
     """A made vocabulary where a merge makes a pair of smaller rank: abc before ab."""
     v = bpe.vocabulary()
     own = bpe.Vocabulary.__new__(bpe.Vocabulary)
     own.rank = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"ab": 257, b"cd": 258}
     own.token, own.byte, own.words, own.letters = {r: t for t, r in own.rank.items()}, list(range(256)), v.words, v.letters
     own._index_pairs()
+    monkeypatch.setattr(bpe, "FEW", few)
     assert [np.frombuffer(x, "<u4").tolist() for x in bpe.replayed([b"abcd", b"abab", b"xcd"], own)] == [[256, ord("d")], [257, 257], [ord("x"), 258]]
 
 
@@ -98,12 +102,23 @@ def test_op11(spark, tmp_path, library, monkeypatch):
     docs = spark.read.parquet(f"file://{tmp_path}/all/documents.parquet")
     common = bpe.common_words(docs)
     assert {" alpha", " beta"} <= set(common) and all(np.frombuffer(x, "<u4").tolist() == library.encode_ordinary(w) for w, x in common.items())
-    back = bpe.decode(bpe.encode(docs, most=0)).collect()
-    assert sorted(bytes(r.decoded) for r in back) == sorted((t or "").encode() for _, t, *_ in rows)
+    for known in (None, common):
+        back = bpe.decode(bpe.encode(docs, common=known)).collect()
+        assert sorted((bytes(r.decoded), list(r.ids)) for r in back) == sorted(((t or "").encode(), library.encode_ordinary(t or "")) for _, t, *_ in rows)
     empty = bpe.decode(spark.createDataFrame([(1, None), (2, [])], "i int, ids array<int>")).collect()
     assert [bytes(r.decoded) for r in empty] == [b"", b""]
 
 
+def test_known_words_are_forgotten(monkeypatch, library):
+    """A worker that may keep few words still encodes every block as the library does."""
+    monkeypatch.setattr(bpe, "KNOWN", 50)
+    v, r = bpe.Vocabulary(), random.Random(3)
+    for _ in range(12):
+        texts = [" ".join(r.choice("etaoin") * r.randrange(1, 6) + str(r.randrange(60)) for _ in range(40)) for _ in range(3)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_block(texts, v)] == [library.encode_ordinary(t) for t in texts]
+        assert len(v.known) < 50 + 400
+
+
 def test_encoding_stays_within_memory():
     """Two blocks of made-up words: a task stays far below the third of an executor that it may take."""
     code = (
@@ -113,7 +128,7 @@ def test_encoding_stays_within_memory():
         "v = bpe.vocabulary()\n"
         "for _ in range(2):\n"
         "    texts = [' '.join(''.join(r.choice('etaoinshrdlu') for _ in range(r.randrange(2, 10))) for _ in range(500)) for _ in range(bpe.BLOCK_CHARS // 3500)]\n"
-        "    bpe.encode_block(texts, v, {})\n"
+        "    bpe.encode_block(texts, v)\n"
         "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1000)"
     )
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, check=True)
