@@ -270,6 +270,7 @@ def test_op7(spark, folder):
             at += r.length
         assert at <= packing.WINDOW
     assert len(windows) <= sum(r.length for r in got) / packing.WINDOW + 3  # a padded window a task at most
+    assert all(len({r.placed for r in held}) == 1 for held in windows.values())
     want = Counter()
     for i, text, *_ in DOCS:
         ids = np.append(np.frombuffer(e.ids(text or ""), "<u4"), np.uint32(2)).astype("<u4")
@@ -284,6 +285,14 @@ def test_op7(spark, folder):
         assert sum(size * k for (_, size), k in spans.items()) == n * key[1]
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test data")
+def test_op7_places_most_tokens(spark):
+    """As registered, on ten thousand documents."""
+    shares = catalog.QUERIES["op7_packing"](spark, "/root/testdata/sf0.1").groupBy("placed").sum("length").collect()
+    by = {r.placed: r[1] for r in shares}
+    assert by[True] / sum(by.values()) > 0.95
+
+
 def test_packing_before_windows_are_emptied():
     """Of texts shorter than a window most tokens are in windows that closed by themselves; emptying is for the rest."""
     r = np.random.default_rng(1)
