@@ -153,12 +153,12 @@ def _in_blocks(queries: DataFrame, rows: DataFrame, k: int, extra: list[str], wi
     return spark.read.schema(best.schema).parquet(path)
 
 
-def block_top(queries: DataFrame, rows: DataFrame, k: int, least: float | None = None, masked: bool = False, block: int | None = None) -> DataFrame:
+def block_top(queries: DataFrame, rows: DataFrame, k: int, least: float | None = None, masked: bool = False, block: int | None = None, earlier: bool = False) -> DataFrame:
     """(query_id, item_id, score, rank) of the k best rows for each query.
 
     ``queries`` has query_id and vec, ``rows`` has item_id and vec; with ``masked`` both also have
     ``mask``, an array of flags, and only rows that share a flag with the query count.  Scores below
-    ``least`` do not count.  A block has ``block`` queries, or as many as make ``BLOCK_BYTES`` with their best.
+    ``least`` do not count; with ``earlier`` only rows with smaller ids than the query's do.  A block has ``block`` queries, or as many as make ``BLOCK_BYTES`` with their best.
     """
     flags = (queries.agg(F.max(F.size("mask"))).first()[0] or 0) if masked else 0
 
@@ -168,7 +168,7 @@ def block_top(queries: DataFrame, rows: DataFrame, k: int, least: float | None =
         fit = rows.where(F.size("vec") == d)
         if masked:
             fit = fit.where(F.size("mask") == flags)
-        return _block_top(fit, shared, k, least, schema)
+        return _block_top(fit, shared, k, least, schema, earlier)
 
     return _in_blocks(queries.where(F.size("mask") == flags) if masked else queries, rows, k, ["mask"] if masked else [], 4 * flags, block, scored)
 
@@ -190,17 +190,23 @@ def _scores(e: np.ndarray, q: np.ndarray, has: np.ndarray | None, wants: np.ndar
     return out
 
 
-def feed(best: Best, items: np.ndarray, e: np.ndarray, q: np.ndarray, at: np.ndarray, has: np.ndarray | None = None, wants: np.ndarray | None = None) -> None:
-    """Score items against the queries ``at``, ``TILE`` scores at a time, and keep the best."""
+def tiles(items: np.ndarray, e: np.ndarray, q: np.ndarray, at: np.ndarray, has: np.ndarray | None = None, wants: np.ndarray | None = None) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Scores of the queries ``at`` (rows) with items, ``TILE`` at a time: (items, queries, scores)."""
     for lo in range(0, len(items), ROWS_AT_ONCE):
         rows = slice(lo, lo + ROWS_AT_ONCE)
         step = max(1, TILE // len(items[rows]))
         for q_lo in range(0, len(at), step):
             some = at[q_lo : q_lo + step]
-            best.add(items[rows], _scores(q[some], e[rows], None if wants is None else wants[some], None if has is None else has[rows]), some)
+            yield rows, some, _scores(q[some], e[rows], None if wants is None else wants[some], None if has is None else has[rows])
 
 
-def _block_top(rows: DataFrame, shared: Any, k: int, least: float | None, schema: str) -> DataFrame:
+def feed(best: Best, items: np.ndarray, e: np.ndarray, q: np.ndarray, at: np.ndarray, has: np.ndarray | None = None, wants: np.ndarray | None = None, ids: np.ndarray | None = None) -> None:
+    """Score items against the queries ``at`` and keep the best; with the queries' ``ids`` only items with smaller ones."""
+    for rows, some, score in tiles(items, e, q, at, has, wants):
+        best.add(items[rows], score if ids is None else np.where(items[rows] < ids[some, None], score, -np.inf), some)
+
+
+def _block_top(rows: DataFrame, shared: Any, k: int, least: float | None, schema: str, earlier: bool = False) -> DataFrame:
     masked = shared.value[2] is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +215,7 @@ def _block_top(rows: DataFrame, shared: Any, k: int, least: float | None, schema
         for b in batches:
             kind = b.column("item_id").type
             has = matrix(b.column("mask"), wants.shape[1], np.float32) if wants is not None else None
-            feed(best, _items(b.column("item_id")), matrix(b.column("vec"), q.shape[1]), q, every, has, wants)
+            feed(best, _items(b.column("item_id")), matrix(b.column("vec"), q.shape[1]), q, every, has, wants, ids if earlier else None)
         yield from best.batch(ids, kind)
 
     return rows.select("item_id", "vec", *(["mask"] if masked else [])).mapInArrow(run, schema)
