@@ -2,13 +2,13 @@
 
 Two n-gram models, one of a target corpus and one of the background, share one closed vocabulary, the
 256 bytes of UTF-8 text, and one smoothing: each order is mixed with the next lower one by a prior of
-``PRIOR`` counts, down to the uniform distribution.  They are matched in size too: the background's counts, which cover every
-document, are scaled to the target's number of tokens, as a random background of that size has them in expectation.  So the models
-differ in what they saw alone.  A text's score is the mean over its tokens of the target model's loss minus the background
+``PRIOR`` counts, down to the uniform distribution.  They share no document: the background is every document that is not the target's.  They are matched in
+size too: the background's counts are scaled to the target's number of tokens, as a random background of that size has them in
+expectation, so no document is left out to make the sizes equal.  So the models differ in what they saw alone.  A text's score is the mean over its tokens of the target model's loss minus the background
 model's, in nats; the lower, the more a text resembles the target.
 
-Documents are scored out of fold: an id's hash puts it into one of ``FOLDS`` folds, and the counts of its own fold are
-taken out of both models.  Texts that were not trained on are scored by all counts.  N-grams that a model never saw have count
+Documents are scored out of fold: a text's hash puts it into one of ``FOLDS`` folds, with every copy of it whatever their ids, and the counts of its
+own fold are taken out of both models.  Texts that were not trained on are scored by all counts.  N-grams that a model never saw have count
 0, and the smoothing falls back to the longest context it knows.
 
 There is one way at every size.  Rows are dealt by hash into parts of about ``PART_BYTES``, each of one fold.  A part's
@@ -89,7 +89,7 @@ def placed(docs: DataFrame, trained_on: bool = True) -> tuple[DataFrame, int]:
     size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     views = FOLDS if trained_on else 1
     n = max(1, ceil(size / (views * PART_BYTES)))
-    view = F.pmod(F.xxhash64(F.lit("fold"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(FOLDS)) if trained_on else F.lit(FOLDS)
+    view = F.pmod(F.xxhash64(F.lit("fold"), F.coalesce(F.col("text"), F.lit(""))), F.lit(FOLDS)) if trained_on else F.lit(FOLDS)
     part = view + VIEWS * F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))
     return docs.select(part.cast("int").alias("part"), F.col("doc_id").cast("long"), "text"), VIEWS * n
 
@@ -143,7 +143,8 @@ def gathered(rows: DataFrame, n_parts: int, target_ids: DataFrame | None = None)
 def counted(per_part: DataFrame) -> DataFrame:
     """(gram, background_0 .., target_0 ..): counts of each n-gram by fold."""
     view = F.pmod("part", F.lit(VIEWS))
-    sums = [F.sum(F.when(view == f, F.col(c)).otherwise(0)).alias(f"{s}_{f}") for s, c in zip(SIDES, ("n", "in_target"), strict=True) for f in range(FOLDS)]
+    sides = zip(SIDES, (F.col("n") - F.col("in_target"), F.col("in_target")), strict=True)
+    sums = [F.sum(F.when(view == f, c).otherwise(0)).alias(f"{s}_{f}") for s, c in sides for f in range(FOLDS)]
     return per_part.groupBy("gram").agg(*sums)
 
 
@@ -232,7 +233,7 @@ def _written_losses(counts: DataFrame) -> DataFrame:
 
 
 def trained(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """The counts behind both models: all documents are background, those with an id in ``target_ids`` target as well."""
+    """The counts behind both models: documents with an id in ``target_ids`` are target, all others background."""
     return written(counted(gathered(*placed(docs), target_ids)), "gram-counts")
 
 
@@ -251,7 +252,7 @@ def scored_out_of_fold(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's cross-entropy difference between good-quality documents and all documents, out of fold."""
+    """Every document's cross-entropy difference between good-quality documents and all others, out of fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scored_out_of_fold(docs, table(spark, sf_dir, "labels").where("quality = 1"))
 

@@ -193,6 +193,46 @@ def test_sum_of_squares_choice_and_drain():
     assert all(sum(len(x[2]) // 4 for x in w) == 20 for w in left[:-1])
 
 
+@pytest.mark.parametrize("window,grain", [(64, 8), (64, 1), (4096, 128)])
+def test_packing_with_coarse_levels(window, grain):
+    """Every choice is one that keeps the squared counts of levels smallest; each id lies in one piece; placement closes most windows."""
+    rng = np.random.default_rng(3)
+    sizes = [int(x) for x in np.minimum(rng.lognormal(np.log(window / 5), 1.2, 3000) + 1, 3 * window)]
+    p = packing.SumOfSquares(window, grain)
+    for size in sizes[:400]:
+        size = min(size, window - 1)
+
+        def after(level, size=size):
+            m = p.count.copy()
+            if level:
+                m[level] -= 1
+            to = -(-((p.fill[level] if level else 0) + size) // grain)
+            if to < p.top:
+                m[to] += 1
+            return int((m**2).sum())
+
+        options = [h for h in range(1, p.top) if p.count[h] and p.fill[h] + size <= window] + [0]
+        assert after(p.level_for(size)) == min(after(h) for h in options)
+        p.place((0, 0, bytes(4 * size), size), size)
+        assert all(p.count[h] == len(p.open[h]) and all(-(-f // grain) == h for f, _ in p.open[h]) for h in range(1, p.top))
+    docs = [(i, np.arange(n, dtype="<u4").tobytes()) for i, n in enumerate(sizes)]
+    windows = list(packing.pack_stream(iter(docs), window, grain))
+    spans = {}
+    for k, (held, _) in enumerate(windows):
+        assert sum(len(x[2]) // 4 for x in held) == window or k == len(windows) - 1
+        for doc, start, ids, total in held:
+            assert total == sizes[doc] and ids == docs[doc][1][4 * start : 4 * start + len(ids)]
+            spans.setdefault(doc, []).append((start, len(ids) // 4))
+    for doc, n in enumerate(sizes):
+        at = 0
+        for start, length in sorted(spans[doc]):
+            assert start == at and length > 0
+            at += length
+        assert at == n
+    placed = sum(len(x[2]) // 4 for held, done in windows if done for x in held) / sum(sizes)
+    assert placed > (0.97 if grain > 1 else 0.5)
+
+
 def test_fingerprints(spark):
     rng = np.random.default_rng(2)
     texts = {i: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(0, 400))) for i in range(60)} | {60: None, 61: "", 62: "ab"}
@@ -229,6 +269,15 @@ def test_fingerprints(spark):
     assert dealt.where("doc_id = 5 AND NOT guest").select("part").distinct().count() > 1
     got = [(r.doc_id, r.edited_sha256, r.edited_fingerprint, r.near_edited, r.near_next) for r in fingerprints.compared(dealt).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
+    # two thousand rows that are equal, without an id and without a text, among others: cut into several ranges, each row once
+    same = spark.createDataFrame([(None, None)] * 2000 + [(i, f"text {i} " * 9) for i in range(100)], "doc_id long, text string").repartition(6)
+    dealt = fingerprints.by_id_ranges(same, 12).cache()
+    assert dealt.where("doc_id IS NULL AND NOT guest").select("part").distinct().count() > 3
+    assert dealt.where("guest").count() <= 12 * 6 and dealt.where("NOT guest").count() == 2100
+    got = fingerprints.compared(dealt).collect()
+    empty = [r for r in got if r.doc_id is None]
+    assert len(empty) == 2000 and sorted(r.near_next for r in empty)[:2] == [0.0, 1.0]  # the last of them is followed by the first row of all
+    assert len({r.doc_id for r in got}) == 101 and len(fingerprints.by_id_ranges(same, 12)._jdf.queryExecution().optimizedPlan().toString()) < 4000
     lone = np.array([fingerprints.LIMIT + 5], np.uint64)
     assert fingerprints.containment(lone, np.array([1, 2], np.uint64)) is None and fingerprints.containment(lone, lone) == 1
 
@@ -288,13 +337,13 @@ def lm_losses(train: list[tuple[str, bool]], text: str) -> list[float]:
     """Mean loss of a text by a plain reading of the models: background first."""
     lead, out = bytes(4), []
     seen = [(lead + t.encode(), good) for t, good in train]
-    n = [sum(len(b) - 4 for b, good in seen if good or not side) for side in (0, 1)]
+    n = [sum(len(b) - 4 for b, good in seen if good == bool(side)) for side in (0, 1)]
     for side in (0, 1):
         count, context = {}, {}
         for b, good in seen:
             for k in range(4, len(b)):
                 for m in range(1, 6):
-                    if good or not side:
+                    if good == bool(side):
                         g = b[k - m + 1 : k + 1]
                         count[g] = count.get(g, 0) + 1
                         context[g[:-1], m] = context.get((g[:-1], m), 0) + 1
@@ -309,6 +358,21 @@ def lm_losses(train: list[tuple[str, bool]], text: str) -> list[float]:
     return out
 
 
+def test_copies_are_not_trained_on(spark):
+    """Copies of a text under other ids are in its fold, so however many there are, its scores are those of one."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["one", "two", "three", "four", "five", "six"], 30)) for _ in range(40)]
+    odd = "a text of which there are copies, and no other like it"
+    target = spark.createDataFrame([(i,) for i in range(0, 40, 3)], "doc_id long")
+    made = {}
+    for n in (1, 30):
+        rows = spark.createDataFrame([*enumerate(texts), *((100 + i, odd) for i in range(n))], "doc_id long, text string").repartition(3)
+        found = lmscore.scored_out_of_fold(rows, target).where("doc_id >= 100").collect()
+        assert len(found) == n and len({(r.target_loss, r.background_loss) for r in found}) == 1
+        made[n] = (found[0].target_loss, found[0].background_loss)
+    assert made[1] == made[30]
+
+
 def test_lm_scores(spark, docs, monkeypatch):
     """Out of fold, on new texts with unseen n-grams, and by parts of any size, against a plain reading."""
     target = spark.createDataFrame([(1,), (6,), (6,), (None,)], "doc_id long")
