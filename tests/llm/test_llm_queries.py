@@ -54,7 +54,10 @@ def folder(spark, tmp_path_factory):
     labels = spark.createDataFrame([(i, int(i % 2 == 0), int(i % 5 == 0)) for i in range(60)] + [(None, 1, 1), (3, None, None), (0, 0, 0), (999, 1, 1)], "doc_id long, quality int, toxic int")
     html = [(i, f"http://x/{i}", f"<p>{i % 7} " + "payload " * 20) for i in range(30)] + [(31, None, None), (32, "u", ""), (33, "u", "short"), (34, "u", "short"), (35, "u", "ö" * 200_000), (36, "u", "ö" * 200_000)]
     pages = spark.createDataFrame([(*h, 0) for h in html], "page_id long, url string, html string, payload int")
-    for name, df in (("documents", docs), ("labels", labels), ("pages", pages)):
+    talks = [(c, t, ("user", "assistant", None)[t % 3], f"turn {t % 2} {c % 4}" if t % 5 else None, 0) for c in (*range(0, 12), 100, 105, 107, 230) for t in range(c % 7)]
+    talks += [(None, 0, "user", "lost", 0), (5, None, "user", "first", 0), (5, 2, "x", "tie", 0), (5, 2, "x", "tie", 0), (12, 0, "user", "ö" * 200_000, 0)]
+    conversations = spark.createDataFrame(talks, "conv_id long, turn long, role string, text string, depth int")
+    for name, df in (("documents", docs), ("labels", labels), ("pages", pages), ("conversations", conversations)):
         df.repartition(3).write.parquet(f"file://{path}/{name}.parquet")
         df.limit(0).write.parquet(f"file://{path}/none/{name}.parquet")
     return f"file://{path}"
@@ -76,7 +79,7 @@ def test_empty_tables(spark, folder, name):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_against_sql(spark, folder, name):
     db = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "conversations"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder.removeprefix('file://')}/{t}.parquet/*.parquet'")
     if name == "op4_near_duplicates":  # its SQL takes ids as unique and present
         db.sql("CREATE OR REPLACE VIEW documents AS SELECT * FROM '" + folder.removeprefix("file://") + "/documents.parquet/*.parquet' WHERE doc_id IS NOT NULL AND doc_id <> 7")
