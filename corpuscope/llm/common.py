@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of the words of the contracts: everything but blanks and the five ASCII line and tab controls.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 U64 = np.uint64
+#: Rows of a batch that are worked on, and given back, together.
+ROWS_AT_ONCE = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +37,13 @@ def word_count(text_col: Column) -> Column:
     return F.size(parts).cast("long") - edge
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``ROWS_AT_ONCE`` rows, so that what a task makes of a batch stays small on both sides."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(at, ROWS_AT_ONCE)
+
+
 def chunks(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``most`` characters together; a longer text stands alone."""
     start, held = 0, 0

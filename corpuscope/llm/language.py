@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import U64, code_points, held_out, mix64, table
+from corpuscope.llm.common import U64, code_points, held_out, mix64, slices, table
 
 DIMENSIONS = 1024
 SEED = 0x1A2B3C
@@ -155,7 +155,7 @@ def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         known = TripleVectors()
-        for b in batches:
+        for b in slices(batches):
             langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
             names = sorted(set(langs))
             row = {x: k for k, x in enumerate(names)}
@@ -189,7 +189,7 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profile, known = shared.value, TripleVectors()
-        for b in batches:
+        for b in slices(batches):  # a vector for each row
             texts = [x or "" for x in b.column(text_col).to_pylist()]
             vectors, letters = bundled(texts, np.arange(len(texts)), len(texts), known)
             norm = np.sqrt((vectors * vectors).sum(axis=1))

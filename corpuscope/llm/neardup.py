@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuscope.llm.common import U64, chunks, mix64, powers, table
+from corpuscope.llm.common import U64, chunks, mix64, powers, slices, table
 from corpuscope.llm.components import connected
 from corpuscope.shared import new_path, passing, written
 
@@ -151,7 +151,7 @@ def features(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
-        for b in batches:
+        for b in slices(batches):
             made = [(len(s), class_of(s), signature(s).tobytes()) for s in shingler.sets(b.column("text").to_pylist())]
             n, c, sig = zip(*made, strict=True) if made else ((), (), ())
             made = [b.column("doc_id"), b.column("key"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sig, pa.binary())]
@@ -168,7 +168,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
-        for b in batches:
+        for b in slices(batches):
             got = [(c, s.tobytes()) for c, s in zip(b.column("class").to_pylist(), shingler.sets(b.column("text").to_pylist()), strict=True) if class_of(s) == c]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], t) for k, t in enumerate((pa.int64(), pa.binary()))], ["class", "tokens"])
 

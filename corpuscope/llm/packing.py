@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscope.llm.common import table
+from corpuscope.llm.common import slices, table
 from corpuscope.llm.tokens import VOCABULARY, encoder
 
 WINDOW, GRAIN = 4096, 128
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).ids
         number = TaskContext.get().partitionId() << 32
-        stream = ((i, encode(t or "") + END) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        stream = ((i, encode(t or "") + END) for b in slices(batches) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         rows: list[tuple] = []
         for held, placed in pack_stream(stream, window):
             offset = 0

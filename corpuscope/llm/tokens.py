@@ -2,7 +2,8 @@
 
 The vocabulary's rules cut a text at white space, so the ids of a text are those of its
 blank-separated chunks one after another.  Chunks repeat, and a bounded cache in each
-worker maps those of at most ``CACHE_CHARS`` characters to ids.  Texts with characters for which this has not been shown to be the same (anything
+worker maps those of at most ``CACHE_CHARS`` characters to ids; when half of it is full, that half becomes the older one, and what is
+asked for again moves from there to the newer.  Texts with characters for which this has not been shown to be the same (anything
 beyond Latin-1, or what may be a special token) go through the library's own encoder.
 """
 
@@ -15,7 +16,7 @@ import numpy as np
 
 #: A file of the installed package of public vocabularies.
 VOCABULARY = "word_bpe_49k.json"
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 240_000, 64
 
 # The vocabulary's own splitting rule, with Latin-1's letters and numbers written out.
 LETTERS, NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
@@ -34,16 +35,20 @@ class Encoder(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.whole = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.model = self.whole.model
         by_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelled = lambda piece: by_bytes.pre_tokenize_str(piece)[0][0]
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = [t.id for p in PIECES.findall(chunk) for t in self.model.tokenize(p if p.isascii() else self.spelled(p))]
-        out = np.array(ids, "<u4").tobytes()
+        out = self.older.pop(chunk, None)
+        if out is None:
+            ids = [t.id for p in PIECES.findall(chunk) for t in self.model.tokenize(p if p.isascii() else self.spelled(p))]
+            out = np.array(ids, "<u4").tobytes()
         if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= CACHE_ENTRIES // 2:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = out
         return out

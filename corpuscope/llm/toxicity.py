@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import U64, chunks, code_points, held_out, mix64, table
+from corpuscope.llm.common import U64, chunks, code_points, held_out, mix64, slices, table
 
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
@@ -45,7 +45,7 @@ L2 = 0.002
 ROUNDS = 300
 THRESHOLD = 0.3
 PIECE = 1 << 19
-CACHE_ENTRIES, CACHE_BYTES = 300_000, 64 << 20
+CACHE_ENTRIES, CACHE_BYTES = 100_000, 24 << 20
 WORD = re.compile(r"[^\W\d_]+")
 MULTIPLIER = U64(0x9E3779B97F4A7C15)
 
@@ -182,7 +182,7 @@ def counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, total, known = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64), WordFeatures()
-        for b in batches:
+        for b in slices(batches):
             texts, label = [x or "" for x in b.column("text").to_pylist()], np.array(b.column("label").to_pylist(), np.int64)
             total += np.bincount(label, minlength=2)
             for own, bucket in known.of(texts):
@@ -216,7 +216,7 @@ def sampled(docs: DataFrame, truth: DataFrame, wanted: np.ndarray, sample: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordFeatures(np.unpackbits(shared.value).astype(bool))
-        for b in batches:
+        for b in slices(batches):
             texts = [x or "" for x in b.column("text").to_pylist()]
             lists: list[list[int]] = [[] for _ in texts]
             for own, bucket in known.of(texts):
@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         weight, intercept = shared.value
         here = Model(weight.astype(np.float64), intercept)
         known = WordFeatures(here.weight != 0)
-        for b in batches:
+        for b in slices(batches):
             got = here.scores([x or "" for x in b.column(text_col).to_pylist()], known)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out), pa.array(got, pa.float64())], [*out, "score"])
 
